@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Maps A-Z to a-z in UTF-8 bytes and leaves every other byte alone.
@@ -69,9 +70,9 @@ class Scratch:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file sizes for a plain scan)."""
+    """The optimizer's size estimate of a plan (file sizes for a plain scan); 0 where it has none."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(n, 1 << 60)
+    return n if n < 1 << 56 else 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
@@ -90,10 +91,58 @@ def rows_within(batches, max_bytes: int, col: int):
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.cumsum(np.fromiter((len(v) if v is not None else 0 for v in b.column(col).cast(pa.binary()).to_pylist()), np.int64, b.num_rows))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         lo = 0
         while lo < b.num_rows:
             done = sizes[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(sizes, done + max_bytes, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+
+
+class HashFilter:
+    """A fixed number of bits, set at the hashes of a table of any size.
+
+    Its size never grows with the data: on a larger table more foreign hashes pass, which
+    costs later joins rows but never a result.
+    """
+
+    LOG2_BITS = 27
+
+    def __init__(self, slices: dict[int, bytes]):
+        self.bits = np.zeros(1 << (self.LOG2_BITS - 3), np.uint8)
+        width = len(self.bits) >> 8
+        for k, raw in slices.items():
+            self.bits[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
+
+    @classmethod
+    def place(cls, h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - cls.LOG2_BITS)).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = self.place(h)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def add(self, h: np.ndarray) -> None:
+        at = self.place(h)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    @classmethod
+    def of(cls, df: DataFrame, col: str) -> HashFilter:
+        """The filter of a long column; each of 256 slices is made by one group of hashes."""
+        from pyspark.sql import functions as F
+
+        inner = cls.LOG2_BITS - 8
+
+        def run(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = cls.place(b.column(0).to_numpy())
+                for k in np.unique(at >> inner).tolist():
+                    bits = held.setdefault(k, np.zeros(1 << inner, bool))
+                    bits[at[at >> inner == k] & ((1 << inner) - 1)] = True
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()])], ["k", "bits"])
+
+        sliced = df.select(col).repartition(F.shiftrightunsigned(F.col(col), 56)).mapInArrow(run, "k int, bits binary")
+        return cls({r["k"]: r["bits"] for r in sliced.toLocalIterator()})

@@ -14,6 +14,7 @@ from .language_id import language_digest
 from .line_dedup import line_digest
 from .sentencepiece import piece_digest
 from .simhash import simhash_digest
+from .suffix_dedup import substring_digest
 from .token_counts import token_counts
 from .token_output import token_orc_query
 
@@ -32,6 +33,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"), Scratch(spark, "suffix"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_query(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -63,6 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_output": op4_token_output,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_line_dedup": op6_line_dedup,
