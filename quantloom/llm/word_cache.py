@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A space between two white-space characters, or a trailing one after white space:
 #: the only places where splitting at a space could cut a pre-token.
 _UNSAFE = re.compile(r"\s \s|\s $")
-#: Closing marks that form a pre-token of their own after a word.
-_CLOSERS = frozenset(",.;:!?")
+#: Marks whose run after a word is a pre-token of its own (an apostrophe may open a contraction).
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -31,6 +32,13 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
+_LEAD = {"": "", " ": _ALPHABET[32]}
+
+
+def _pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def mapped(word: str) -> str:
     """The word in the byte-level alphabet."""
     return word.encode().decode("latin-1").translate(_ALPHABET)
@@ -43,28 +51,42 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.model = self.tk.model
+        self.tokenize = self.tk.model.tokenize
         self.max_words = max_words
+        #: piece -> ids of the piece after a space; ids of a text's first piece
         self.cache: dict[str, bytes] = {}
-        self.closer = {c: self._pack(self.tk.encode(c, add_special_tokens=False).ids) for c in _CLOSERS}
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        self.firsts: dict[str, bytes] = {}
+        #: ids of short runs of marks that end a word
+        self.tails: dict[str, bytes] = {}
+        self.line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return self._pack(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return _pack(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-    def _piece(self, p: str) -> bytes:
-        """Ids of the piece with its leading space."""
+    def _word(self, p: str, lead: str) -> bytes:
+        """Ids of letters only, which are one pre-token together with a space before them."""
+        return _pack([t.id for t in self.tokenize(_LEAD[lead] + p if p.isascii() else mapped(lead + p))])
+
+    def _piece(self, p: str, lead: str, known: dict[str, bytes]) -> bytes:
         if p.isalpha():
-            return self._pack([t.id for t in self.model.tokenize(mapped(" " + p))])
-        if p[-1:] in _CLOSERS and p[:-1].isalpha():
-            head = self.cache.get(p[:-1])
+            got = self._word(p, lead)
+        elif "\n" in p and all(parts := p.split("\n")):
+            got = self.line_end.join([(own := self.firsts if i else known).get(q) or self._piece(q, "" if i else lead, own) for i, q in enumerate(parts)])
+        elif (word := p.rstrip(_MARKS)).isalpha():
+            head = known.get(word)
             if head is None:
-                head = self._pack([t.id for t in self.model.tokenize(mapped(" " + p[:-1]))])
-            return head + self.closer[p[-1]]
-        return self._whole(" " + p)
+                head = known[word] = self._word(word, lead)
+            marks = p[len(word) :]
+            tail = self.tails.get(marks)
+            if tail is None:
+                tail = self._whole(marks)
+                if len(marks) < 8:
+                    self.tails[marks] = tail
+            got = head + tail
+        else:
+            got = self._whole(lead + p)
+        known[p] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -72,15 +94,24 @@ class ByteBpe:
         if "<|" in text or _UNSAFE.search(text):
             return self._whole(text)
         pieces = text.split(" ")
-        cache = self.cache
-        first = self._whole(pieces[0]) if pieces[0] else b""
-        del pieces[0]
-        try:
-            return first + b"".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) > self.max_words:
-                cache.clear()
-            for p in set(pieces):
-                if p not in cache:
-                    cache[p] = self._piece(p)
-            return first + b"".join([cache[p] for p in pieces])
+        head = pieces.pop(0)
+        known = self.cache
+        ids = list(map(known.get, pieces))
+        if None in ids:
+            if len(known) > self.max_words:
+                known.clear()
+            for i, v in enumerate(ids):
+                if v is None:
+                    p = pieces[i]
+                    ids[i] = known.get(p) or self._piece(p, " ", known)
+        if not head:
+            return b"".join(ids)
+        first = self.firsts.get(head)
+        if first is None:
+            if len(self.firsts) > self.max_words // 4:
+                self.firsts.clear()
+            first = self._piece(head, "", self.firsts)
+        return first + b"".join(ids)
+
+#: Single marks that end a word as pre-tokens of their own under the word-BPE file too.
+_CLOSERS = frozenset(",.;:!?")
