@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def by_ticker() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("dt")
 
