@@ -8,6 +8,8 @@ the session names none (tests, notebooks).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -98,6 +100,14 @@ def rows_within(batches, max_bytes: int, col: int):
             hi = max(lo + 1, int(np.searchsorted(sizes, done + max_bytes, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back: a worker process lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class HashFilter:

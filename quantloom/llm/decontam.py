@@ -168,6 +168,17 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Wind
         yield Windows(held)
 
 
+def _marked(blocks: Iterator[Windows]) -> Iterator[tuple[Windows, bool]]:
+    """Each block, and whether it is the last; an empty one where there is none."""
+    own = next(blocks, None)
+    if own is None:
+        own = Windows([])
+    for after in blocks:
+        yield own, False
+        own = after
+    yield own, True
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cleaned: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, and a struct column ``found``.
 
@@ -176,45 +187,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     untouched whatever their names.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "found")]  # a column of that name is replaced
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row") if rest else F.lit(None).cast("int").alias("row"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     found = T.StructType.fromDDL("n_words long, n_hit long, spans array<struct<s:long,e:long>>, items array<string>, cleaned string")
     state = T.StructType([*kept.schema.fields])
 
-    def step(bc):
+    def search(bc, batches: Iterator[pa.RecordBatch]):
+        """Shards with, per document, words, hit marks and items, joined with what earlier blocks found."""
+        for t in _shards(batches, 1):
+            texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
+            n, hits, items = _search(bc.value, texts)
+            for k, (old, had) in enumerate(zip(t.column("hit").to_pylist(), t.column("items").to_pylist(), strict=True)):
+                if old:
+                    hits[k] = hits[k] | np.frombuffer(old, bool)
+                    items[k].update(had)
+            yield t, texts, n, hits, items
+
+    def middle(bc):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _shards(batches, 1):
-                texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
-                n, hits, items = _search(bc.value, texts)
-                for k, (old, had) in enumerate(zip(t.column("hit").to_pylist(), t.column("items").to_pylist(), strict=True)):
-                    if old:
-                        hits[k] = hits[k] | np.frombuffer(old, bool)
-                        items[k].update(had)
+            for t, _, n, hits, items in search(bc, batches):
                 packed = [h.tobytes() if h.any() else None for h in hits]
                 out = pa.Table.from_arrays([t.column("row"), t.column("text"), pa.array(n), pa.array(packed, pa.binary()), pa.array([sorted(i) if i else None for i in items], pa.list_(pa.string()))], schema=t.schema)
                 yield from out.to_batches()
 
         return run
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def final(bc):
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string())), ("cleaned", pa.string())])
-        for b in batches:
-            rows = []
-            for n, hit, items, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(1), strict=True):
-                spans = _spans(np.frombuffer(hit, bool)) if hit else np.zeros((0, 2), np.int64)
-                own = None
-                if cleaned and text.is_valid:
-                    own = _cut(text.as_py().encode(), spans).decode() if len(spans) else text.as_py()
-                rows.append({"n_words": n, "n_hit": int((spans[:, 1] - spans[:, 0]).sum()), "spans": [{"s": s, "e": e} for s, e in spans.tolist()], "items": items or [], "cleaned": own})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["row", "found"])
-
-    blocks = 0
-    for w in _blocks(benchmark, item_col, item_text_col):
-        kept = kept.mapInArrow(step(spark.sparkContext.broadcast(w)), state)
-        blocks += 1
-    if not blocks:
-        kept = kept.mapInArrow(step(spark.sparkContext.broadcast(Windows([]))), state)
-    out = kept.mapInArrow(close, T.StructType([state["row"], T.StructField("found", found)]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, texts, n, hits, items in search(bc, batches):
+                valid = t.column("text").is_valid().to_pylist()
+                rows = []
+                for size, hit, found, text, there in zip(n.tolist(), hits, items, texts, valid, strict=True):
+                    spans = _spans(hit)
+                    own = (_cut(text, spans) if len(spans) else text).decode() if cleaned and there else None
+                    rows.append({"n_words": size, "n_hit": int((spans[:, 1] - spans[:, 0]).sum()), "spans": [{"s": s, "e": e} for s, e in spans.tolist()], "items": sorted(found), "cleaned": own})
+                yield from pa.Table.from_arrays([t.column("row"), pa.chunked_array([pa.array(rows, kind)])], ["row", "found"]).to_batches()
+
+        return run
+
+    for w, last in _marked(_blocks(benchmark, item_col, item_text_col)):
+        bc = spark.sparkContext.broadcast(w)
+        if last:
+            out = kept.mapInArrow(final(bc), T.StructType([state["row"], T.StructField("found", found)]))
+        else:
+            kept = kept.mapInArrow(middle(bc), state)
     return out.select(*[F.col("row").getField(c).alias(c) for c in rest], "found")
 
 

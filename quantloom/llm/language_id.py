@@ -233,6 +233,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> BiGru | N
 
 def predict(docs: DataFrame, model: BiGru | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and a struct column ``language`` (lang_pred, score)."""
+    docs = docs.drop("language")  # a column of that name is replaced
     spark = docs.sparkSession
     bc = spark.sparkContext.broadcast(model)  # a few thousand weights
     schema = T.StructType([*docs.schema.fields, T.StructField("language", T.StructType.fromDDL("lang_pred string, score double"))])

@@ -124,6 +124,7 @@ def _cut_rows(df: DataFrame, text_at: int, schema: T.StructType) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` as they are, and a struct column ``lines``: text, n_lines, n_chunks_removed, n_lines_removed."""
+    docs = docs.drop("lines")  # a column of that name is replaced
     cuts = removals(docs, scratch, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
     joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("lines", T.StructType.fromDDL("text string, n_lines long, n_chunks_removed long, n_lines_removed long"))])

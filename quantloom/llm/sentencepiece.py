@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_within
+from .common import rows_within, tidy
 
 MARK = "▁"
 PENALTY = 10.0
@@ -92,7 +92,7 @@ class DoubleArray:
 class Unigram:
     """Scored pieces with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 500_000):
+    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 250_000):
         self.ids = np.array([i for i, _, _ in pieces], np.int64)
         self.scores = np.array([s for _, _, s in pieces])
         self.byte_ids, self.unknown, self.max_words = byte_ids, float(self.scores.min()) - PENALTY, max_words
@@ -241,21 +241,31 @@ def model(path: str) -> Unigram:
     return _models[path]
 
 
-def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with a last column of piece ids."""
+def _id_lists(ids: list[bytes], null: list[bool]) -> pa.Array:
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")), mask=pa.array(null))
+
+
+def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with a last column of piece ids and, if named, one of the text decoded from them."""
+    docs = docs.drop(ids_col, *[decoded_col] * bool(decoded_col))  # columns of these names are replaced
     where = docs.columns.index(text_col)
+    fields = [*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    if decoded_col:
+        fields.append(T.StructField(decoded_col, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for b in rows_within(batches, 4 << 20, where):
+        for b in rows_within(batches, 2 << 20, where):
             texts = b.column(where).to_pylist()
+            null = [t is None for t in texts]
             ids = m.encode_all([t or "" for t in texts])
-            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in texts]))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, ids_col])
+            cols = [*b.columns, _id_lists(ids, null)]
+            if decoded_col:
+                cols.append(pa.array([None if n else m.decode(np.frombuffer(i, "<u4").tolist()) for i, n in zip(ids, null, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def decode_column(docs: DataFrame, model_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -265,17 +275,16 @@ def decode_column(docs: DataFrame, model_path: str, ids_col: str = "token_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                own = b.slice(lo, 500)
-                text = [None if i is None else m.decode(i) for i in own.column(where).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(text, pa.string())], names=[*own.schema.names, text_col])
+            text = [m.decode(i.values.to_numpy(zero_copy_only=False).tolist()) if i.is_valid else None for i in b.column(where)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, text_col])
+        tidy()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: doc_id, n_pieces, ids_sha256 (of the comma-joined ids), decoded_sha256, round_trip."""
-    both = decode_column(encode_column(docs.select("doc_id", "text"), model_path), model_path)
+    both = encode_column(docs.select("doc_id", "text"), model_path, decoded_col="decoded")
     ids = F.coalesce("token_ids", F.array().cast("array<int>"))
     return both.select(
         "doc_id",
