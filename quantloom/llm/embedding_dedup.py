@@ -32,8 +32,9 @@ from .common import Scratch
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Bound of the sample that the rotation is learnt on.
+#: Bounds of the sample that the rotation is learnt on: vectors, and numbers in them.
 SAMPLE = 20_000
+SAMPLE_VALUES = 4_000_000
 BITS = 64
 SEGMENTS = 4
 ROUNDS = 30
@@ -86,6 +87,8 @@ def _unit(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def fit(vectors: DataFrame, emb_col: str = "embedding", sample: int = SAMPLE) -> dict[int, Itq]:
     """A quantiser for each vector length, from the vectors with the lowest hashes."""
+    width = vectors.agg(F.max(F.size(emb_col)).alias("n")).first()["n"] or 0
+    sample = min(sample, SAMPLE_VALUES // max(1, width))
     rows = vectors.where(F.col(emb_col).isNotNull()).select(F.xxhash64(emb_col).alias("h"), F.col(emb_col).alias("e")).orderBy("h").limit(sample).collect()
     return {d: Itq(x) for d, (_, x) in _unit([r["e"] for r in rows]).items()}
 

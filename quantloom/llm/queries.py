@@ -12,6 +12,7 @@ from .embedding_dedup import embedding_links
 from .html_extract import main_text
 from .language_id import language_digest
 from .line_dedup import line_digest
+from .oracle import ORACLE_SQL
 from .sentencepiece import piece_digest
 from .simhash import simhash_digest
 from .suffix_dedup import substring_digest
@@ -77,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
