@@ -7,12 +7,14 @@ the parse of a document is its sequence of phrases, and phrases overlap so that
 string lies in exactly one. Equal phrases are one dictionary entry with the smallest
 document that holds it. Where a trigger has one phrase only, that smallest document
 decides for all its strings. Where it has several, the strings of the *dictionary's*
-phrases are compared by their 128-bit hashes: that is the order of the dictionary's
-suffixes cut at LENGTH bytes, of which only the classes of equal ones are needed. The
-dictionary is small for repetitive text, and no class is ever expanded into pairs.
+phrases with that trigger are compared: that is the order of the dictionary's suffixes
+cut at LENGTH bytes, of which only the classes of equal ones are needed. A trigger with
+more than ``HOT`` phrases is not gathered in one task: its strings are dealt by their
+128-bit hashes instead. The dictionary is small for repetitive text, and no class is ever
+expanded into pairs.
 
 Shuffles, in order: trigger hashes as packed arrays; the phrases of shared triggers; the
-strings of dictionary entries with several phrases to a trigger; the removals; the texts.
+dictionary entries with several phrases to a trigger; the removals; the texts.
 Two filters of fixed size tell shared triggers from others and only save rows. All joins
 have plain shuffles on both sides, which adaptive execution splits where a phrase is in
 very many documents.
@@ -49,6 +51,8 @@ _LOW = np.uint64((1 << 24) - 1)
 _BOTH = np.uint64(1 << 24)
 _KEY = ~np.uint64((1 << 25) - 1)
 _SLICE = 8 << 20
+#: Dictionary phrases of one trigger that a task compares by itself.
+HOT = 500
 
 
 def _pow(n: int) -> np.uint64:
@@ -138,7 +142,8 @@ def parse(texts: list[bytes]) -> Phrases | None:
     text = np.searchsorted(start, at, "right") - 1
     while (short := sizes[text] == 0).any():  # empty texts share the start of the next one
         text[short] -= 1
-    return Phrases(low[at], e, text, at - start[text], run, at, raw)
+    # the smallest of many hashes is a small number: spread it over all bits again
+    return Phrases(_mix(low[at] * _MIX), e, text, at - start[text], run, at, raw)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Phrases]]:
@@ -232,6 +237,50 @@ def _strings(entries: DataFrame, only: HashFilter | None) -> DataFrame:
     return entries.mapInArrow(run, "w binary, f long, h long, e long, k int, doc_id long")
 
 
+def _compared(entries: DataFrame, partitions: int) -> DataFrame:
+    """(h, e, lower): strings of dictionary entries (h, e, doc_id, raw) that an entry of the same trigger holds in a smaller document."""
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("first", pa.int64())]))
+
+    def group(rows: list[tuple]) -> Iterator[tuple[int, int, list[dict]]]:
+        first: dict[bytes, int] = {}
+        for _, _, d, raw in rows:
+            for k in range(len(raw) - LENGTH + 1):
+                w = raw[k : k + LENGTH]
+                if first.setdefault(w, d) > d:
+                    first[w] = d
+        for h, e, d, raw in rows:
+            low = [{"k": k, "first": f} for k in range(len(raw) - LENGTH + 1) if (f := first[raw[k : k + LENGTH]]) < d]
+            if low:
+                yield h, e, low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    out += group(held)
+                    held = []
+                held.append(row)
+            yield _batch(out)
+        if held:
+            yield _batch(list(group(held)))
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)], ["h", "e", "lower"])
+
+    return entries.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "h long, e long, lower array<struct<k:int,first:long>>")
+
+
+def _dealt(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same as ``_compared`` for triggers of any number of entries: strings are dealt by their hashes."""
+    equal = _strings(entries, None).groupBy("w", "f").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    equal = scratch.keep(equal.select("w", "f", "first"), "equal")
+    own = _strings(entries, HashFilter.of(equal, "f")).join(equal, ["w", "f"]).where("first < doc_id")
+    # at most SPAN strings a phrase
+    return own.groupBy("h", "e").agg(F.collect_list(F.struct("k", "first")).alias("lower"))
+
+
 def _release(spark) -> None:
     """Lets the driver forget plans of finished steps, so that their shuffle files go."""
     gc.collect()
@@ -248,26 +297,29 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     _release(spark)
     while True:
         phrases = scratch.keep(_phrases(known, one, more), "phrases")
-        entries = phrases.groupBy("h", "e").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("raw", ignorenulls=True).alias("raw"))
+        entries = phrases.groupBy("h", "e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top"), F.max(F.col("raw").isNotNull()).alias("several"))
         entries = scratch.keep(entries, "dictionary")
         # packed entries hold 24 bits of a phrase's hash; a trigger whose phrases agree in them goes once more
-        missed = [r["h"] for r in entries.where("raw is null").groupBy("h").count().where("count > 1").select("h").limit(100_000).collect()]
+        missed = [r["h"] for r in entries.where("not several").groupBy("h").count().where("count > 1").select("h").limit(100_000).collect()]
         if not missed:
             break
         more.add(np.array(missed, np.int64))
         scratch.drop(phrases)
         scratch.drop(entries)
     _release(spark)
-    several = entries.where("raw is not null").select("h", "e", "doc_id", "raw")
-    equal = _strings(several, None).groupBy("w", "f").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    equal = scratch.keep(equal.select("w", "f", "first"), "equal")
+    several = phrases.where("raw is not null").groupBy("h", "e").agg(F.min("doc_id").alias("doc_id"), F.first("raw").alias("raw"))
+    several = scratch.keep(several, "several")
     _release(spark)
-    own = _strings(several, HashFilter.of(equal, "f")).join(equal, ["w", "f"]).where("first < doc_id")
-    # at most SPAN strings a phrase
-    lower = scratch.keep(own.groupBy("h", "e").agg(F.collect_list(F.struct("k", "first")).alias("lower")), "lower")
+    n = scratch.keep(several.groupBy("h").count().where("count > 1").select("h", (F.col("count") > HOT).alias("hot")), "counts")
+    dealt = several.join(n, "h")
+    cool = scratch.keep(_compared(dealt.where("not hot").select("h", "e", "doc_id", "raw"), parts), "cool")
+    hot = scratch.keep(dealt.where("hot").select("h", "e", "doc_id", "raw"), "hot")
+    lower = cool.union(scratch.keep(_dealt(hot, scratch), "lower"))
     _release(spark)
-    book = entries.where("doc_id < top").select("h", "e", F.col("doc_id").alias("first")).join(lower, ["h", "e"], "full_outer")
+    book = entries.where("first < top").select("h", "e", "first").join(lower, ["h", "e"], "full_outer")
     book = scratch.keep(book, "book")
+    for t in (triggers, entries, several, n, cool, hot, lower):
+        scratch.drop(t)
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
     some = F.aggregate(F.filter("lower", lambda x: x["first"] < F.col("doc_id")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x["k"])))
     mask = F.when(F.col("doc_id") > F.col("first"), bit(F.col("run")) - 1).otherwise(F.coalesce(some, F.lit(0).cast("long")))
@@ -275,8 +327,8 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # the phrases of one document: never more than it has bytes
     out = scratch.keep(cut.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "mask")).alias("cuts")), "cuts")
     _release(spark)
-    for t in (triggers, phrases, entries, equal, lower, book):
-        scratch.drop(t)
+    scratch.drop(phrases)
+    scratch.drop(book)
     return out
 
 
