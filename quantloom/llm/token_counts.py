@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_within
-from .word_cache import _CLOSERS, mapped
+from .word_cache import _MARKS, mapped
 
 #: Borders that are white space for the tokenizer and for us alike; any other white
 #: space stays inside a piece, which the library then splits itself.
@@ -52,6 +52,7 @@ class PrefixCounter:
         self.max_words = max_words
         #: piece -> counts at its prefixes 1..len, as bytes where they fit
         self.tables: dict[str, bytes | list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
 
     def _library(self, parts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tk.encode_batch_fast(parts, add_special_tokens=False)]
@@ -65,6 +66,15 @@ class PrefixCounter:
         low = self.tk.normalizer.normalize_str(word)
         return low if len(low) == len(word) and low.isalpha() and is_normalized("NFC", word) else None
 
+    def _tail(self, marks: str) -> list[int]:
+        """Counts at the prefixes of a run of marks after a word."""
+        got = self.tails.get(marks)
+        if got is None:
+            got = self._library([marks[: j + 1] for j in range(len(marks))])
+            if len(marks) < 8:
+                self.tails[marks] = got
+        return got
+
     def learn(self, pieces: set[str]) -> None:
         """Adds the prefix tables of pieces that have none yet."""
         if len(self.tables) > self.max_words:
@@ -75,7 +85,7 @@ class PrefixCounter:
             if len(p) > self.LONG:
                 tables[p] = self._library([p])
                 continue
-            word, tail = (p[:-1], 1) if p[-1] in _CLOSERS else (p, 0)
+            word = p.rstrip(_MARKS)
             low = self._simple(word)
             if low is None:
                 got = self._library([p[: j + 1] for j in range(len(p))])
@@ -88,7 +98,7 @@ class PrefixCounter:
                     counts += [len(tokenize(low[: j + 1])) for j in range(same, len(low))]
                 else:
                     counts += [len(tokenize(mapped(low[: j + 1]))) for j in range(same, len(low))]
-                got = [*counts, counts[-1] + 1] if tail else counts
+                got = [*counts, *(counts[-1] + n for n in self._tail(p[len(word) :]))] if len(word) < len(p) else counts
             tables[p] = bytes(got) if max(got) < 256 else got
 
     def pieces(self, text: str) -> list[str]:

@@ -112,6 +112,3 @@ class ByteBpe:
                 self.firsts.clear()
             first = self._piece(head, "", self.firsts)
         return first + b"".join(ids)
-
-#: Single marks that end a word as pre-tokens of their own under the word-BPE file too.
-_CLOSERS = frozenset(",.;:!?")
