@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 from .common import rows_within
 from .word_cache import _MARKS, mapped
 
-#: Borders that are white space for the tokenizer and for us alike; any other white
-#: space stays inside a piece, which the library then splits itself.
-_BORDER = re.compile("[ \t\n\r]+")
 _PIECE = re.compile("[^ \t\n\r]+")
 LIMIT = 2048
 
@@ -44,7 +41,7 @@ class PrefixCounter:
     #: counted when a question falls inside one.
     LONG = 256
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
@@ -80,8 +77,10 @@ class PrefixCounter:
         if len(self.tables) > self.max_words:
             self.tables.clear()
         tables, tokenize = self.tables, self.model.tokenize
-        before, counts = "", []
-        for p in sorted(p for p in pieces if p not in tables):
+        forms: dict[str, list[tuple[str, str]]] = {}  # normalized word -> pieces of it, and the marks after it
+        for p in pieces:
+            if p in tables:
+                continue
             if len(p) > self.LONG:
                 tables[p] = self._library([p])
                 continue
@@ -89,20 +88,32 @@ class PrefixCounter:
             low = self._simple(word)
             if low is None:
                 got = self._library([p[: j + 1] for j in range(len(p))])
+                tables[p] = bytes(got) if max(got) < 256 else got
+            else:
+                forms.setdefault(low, []).append((p, p[len(word) :]))
+        before, counts = "", []
+        for low in sorted(forms):
+            if (known := tables.get(low)) is not None:
+                counts = list(known)
             else:
                 same, top = 0, min(len(low), len(before))
                 while same < top and low[same] == before[same]:
                     same += 1
-                counts, before = counts[:same], low
-                if low.isascii():
-                    counts += [len(tokenize(low[: j + 1])) for j in range(same, len(low))]
-                else:
-                    counts += [len(tokenize(mapped(low[: j + 1]))) for j in range(same, len(low))]
-                got = [*counts, *(counts[-1] + n for n in self._tail(p[len(word) :]))] if len(word) < len(p) else counts
-            tables[p] = bytes(got) if max(got) < 256 else got
+                parts = low if low.isascii() else [mapped(c) for c in low]
+                counts = counts[:same] + [len(tokenize(w)) for w in islice(accumulate(parts), same, None)]
+                tables[low] = bytes(counts) if max(counts) < 256 else counts
+            before = low
+            for p, marks in forms[low]:
+                if p != low:
+                    got = [*counts, *(counts[-1] + n for n in self._tail(marks))] if marks else counts
+                    tables[p] = bytes(got) if max(got) < 256 else got
 
     def pieces(self, text: str) -> list[str]:
-        return [p for p in _BORDER.split(text) if p]
+        """Runs without a border: characters that are white space for the tokenizer and for us alike.
+        Any other white space stays inside a piece, which the library then splits itself."""
+        for c in "\n\t\r":
+            text = text.replace(c, " ")
+        return [p for p in text.split(" ") if p]
 
     def totals(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece."""
