@@ -52,7 +52,7 @@ _BOTH = np.uint64(1 << 24)
 _KEY = ~np.uint64((1 << 25) - 1)
 _SLICE = 8 << 20
 #: Dictionary phrases of one trigger that a task compares by itself.
-HOT = 500
+HOT = 100
 
 
 def _pow(n: int) -> np.uint64:
