@@ -70,7 +70,8 @@ class ByteBpe:
     def _piece(self, p: str, lead: str, known: dict[str, bytes]) -> bytes:
         if p.isalpha():
             got = self._word(p, lead)
-        elif "\n" in p and all(parts := p.split("\n")):
+        elif "\n" in p and all(parts := p.split("\n")) and not any(q[0].isspace() for q in parts[1:]):
+            # white space after a newline may share its pre-token
             got = self.line_end.join([(own := self.firsts if i else known).get(q) or self._piece(q, "" if i else lead, own) for i, q in enumerate(parts)])
         elif (word := p.rstrip(_MARKS)).isalpha():
             head = known.get(word)

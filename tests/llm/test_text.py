@@ -41,6 +41,15 @@ def test_byte_bpe_equals_the_library(byte_bpe):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_byte_bpe_with_white_space_after_a_newline(byte_bpe):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(byte_bpe), word_cache.ByteBpe(byte_bpe, max_words=50)
+    texts = odd_texts(4000, 8, "xyé. \n\n\t\r\x1c\x85\u00a0\u00a0\u2003\u2028\u3000")
+    for t in ["x\n\u00a0\u00a0y", "x\n\u00a0\ty", *texts]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_every_prefix_count_equals_the_library(word_bpe):
     from tokenizers import Tokenizer
 
