@@ -1,18 +1,26 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by runs of lines, or by content-defined chunks of lines alone.
 
-A rolling hash over the hashes of ``WINDOW`` neighbouring lines ends a chunk where it
+By runs (``runs=True``; the query and the pipeline), every visible line is an anchor:
+each two neighbouring visible lines, with the blank lines between them, are a pair, and
+a pair that stands at an earlier place of any document is removed after its bytes were
+compared with those at its first place. Pairs overlap, so a repeated run of two or more
+visible lines goes from its first to its last line wherever it begins, and a line's
+first place always stays. A document left without a visible line becomes empty. A line
+that repeats by itself, between other neighbours, stays.
+
+By chunks, a rolling hash over the hashes of ``WINDOW`` neighbouring lines ends a chunk where it
 leaves no remainder, so an inserted or missing line moves only the borders next to it.
 A chunk of at least two lines with visible characters that occurs more than once in all
 documents is kept at its first place (smallest document id, then place in it) and
 removed elsewhere, after its bytes were compared with those at the first place.
 
 Only hashes are shuffled to find repeats. A second reading of the texts sends the bytes
-of chunks whose hash may be repeated (a filter of fixed size decides), and those meet
-the bytes of the first place. A chunk that very many documents share is a single row on
+of units (pairs or chunks) whose hash may be repeated (a filter of fixed size decides),
+and those meet the bytes of the first place. A unit that very many documents share is a single row on
 one side of that join, and the other side is split by adaptive execution.
 
 Defined cases: null text stays null; rows without an id are never judged; rows that share
-an id count as one document, and a chunk at the same place of them as one; an empty table
+an id count as one document, and a unit at the same place of them as one; an empty table
 gives no rows; other columns pass through.
 """
 
@@ -50,6 +58,31 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     return [(a, b, b"\n".join(lines[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def visible(lines: list[bytes]) -> list[int]:
+    return [k for k, x in enumerate(lines) if x.strip()]
+
+
+def pairs(text: bytes) -> list[tuple[int, bytes]]:
+    """(first line, bytes) of each two neighbouring visible lines, with the blank lines between."""
+    lines = text.split(b"\n")
+    at = visible(lines)
+    return [(a, b"\n".join(lines[a : b + 1])) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def without_pairs(text: bytes, cut: set[int]) -> tuple[bytes, int, int]:
+    """What is left of a text, the number of runs and of lines removed; ``cut`` has first lines of pairs."""
+    lines = text.split(b"\n")
+    at = visible(lines)
+    gone = np.zeros(len(lines) + 1, bool)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if a in cut:
+            gone[a : b + 1] = True
+    n_runs = int(np.count_nonzero(gone[:-1] & ~gone[1:]))
+    if n_runs and gone[at].all():
+        return b"", n_runs, len(lines)
+    return b"\n".join(x for x, g in zip(lines, gone[:-1].tolist(), strict=True) if not g), n_runs, int(gone.sum())
+
+
 def _judged(lo: int, hi: int, raw: bytes) -> bool:
     return hi - lo > 1 and sum(1 for x in raw.split(b"\n") if x.strip()) > 1
 
@@ -59,46 +92,75 @@ def _hash(raw: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _occurrences(docs: DataFrame, only: HashFilter | None) -> DataFrame:
-    """(h, doc_id, no) of the judged chunks; with a filter also their bytes, of those that pass."""
-    bc = docs.sparkSession.sparkContext.broadcast(only)  # fixed size
+def _units(text: bytes, runs: bool) -> list[tuple[int, bytes]]:
+    """(place, bytes) of what is compared."""
+    return pairs(text) if runs else [(k, c) for k, (lo, hi, c) in enumerate(chunks(text)) if _judged(lo, hi, c)]
+
+
+def _placed(h, doc, no):
+    """A long for a hash at a place, in numpy or in Spark: only a filter reads it."""
+    if isinstance(h, np.ndarray):
+        return h ^ (doc << 37) ^ (no << 50)
+    return h.bitwiseXOR(F.shiftleft(doc, 37)).bitwiseXOR(F.shiftleft(no.cast("long"), 50))
+
+
+def _occurrences(docs: DataFrame, runs: bool, only: HashFilter | None = None, firsts: HashFilter | None = None) -> DataFrame:
+    """(h, doc_id, no) of the units; with filters, of those that pass ``only``, their bytes and whether they may be a first place."""
+    bc = docs.sparkSession.sparkContext.broadcast((only, firsts))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, firsts = bc.value
         for b in rows_within(batches, 8 << 20, 1):
             h, doc, no, raw = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                for k, (lo, hi, c) in enumerate(chunks(t)) if d is not None else ():
-                    if _judged(lo, hi, c):
-                        h.append(_hash(c))
-                        doc.append(d)
-                        no.append(k)
-                        raw.append(c)
+                for k, c in _units(t, runs) if d is not None else ():
+                    h.append(_hash(c))
+                    doc.append(d)
+                    no.append(k)
+                    raw.append(c)
             cols = [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())]
             names = ["h", "doc_id", "no"]
-            if bc.value is None:
+            if only is None:
                 yield pa.RecordBatch.from_arrays(cols, names)
             elif h:
-                hit = bc.value.has(np.array(h, np.int64))
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], [*names, "raw"]).filter(pa.array(hit))
+                at = np.array(h, np.int64)
+                first = firsts.has(_placed(at, np.array(doc, np.int64), np.array(no, np.int64)))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary()), pa.array(first)], [*names, "raw", "may_be_first"]).filter(pa.array(only.has(at)))
 
-    return docs.mapInArrow(run, "h long, doc_id long, no int" + ("" if only is None else ", raw binary"))
+    return docs.mapInArrow(run, "h long, doc_id long, no int" + ("" if only is None else ", raw binary, may_be_first boolean"))
 
 
-def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, cut: places of the chunks to remove) of the documents that lose any."""
+def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """(doc_id, cut: places of the units to remove) of the documents that lose any."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     place = F.struct("doc_id", "no")
-    repeated = _occurrences(plain, None).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    repeated = _occurrences(plain, runs).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     repeated = scratch.keep(repeated.select("h", "first"), "repeated")
-    found = scratch.keep(_occurrences(plain, HashFilter.of(repeated, "h")), "found")
-    first = found.join(repeated, "h").where(F.struct("doc_id", "no") == F.col("first")).groupBy("h", "first").agg(F.first("raw").alias("kept"))
-    first = scratch.keep(first, "first")
-    gone = found.join(first, "h").where((F.struct("doc_id", "no") != F.col("first")) & (F.col("raw") == F.col("kept")))
-    # the places of one document: never more than it has chunks
+    firsts = repeated.select(_placed(F.col("h"), F.col("first.doc_id"), F.col("first.no")).alias("p"))
+    found = scratch.keep(_occurrences(plain, runs, HashFilter.of(repeated, "h"), HashFilter.of(firsts, "p")), "found")
+    is_first = F.struct("doc_id", "no") == F.col("first")
+    # both sides of each join grow with the input, so none is broadcast
+    judged = scratch.keep(found.where("may_be_first").join(repeated.hint("merge"), "h").select("h", "doc_id", "no", "raw", is_first.alias("is_first")), "judged")
+    first = judged.where("is_first").groupBy("h").agg(F.first("raw").alias("kept"))
+    others = found.where("not may_be_first").drop("may_be_first").union(judged.where("not is_first").drop("is_first"))
+    gone = others.join(first.hint("merge"), "h").where(F.col("raw") == F.col("kept"))
+    # the places of one document: never more than it has units
     return scratch.keep(gone.groupBy("doc_id").agg(F.collect_set("no").alias("cut")), "cuts")
 
 
-def _cut_rows(df: DataFrame, text_at: int, schema: T.StructType) -> DataFrame:
+def _without_chunks(text: bytes, cut: set[int]) -> tuple[bytes, int, int]:
+    kept, lost = [], 0
+    for k, (lo, hi, raw) in enumerate(chunks(text)):
+        if k in cut:
+            lost += hi - lo
+        else:
+            kept.append(raw)
+    return b"\n".join(kept), len(cut), lost
+
+
+def _cut_rows(df: DataFrame, text_at: int, schema: T.StructType, runs: bool) -> DataFrame:
+    without = without_pairs if runs else _without_chunks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_chunks_removed", pa.int64()), ("n_lines_removed", pa.int64())])
         for b in rows_within(batches, 8 << 20, text_at):
@@ -107,31 +169,40 @@ def _cut_rows(df: DataFrame, text_at: int, schema: T.StructType) -> DataFrame:
                 if t is None:
                     out.append({"text": None, "n_lines": 0, "n_chunks_removed": 0, "n_lines_removed": 0})
                     continue
-                n, lost = t.count("\n") + 1, 0
+                n, n_cut, lost = t.count("\n") + 1, 0, 0
                 if cut:
-                    gone, kept = set(cut), []
-                    for k, (lo, hi, raw) in enumerate(chunks(t.encode())):
-                        if k in gone:
-                            lost += hi - lo
-                        else:
-                            kept.append(raw)
-                    t = b"\n".join(kept).decode()
-                out.append({"text": t, "n_lines": n, "n_chunks_removed": len(cut or ()), "n_lines_removed": lost})
+                    t, n_cut, lost = without(t.encode(), set(cut))
+                    t = t.decode()
+                out.append({"text": t, "n_lines": n, "n_chunks_removed": n_cut, "n_lines_removed": lost})
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], names=[*b.schema.names[:-1], "lines"])
 
     return df.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` as they are, and a struct column ``lines``: text, n_lines, n_chunks_removed, n_lines_removed."""
+def _passing(docs: DataFrame, id_col: str, held: HashFilter, wanted: bool) -> DataFrame:
+    """The rows whose id may (or cannot) be held, so that only texts that may lose lines are shuffled."""
+    bc = docs.sparkSession.sparkContext.broadcast(held)  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(bc.value.has(b.column(b.num_columns - 1).to_numpy()) == wanted))
+
+    return docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("long"))).mapInArrow(run, docs.schema)
+
+
+def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """All columns of ``docs`` as they are, and a struct column ``lines``: text, n_lines, n_chunks_removed (by runs: runs removed), n_lines_removed."""
     docs = docs.drop("lines")  # a column of that name is replaced
-    cuts = removals(docs, scratch, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("lines", T.StructType.fromDDL("text string, n_lines long, n_chunks_removed long, n_lines_removed long"))])
-    return _cut_rows(joined, docs.columns.index(text_col), schema)
+    cuts = removals(docs, scratch, id_col, text_col, runs).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
+    held = HashFilter.of(cuts.select(F.xxhash64("__id").alias("k")), "k")
+    hit = _passing(docs, id_col, held, True).join(cuts.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    other = _passing(docs, id_col, held, False).withColumn("__cut", F.lit(None).cast("array<int>"))
+    at = docs.columns.index(text_col)
+    return _cut_rows(hit, at, schema, runs).union(_cut_rows(other, at, schema, runs))
 
 
-def line_digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def line_digest(docs: DataFrame, scratch: Scratch, runs: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines, n_chunks_removed, n_lines_removed, kept_sha256."""
-    d = dedup_lines(docs.select("doc_id", "text"), scratch)
+    d = dedup_lines(docs.select("doc_id", "text"), scratch, runs=runs)
     return d.select("doc_id", "lines.n_lines", "lines.n_chunks_removed", "lines.n_lines_removed", F.sha2(F.coalesce("lines.text", F.lit("")), 256).alias("kept_sha256"))

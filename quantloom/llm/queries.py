@@ -47,7 +47,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+    return line_digest(table(spark, sf_dir, "documents"), Scratch(spark, "lines"), runs=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

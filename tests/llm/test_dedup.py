@@ -140,6 +140,54 @@ def test_line_dedup_against_a_loop(spark, sf, scratch):
     assert got == want and sum(v[0] for v in want.values()) > 0
 
 
+def plain_runs(rows):
+    """Lines of every repeated run of two or more visible lines, by a loop over whole runs of any length."""
+    at, out = {}, {}
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        seen, gone = [k for k, x in enumerate(lines) if x.strip()], set()
+        for j, a in enumerate(seen):
+            for b in seen[j + 1 :]:
+                if (raw := "\n".join(lines[a : b + 1])) in at:
+                    gone |= set(range(a, b + 1))
+                at.setdefault(raw, i)
+        left = [x for k, x in enumerate(lines) if k not in gone]
+        out[i] = (len(lines), "") if gone and not any(x.strip() for x in left) else (len(gone), "\n".join(left))
+    return out
+
+
+def test_runs_of_lines_against_brute_force(spark, scratch):
+    random.seed(4)
+    new = iter(f"own line {k}" for k in range(10**6))
+    rows = []
+    for n in (2, 3, 5, 10, 20):
+        shared = [f"shared {n} line {k}" if k % 4 != 3 else "" for k in range(n)]
+        for _ in range(4):
+            rows.append((len(rows), "\n".join([*[next(new) for _ in range(random.randint(1, 4))], *shared, *[next(new) for _ in range(random.randint(1, 4))]])))
+    rows += [(len(rows) + k, "\n".join(random.choice(["a", "b", "c", "", " "]) for _ in range(random.randint(0, 12)))) for k in range(20)]
+    rows += [(100, None), (101, "\n\nfirst\n\nsecond\n"), (102, "first\n\nsecond\n\n"), (103, "first\nsecond")]
+    got = {r.doc_id: (r.lines.n_lines_removed, r.lines.text or "") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch, runs=True).collect()}
+    want = plain_runs(rows)
+    assert got == want
+    assert all(want[i][0] == n - (n % 4 == 0) for k, n in enumerate((2, 3, 5, 10, 20)) for i in range(4 * k + 1, 4 * k + 4))
+    assert {i: want[i][1] for i in (102, 103)} == {102: "", 103: "first\nsecond"}
+
+
+def test_line_query_removes_every_repeated_run(spark, sf):
+    from quantloom.llm.queries import QUERIES
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_lines_removed, r.kept_sha256) for r in QUERIES["op6_line_dedup"](spark, sf).collect()}
+    assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in plain_runs(rows).items()}
+
+
+def test_runs_odd_rows(odd_docs, no_docs, scratch):
+    got = line_dedup.dedup_lines(odd_docs, scratch, runs=True).collect()
+    text = {r.doc_id: r.lines.text for r in got}
+    assert len(got) == odd_docs.count() and text[2] == "" and text[3] is None and text[5] == "\n\n" and text[None] == "no id here at all"
+    assert line_dedup.dedup_lines(no_docs, scratch, runs=True).count() == 0
+
+
 def test_chunks_shift_only_near_a_change():
     lines = [f"line number {i * i % 97}" for i in range(200)]
     a = {c for _, _, c in line_dedup.chunks("\n".join(lines).encode())}
