@@ -21,6 +21,13 @@ def test_pipeline_equals_its_stages(spark, sf, tmp_path):
     assert key(corpus_pipeline.run(spark, sf)) == key(docs)
 
 
+def test_documents_stay_where_no_language_can_be_learnt(spark, sf, odd_docs):
+    docs = odd_docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "cast(length(text) as long) as n_chars")
+    out = corpus_pipeline.identify_language(spark, docs, sf)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert {r.doc_id for r in out.collect()} == {1, 2, 6, 7, 8, 10, None}
+
+
 def test_stages_on_odd_rows(spark, sf, odd_docs):
     docs = odd_docs.selectExpr("doc_id", "text", "lang", "cast(null as string) as source", "cast(length(text) as long) as n_chars", "h")
     for _, stage in corpus_pipeline.STAGES:
