@@ -16,6 +16,8 @@ from .standin import StandIn
 Query = Callable[[StandIn], DataFrame]
 LISTS = ["m_dn_0", "m_dn_3", "tval"]
 COVERED = ["close", "high", "low", "tval", "m_dn_0", "m_dn_3", "is_unusual_volume", "clean_score"]
+#: All features of the training panel.
+FEATURES = ["broker_concentration", "net_flow_total", "n_brokers", "net_buy_ratio", "retail_presence_pct", "broker_correlation_1d", "momentum_1d", "volume_ratio"]
 
 
 #: Queries that return stored values or their exact sums: decimals of seven to nine places,
@@ -175,8 +177,8 @@ QUERY: dict[str, Query] = {
     "parse_scalars": literals,
     "feature_correlation": lambda t: metrics.feature_correlation(features.training_panel(t.B, t.P), ["broker_concentration", "net_flow_total", "n_brokers", "net_buy_ratio", "momentum_1d", "volume_ratio"]),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
-    "gbt_walk_forward": lambda t: walkforward.gbt_walk_forward(features.price_features(t.P), ["momentum_1d", "volume_ratio"], train_min=60, test_window=12, trees=3),
-    "permutation_importance": lambda t: walkforward.permutation_importance(features.price_features(t.P), ["momentum_1d", "volume_ratio"], trees=3),
+    "gbt_walk_forward": lambda t: walkforward.gbt_walk_forward(features.training_panel(t.B, t.P), FEATURES, trees=100),
+    "permutation_importance": lambda t: walkforward.permutation_importance(features.training_panel(t.B, t.P), FEATURES, trees=100),
 }
 
 

@@ -42,6 +42,21 @@ def test_without_twin(spark, sf, name):
     assert queries.queries()[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["gbt_walk_forward", "permutation_importance"])
+def test_trees_take_the_whole_panel(monkeypatch, name):
+    import inspect
+    from types import SimpleNamespace
+
+    sign, calls = inspect.signature(getattr(queries.walkforward, name)), []
+    monkeypatch.setattr(queries.features, "training_panel", lambda b, p: (b, p))
+    monkeypatch.setattr(queries.walkforward, name, lambda *a, **k: calls.append(sign.bind(*a, **k)))
+    queries.QUERY[name](SimpleNamespace(B="flow", P="prices"))
+    calls[0].apply_defaults()
+    got = calls[0].arguments
+    assert got["panel"] == ("flow", "prices") and len(set(got["features"])) == 8 and got["trees"] == 100
+    assert (got.get("train_min", 30), got.get("test_window", 6)) == (30, 6)
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as e
 
