@@ -188,7 +188,7 @@ SELECTS: dict[str, str] = {
         {', '.join(_r('p.' + c, c) for c in ('fwd_1', 'max_1', 'mdd_1', 'fwd_3', 'max_3', 'mdd_3', 'lag_1', 'lag_5', 'atr_pct'))} from AGG a left join CL c using (dt, ticker) join (
         select dt, ticker, {', '.join(f"{_guard(k, h)} as {k}_{h}" for h in (1, 3) for k in ('fwd', 'max', 'mdd'))}, {_guard('lag', 1)} as lag_1, {_guard('lag', 5)} as lag_5, {_ATR_SQL} as atr_pct from CLEAN {W}) p using (dt, ticker)""",
     "repair_prices": f"select p.dt, p.ticker, {_r('p.open', 'open')}, {_r('coalesce(f.close, p.close)', 'close')} from PD p left join FIX f using (dt, ticker)",
-    "rescale_netval": f"select b.dt, b.ticker, b.broker_code, {_r('case when month(b.dt) < 7 and f.close is not null and abs(f.close / p.close - 1) > 1e-9 then b.netval * (f.close / p.close) else b.netval end', 'netval')} from B b left join PD p using (dt, ticker) left join FIX f using (dt, ticker) where b.ticker = 'Brand#7'",
+    "rescale_netval": f"select b.dt, b.ticker, b.broker_code, {_r('case when month(b.dt) < 7 and f.close is not null and abs(f.close / p.close - 1) > 1e-9 then b.netval * (f.close / p.close) else b.netval end', 'netval')} from B b left join PD p using (dt, ticker) left join FIX f using (dt, ticker)",
     "signal_outcomes": f"select flag_date, ticker, sources, h, {', '.join(_r(c, c) for c in ('ret', 'mfe', 'mae'))} from SIG",
     "signal_by_source": f"{_sum6(['source', 'h'])} from (select unnest(string_split(sources, ',')) as source, h, ret, mfe, mae from SIG) group by source, h",
     "control_group": f"{_sum6(['h'])} from (select o.h, o.ret, o.mfe, o.mae from MP m join OUTC o on o.ticker = m.ticker and o.pos = m.pos + 1 where not exists (select 1 from G g where g.flag_date = m.dt and g.ticker = m.ticker)) group by h",

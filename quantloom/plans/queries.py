@@ -130,7 +130,7 @@ QUERY: dict[str, Query] = {
     "gap_guarded_extremes": lambda t: guarded(t, horizons=(3,), extremes=True),
     "horizon_panel": horizon_panel,
     "repair_prices": lambda t: audit.repair_prices(t.PD, fixes(t)).select("dt", "ticker", "open", "close"),
-    "rescale_netval": lambda t: audit.rescale_netval(backfilled(t), t.PD, fixes(t)).where("ticker = 'Brand#7'").select("dt", "ticker", "broker_code", "netval"),
+    "rescale_netval": lambda t: audit.rescale_netval(backfilled(t), t.PD, fixes(t)).select("dt", "ticker", "broker_code", "netval"),
     "signal_outcomes": lambda t: signals.signal_outcomes(t.M, t.G),
     "signal_by_source": lambda t: signals.signal_by_source(signals.signal_outcomes(t.M, t.G)),
     "control_group": lambda t: metrics.summarise(signals.control_outcomes(t.M, t.G), ["h"]),

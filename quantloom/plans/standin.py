@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import BROKER_CODES
+
 PRICES = """
 with x as (
   select cast(date_trunc('month', l_shipdate) as date) as dt, p_brand as ticker,
@@ -16,12 +18,13 @@ with x as (
     cast(sum(l_quantity) as double) as v
   from {lineitem} join {part} on l_partkey = p_partkey group by 1, 2)
 select dt, ticker, o as open, c * (1 + t) as high, c * (1 - d) as low, c as close, v as volume from x"""
-FLOW = """
+_FLOW = """
 select cast(date_trunc('month', l_shipdate) as date) as dt, p_brand as ticker,
-  substr('AIAKAOAZBBBKCCCPCSDHDXESHPIFKILGMGNIPDRBRXSQSSTPXCXLYBYPYUZP', cast(2 * (l_suppkey % 30) + 1 as int), 2) as broker_code,
+  case l_suppkey % 30 {codes} end as broker_code,
   cast(sum(case l_returnflag when 'A' then cast(l_extendedprice as decimal(18, 2)) when 'R' then -cast(l_extendedprice as decimal(18, 2))
     else (cast(l_discount as decimal(4, 2)) - 0.05) * cast(l_extendedprice as decimal(18, 2)) end) as double) / 100000 as netval
-from {lineitem} join {part} on l_partkey = p_partkey group by 1, 2, 3"""
+from {{lineitem}} join {{part}} on l_partkey = p_partkey group by 1, 2, 3"""
+FLOW = _FLOW.format(codes=" ".join(f"when {i} then '{c}'" for i, c in enumerate(BROKER_CODES)))
 #: Contaminated prices: copies of another ticker's bars, and a tenfold break.
 DIRTY = """
 select p.dt, p.ticker,
