@@ -1,17 +1,19 @@
 """Removal of long repeated strings by prefix-free parsing.
 
 A rolling hash over ``TRIGGER`` bytes picks, in every string of ``LENGTH`` bytes, the
-trigger with the smallest value; so equal strings have the same trigger, wherever they
-stand. The strings with one trigger follow each other, and a phrase is what they cover:
-the parse of a document is its sequence of phrases, and phrases overlap so that every
-string lies in exactly one. Equal phrases are one dictionary entry with the smallest
-document that holds it. Where a trigger has one phrase only, that smallest document
-decides for all its strings. Where it has several, the strings of the *dictionary's*
-phrases with that trigger are compared: that is the order of the dictionary's suffixes
-cut at LENGTH bytes, of which only the classes of equal ones are needed. A trigger with
-more than ``HOT`` phrases is not gathered in one task: its strings are dealt by their
-128-bit hashes instead. The dictionary is small for repetitive text, and no class is ever
-expanded into pairs.
+trigger with the smallest value (its first place); so equal strings have the same trigger
+at the same place, wherever they stand. The strings with one occurrence of a trigger
+follow each other; what they cover is an entry, cut by the trigger into a phrase that
+ends with it and one that starts with it. Every string lies in exactly one entry. Equal
+entries are one, with the smallest document that holds it. Where a trigger has one entry
+only, that smallest document decides for all its strings. Where it has several, their
+phrases are a dictionary, the entries a parse of two phrases each, and the suffix arrays
+of dictionary and parse give the corpus order of the entries' strings (``prefix_free``):
+neighbours in it that share LENGTH bytes are a class, whose smallest document decides.
+Triggers are dealt to tasks by hash, so each task has the whole corpus order of its
+triggers. A trigger with more than ``HOT`` entries is not gathered in one task: its
+strings are dealt by their 128-bit hashes instead. The dictionary is small for
+repetitive text, and no class is ever expanded into pairs.
 
 Shuffles, in order: trigger hashes as packed arrays; the phrases of shared triggers; the
 dictionary entries with several phrases to a trigger; the removals; the texts.
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import HashFilter, Scratch, as_bytes, partitions_for, rows_within
+from .prefix_free import Dictionary, Parse
 
 LENGTH = 50
 TRIGGER = 24
@@ -50,7 +53,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 _BOTH = np.uint64(1 << 24)
 _KEY = ~np.uint64((1 << 25) - 1)
-_SLICE = 8 << 20
+#: Bytes of text parsed at a time, and slices whose entries are packed together.
+_SLICE = 1 << 20
+_PACK = 8
 #: Dictionary phrases of one trigger that a task compares by itself.
 HOT = 100
 
@@ -85,13 +90,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Phrases:
-    """Phrases of a block of texts: trigger and phrase hashes, text, first string in it, strings, place in ``buf``."""
+    """Phrases of a block of texts: trigger and phrase hashes, text, first string in it, strings, trigger's place in the phrase, place in ``buf``."""
 
     h: np.ndarray
     e: np.ndarray
     text: np.ndarray
     lo: np.ndarray
     run: np.ndarray
+    mid: np.ndarray
     at: np.ndarray
     buf: bytes
 
@@ -104,7 +110,7 @@ def parse(texts: list[bytes]) -> Phrases | None:
     buf = np.frombuffer(raw, np.uint8)
     start = np.cumsum(sizes) - sizes
     poly = rolling(buf, TRIGGER)
-    low = _mix(poly)
+    own = low = _mix(poly)
     width = 1
     while 2 * width <= SPAN:
         low = np.minimum(low[:-width], low[width:])
@@ -122,17 +128,14 @@ def parse(texts: list[bytes]) -> Phrases | None:
     np.add.at(inside, tail, -1)
     inside = np.cumsum(inside[:n], dtype=np.int8) > 0
     new = np.ones(n, bool)
-    new[1:] = (low[1:] != low[:-1]) | (inside[1:] != inside[:-1])
+    # a string that starts with its trigger is the last one with this occurrence of it
+    new[1:] = (low[1:] != low[:-1]) | (inside[1:] != inside[:-1]) | (own[: n - 1] == low[:-1])
     new[head] = True
     at = np.flatnonzero(new)
     run = np.diff(np.append(at, n))
     ok = inside[at]
     at, run = at[ok], run[ok]
-    if (run > SPAN).any():
-        parts = -(-run // SPAN)
-        first = np.repeat(np.cumsum(parts) - parts, parts)
-        k = np.arange(len(first)) - first
-        at, run = np.repeat(at, parts) + k * SPAN, np.minimum(np.repeat(run, parts) - k * SPAN, SPAN)
+    mid = (np.lib.stride_tricks.sliding_window_view(own, SPAN)[at] == low[at][:, None]).argmax(1)
     two = buf[:-1].astype(np.uint64) * _pow(1) + buf[1:]
 
     def whole(p: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def parse(texts: list[bytes]) -> Phrases | None:
     while (short := sizes[text] == 0).any():  # empty texts share the start of the next one
         text[short] -= 1
     # the smallest of many hashes is a small number: spread it over all bits again
-    return Phrases(_mix(low[at] * _MIX), e, text, at - start[text], run, at, raw)
+    return Phrases(_mix(low[at] * _MIX), e, text, at - start[text], run, mid, at, raw)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Phrases]]:
@@ -155,22 +158,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Phr
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, entries): one entry for each trigger and phrase of a block."""
 
+    def entries(ids: np.ndarray, p: Phrases) -> np.ndarray:
+        order = np.lexsort((ids[p.text], p.h))
+        h, doc, e = p.h[order], ids[p.text][order], p.e[order]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        end = np.append(begin[1:], len(h)) - 1
+        shared = np.repeat(doc[begin] != doc[end], end - begin + 1)
+        return np.unique((h & _KEY) | (e & _LOW) | np.where(shared, _BOTH, np.uint64(0)))
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        # the entries of a slice are distinct and texts are never cut: an entry met twice stands in two documents
+        entry, times = np.unique(np.concatenate(held), return_counts=True)
+        entry[times > 1] |= _BOTH
+        where = ((entry & _KEY) >> np.uint64(25)) % np.uint64(buckets)
+        order = np.argsort(where, kind="stable")
+        where, entry = where[order].astype(np.int64), entry[order]
+        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist()
+        blobs = [entry[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(entry)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(where[cut]), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for ids, p in _blocks(batches):
-            order = np.lexsort((ids[p.text], p.h))
-            h, doc, e = p.h[order], ids[p.text][order], p.e[order]
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            end = np.append(begin[1:], len(h)) - 1
-            shared = np.repeat(doc[begin] != doc[end], end - begin + 1)
-            entry = (h & _KEY) | (e & _LOW) | np.where(shared, _BOTH, np.uint64(0))
-            where = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((entry, where))
-            where, entry = where[order], entry[order]
-            fresh = np.concatenate([[True], (entry[1:] != entry[:-1]) | (where[1:] != where[:-1])])
-            where, entry = where[fresh], entry[fresh]
-            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist()
-            blobs = [entry[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(entry)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(where[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+            held.append(entries(ids, p))
+            if len(held) == _PACK:
+                yield pack(held)
+                held = []
+        if held:
+            yield pack(held)
 
     return docs.mapInArrow(run, "bucket long, entries binary")
 
@@ -198,7 +213,7 @@ def _shared(packed: DataFrame, partitions: int) -> DataFrame:
 
 
 def _phrases(docs: DataFrame, shared: HashFilter, several: HashFilter) -> DataFrame:
-    """(h, e, doc_id, lo, run, raw) of phrases whose trigger may be shared; raw where its phrases may differ."""
+    """(h, e, doc_id, lo, run, mid, raw) of phrases whose trigger may be shared; raw where its phrases may differ."""
     sc = docs.sparkSession.sparkContext
     one, more = sc.broadcast(shared), sc.broadcast(several)  # fixed size
 
@@ -210,10 +225,10 @@ def _phrases(docs: DataFrame, shared: HashFilter, several: HashFilter) -> DataFr
             h = p.h[hit].view(np.int64)
             at, size = p.at[hit].tolist(), (p.run[hit] + LENGTH - 1).tolist()
             raw = [p.buf[a : a + n] if m else None for a, n, m in zip(at, size, more.value.has(h).tolist(), strict=True)]
-            cols = [pa.array(h), pa.array(p.e[hit].view(np.int64)), pa.array(ids[p.text[hit]]), pa.array(p.lo[hit], pa.int64()), pa.array(p.run[hit], pa.int32()), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "e", "doc_id", "lo", "run", "raw"])
+            cols = [pa.array(h), pa.array(p.e[hit].view(np.int64)), pa.array(ids[p.text[hit]]), pa.array(p.lo[hit], pa.int64()), pa.array(p.run[hit], pa.int32()), pa.array(p.mid[hit], pa.int32()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "e", "doc_id", "lo", "run", "mid", "raw"])
 
-    return docs.mapInArrow(run, "h long, e long, doc_id long, lo long, run int, raw binary")
+    return docs.mapInArrow(run, "h long, e long, doc_id long, lo long, run int, mid int, raw binary")
 
 
 def _strings(entries: DataFrame, only: HashFilter | None) -> DataFrame:
@@ -237,37 +252,65 @@ def _strings(entries: DataFrame, only: HashFilter | None) -> DataFrame:
     return entries.mapInArrow(run, "w binary, f long, h long, e long, k int, doc_id long")
 
 
+def classes(h: np.ndarray, doc: np.ndarray, mid: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, string, smallest document) of the strings of dictionary entries that a smaller document's entry of the same trigger holds.
+
+    Every entry is a text of two phrases that share the trigger. The strings are put into
+    corpus order by the suffix arrays of the dictionary and of the parse; a class is a run
+    of neighbours that share LENGTH bytes.
+    """
+    left = [r[: m + TRIGGER] for r, m in zip(raw, mid.tolist(), strict=True)]
+    right = [r[m:] for r, m in zip(raw, mid.tolist(), strict=True)]
+    d = Dictionary({*left, *right})
+    rank = np.array([[d.rank_of[a], d.rank_of[b]] for a, b in zip(left, right, strict=True)], np.int64)
+    sequence = np.zeros((len(raw), 3), np.int64)
+    sequence[:, :2] = rank + 1
+    parse = Parse(d, sequence.ravel(), TRIGGER)
+    run = np.fromiter(map(len, raw), np.int64, len(raw)) - LENGTH + 1
+    entry = np.repeat(np.arange(len(raw)), run)
+    k = np.arange(len(entry)) - np.repeat(np.cumsum(run) - run, run)
+    order, shared = parse.combine(rank[entry, 0], k, 3 * entry + 1)
+    begin = np.flatnonzero(shared < LENGTH)
+    size = np.diff(np.append(begin, len(order)))
+    first = np.repeat(np.minimum.reduceat(doc[entry[order]], begin), size)
+    low = first < doc[entry[order]]
+    at = order[low]
+    back = np.argsort(at, kind="stable")
+    return entry[at][back], k[at][back], first[low][back]
+
+
+#: Dictionary entries that are ordered together; a trigger's entries (HOT at most) are never parted.
+_TOGETHER = 8192
+
+
 def _compared(entries: DataFrame, partitions: int) -> DataFrame:
-    """(h, e, lower): strings of dictionary entries (h, e, doc_id, raw) that an entry of the same trigger holds in a smaller document."""
+    """(h, e, lower): strings of dictionary entries (h, e, doc_id, mid, raw) that an entry of the same trigger holds in a smaller document."""
     kind = pa.list_(pa.struct([("k", pa.int32()), ("first", pa.int64())]))
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, list[dict]]]:
-        first: dict[bytes, int] = {}
-        for _, _, d, raw in rows:
-            for k in range(len(raw) - LENGTH + 1):
-                w = raw[k : k + LENGTH]
-                if first.setdefault(w, d) > d:
-                    first[w] = d
-        for h, e, d, raw in rows:
-            low = [{"k": k, "first": f} for k in range(len(raw) - LENGTH + 1) if (f := first[raw[k : k + LENGTH]]) < d]
-            if low:
-                yield h, e, low
+    def judged(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        entry, k, first = classes(t.column("h").to_numpy(), t.column("doc_id").to_numpy(), t.column("mid").to_numpy(), t.column("raw").to_pylist())
+        own, n = np.unique(entry, return_counts=True)
+        values = pa.StructArray.from_arrays([pa.array(k, pa.int32()), pa.array(first, pa.int64())], fields=list(kind.value_type))
+        lower = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+        rows = pa.array(own)
+        return pa.RecordBatch.from_arrays([t.column("h").take(rows).combine_chunks(), t.column("e").take(rows).combine_chunks(), lower], ["h", "e", "lower"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    out += group(held)
-                    held = []
-                held.append(row)
-            yield _batch(out)
+        held: list[pa.RecordBatch] = []
+        for big in batches:
+            for lo in range(0, big.num_rows, _TOGETHER):
+                held.append(big.slice(lo, _TOGETHER))
+                if sum(b.num_rows for b in held) < _TOGETHER:
+                    continue
+                t = pa.Table.from_batches(held)
+                h = t.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last trigger may go on
+                if cut:
+                    yield judged(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
         if held:
-            yield _batch(list(group(held)))
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)], ["h", "e", "lower"])
+            yield judged(pa.Table.from_batches(held))
 
     return entries.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "h long, e long, lower array<struct<k:int,first:long>>")
 
@@ -307,12 +350,12 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(phrases)
         scratch.drop(entries)
     _release(spark)
-    several = phrases.where("raw is not null").groupBy("h", "e").agg(F.min("doc_id").alias("doc_id"), F.first("raw").alias("raw"))
+    several = phrases.where("raw is not null").groupBy("h", "e").agg(F.min("doc_id").alias("doc_id"), F.first("raw").alias("raw"), F.first("mid").alias("mid"))
     several = scratch.keep(several, "several")
     _release(spark)
     n = scratch.keep(several.groupBy("h").count().where("count > 1").select("h", (F.col("count") > HOT).alias("hot")), "counts")
     dealt = several.join(n, "h")
-    cool = scratch.keep(_compared(dealt.where("not hot").select("h", "e", "doc_id", "raw"), parts), "cool")
+    cool = scratch.keep(_compared(dealt.where("not hot").select("h", "e", "doc_id", "mid", "raw"), parts), "cool")
     hot = scratch.keep(dealt.where("hot").select("h", "e", "doc_id", "raw"), "hot")
     lower = cool.union(scratch.keep(_dealt(hot, scratch), "lower"))
     _release(spark)

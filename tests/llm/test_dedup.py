@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quantloom.llm import embedding_dedup, line_dedup, simhash, suffix_dedup
+from quantloom.llm import embedding_dedup, line_dedup, prefix_free, simhash, suffix_dedup
 from quantloom.llm.components import connected_components
 
 
@@ -101,6 +101,65 @@ def test_suffix_dedup(spark, scratch):
     check_suffix(spark, scratch, repetitive())
 
 
+def test_corpus_order_equals_a_plain_suffix_sort():
+    """Parses with one trigger string, of texts over few letters: dictionary and parse give the order of all suffixes."""
+    random.seed(5)
+    w, seen = 2, 0
+    for alphabet in (b"ab", b"abc", bytes([0, 1, 255])):
+        trigger = alphabet[:1] + alphabet[1:2]
+        texts = [bytes(random.choice(alphabet) for _ in range(random.randint(1, 60))) for _ in range(12)]
+        texts += texts[:4] + [trigger * 9, texts[0] + texts[1]]
+        parsed = []
+        for t in texts:
+            cut = [m.start() for m in re.finditer(b"(?=" + re.escape(trigger) + b")", t) if m.start() > 0]
+            parsed.append([t[a : b + w] for a, b in zip([0, *cut], [*cut, len(t)], strict=True)])
+        d = prefix_free.Dictionary({p for ps in parsed for p in ps})
+        seq = np.array([x for ps in parsed for x in [*(d.rank_of[p] + 1 for p in ps), 0]], np.int64)
+        place, offset = prefix_free.Parse(d, seq, w).corpus_order()
+        start, at, text_of = {}, 0, {}
+        for i, ps in enumerate(parsed):
+            pos = 0
+            for p in ps:
+                start[at], text_of[at] = pos, i
+                pos, at = pos + len(p) - w, at + 1
+            at += 1
+        got = [texts[text_of[p]][start[p] + o :] for p, o in zip(place.tolist(), offset.tolist(), strict=True)]
+        assert got == sorted(t[i:] for t in texts for i in range(len(t)))
+        seen += len(got)
+    assert seen > 1000
+
+
+def test_shared_bytes_of_neighbours():
+    """Through phrases, triggers and the parse: the bytes two suffixes have in common."""
+    random.seed(6)
+    w, texts = 2, []
+    for _ in range(14):
+        texts.append(b"".join(random.choice([b"xxab", b"yab", b"xyxab", b"ab"]) for _ in range(random.randint(1, 8))) + random.choice([b"", b"x", b"xy"]))
+    parsed = []
+    for t in texts:
+        cut = [m.start() for m in re.finditer(b"ab", t) if m.start() > 0]
+        parsed.append([t[a : b + w] for a, b in zip([0, *cut], [*cut, len(t)], strict=True)])
+    d = prefix_free.Dictionary({p for ps in parsed for p in ps})
+    rows, seq, at = [], [], 0
+    for ps, t in zip(parsed, texts, strict=True):
+        pos = 0
+        for j, p in enumerate(ps):
+            if j + 1 < len(ps):
+                rows += [(d.rank_of[p], o, at + j + 1, t[pos + o :]) for o in range(len(p) - w + 1)]
+            pos += len(p) - w
+        seq += [*(d.rank_of[p] + 1 for p in ps), 0]
+        at += len(ps) + 1
+    order, shared = prefix_free.Parse(d, np.array(seq), w).combine(*(np.array([r[k] for r in rows]) for k in range(3)))
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    checked = 0
+    for n in range(1, len(order)):
+        (p, o, _, s), (q, o2, _, s2) = rows[order[n - 1]], rows[order[n]]
+        if d.phrases[p][o:] == d.phrases[q][o2:]:
+            assert shared[n] == min(prefix_free.CAP, common(s, s2)), (s, s2)
+            checked += 1
+    assert checked > 50
+
+
 def test_suffix_dedup_of_hot_triggers(spark, scratch, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
     check_suffix(spark, scratch, repetitive())
