@@ -7,8 +7,8 @@ on ``doc_id``. ``read_tokens`` prunes files, stripes and row groups by those; ev
 stripe can be read by a task of its own.
 
 Defined cases: null text is empty (only the end id); rows without an id come first;
-rows that share an id are all written; an empty table gives no rows; other columns of
-the input are not read.
+rows that share an id are all written, in the order of their texts (null first); an empty
+table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions_for, rows_within
@@ -56,7 +56,7 @@ def _encode(path: str, end_id: int):
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", bytes_per_file: int = 64 << 20) -> None:
     """Writes ids of every text, in ascending id order over the files, to ``path``."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = plain.repartitionByRange(partitions_for(plain, bytes_per_file), "doc_id").sortWithinPartitions("doc_id")
+    ranged = plain.repartitionByRange(partitions_for(plain, bytes_per_file), "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ranged.mapInArrow(_encode(tokenizer_path, end_id), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -75,30 +75,32 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return df if doc_ids is None else df.where(F.col("doc_id").isin(doc_ids))
 
 
-def file_starts(spark: SparkSession, path: str) -> dict[str, int]:
-    """Ids before each file. One row a file comes to the driver: files are bounded by partitions, not rows."""
-    df = spark.read.schema(SCHEMA).orc(path)
-    totals = df.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.sum("n_tokens").alias("n")).collect()
-    out, at = {}, 0
-    for r in sorted(totals, key=lambda r: r["f"]):
-        out[r["f"]], at = at, at + r["n"]
-    return out
+def part_number(name: str = "_metadata.file_name"):
+    """The number of the task that wrote a file; as text, part-100000 would sort before part-99999."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
+def file_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, base): ids in the files before each file. One row a file; files are bounded by bytes."""
+    totals = spark.read.schema(SCHEMA).orc(path).groupBy(part_number().alias("part")).agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    starts = file_starts(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(3)
             at, raw = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
             crc = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            base = np.fromiter((starts[f] for f in b.column(4).to_pylist()), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base + b.column(1).to_numpy()), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), b.column(4)], ["doc_id", "file_start", "n_tokens", "ids_crc32", "part"])
 
-    rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "file_start", "n_tokens", "ids", "_metadata.file_name")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "file_start", "n_tokens", "ids", part_number().alias("part"))
+    rows = rows.mapInArrow(run, "doc_id long, file_start long, n_tokens long, ids_crc32 long, part long")
+    # only counts and checksums meet the starts, no ids
+    return rows.join(file_starts(spark, path), "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_orc_query(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -80,6 +80,23 @@ def test_token_orc(spark, sf, byte_bpe, tmp_path, capsys):
     assert re.search(r"PushedFilters: \[.*doc_id", capsys.readouterr().out)
 
 
+def test_files_are_ordered_by_number(spark, tmp_path):
+    one = spark.createDataFrame([(1, 0, 3, [7, 8, 2])], token_output.SCHEMA).coalesce(1)
+    names = ["part-99999-a.orc", "part-100000-a.orc", "part-00002-a.orc"]
+    for k, name in enumerate(names):
+        one.selectExpr(f"cast({k} as long) as doc_id", "file_start", "n_tokens", "ids").write.orc(str(tmp_path / f"w{k}"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        next((tmp_path / f"w{k}").glob("part-*.orc")).rename(tmp_path / "all" / name)
+    got = {r.doc_id: r.start for r in token_output.token_digest(spark, str(tmp_path / "all")).collect()}
+    assert got == {2: 0, 0: 3, 1: 6}
+
+
+def test_shared_ids_are_written_in_text_order(spark, byte_bpe):
+    rows = [(1, "zebra zebra"), (1, None), (1, "apple"), (0, "x")] * 2
+    got = [(r.doc_id, r.n_tokens) for r in token_output.token_orc_query(spark, spark.createDataFrame(rows, "doc_id long, text string"), byte_bpe).orderBy("start").collect()]
+    assert got[:2] == [(0, 2)] * 2 and got[2:4] == [(1, 1)] * 2 and got[4] == got[5] and got[6] == got[7]
+
+
 def test_token_orc_odd_rows(spark, odd_docs, no_docs, byte_bpe):
     got = token_output.token_orc_query(spark, odd_docs, byte_bpe).orderBy("start").collect()
     assert len(got) == odd_docs.count() and got[0].doc_id is None and got[0].start == 0
