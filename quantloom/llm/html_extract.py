@@ -1,12 +1,21 @@
 """Main text of web pages: parser events, text-to-tag ratio, Gaussian smoothing, clusters.
 
 The standard library's streaming parser turns a page into lines, one a block element.
-A line's text-to-tag ratio is its text outside links by the tags that it took. The ratios
-are smoothed with a Gaussian, and lines at or above the threshold (the smaller of mean
-and standard deviation) form the clusters. The region is the article or main element
-with most cluster text, or else the deepest element that holds nearly all of it; every
-line of the region is kept but what its markup names as something else (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts).
+A line's text-to-tag ratio is its text by the tags that it took, link text at a tenth. Lines
+whose markup names something else (menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts, styles, hidden parts) have ratio 0. The ratios are smoothed with
+a Gaussian among lines of the same kind, and lines above the threshold (the smaller of mean
+and standard deviation) form the clusters. The clusters choose the text:
+
+* the region is the innermost element that holds nearly all cluster text, but no deeper
+  than the article or main element (with most cluster text) on the way there;
+* the clusters' lines of the region are kept, and what the region holds between and beside
+  them with a ratio over 0 (short lines, lists of links);
+* a paragraph right before or after the region, beside it in its parent, stays if it is
+  of a cluster and reaches the threshold by itself; so does the page's last first- or
+  second-level heading before the region if the region has none at its start.
+
+A page without clusters has no text.
 
 Defined cases: null or empty html gives empty text and 0 characters; a page of bare text
 is one block; unclosed and stray tags are repaired as the parser meets them; rows without
@@ -30,6 +39,8 @@ from .common import rows_within
 SIGMA = 1.0
 #: A child that holds this share of its parent's cluster text is entered.
 ENTER = 0.9
+#: An article or main element with this share of the page's cluster text bounds the region.
+SHARE = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption legend option".split())
 #: Elements whose content is never the article.
@@ -149,39 +160,52 @@ class _Page(HTMLParser):
             self._link_chars += len(data)
 
 
-def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing, with the kernel renormalised at the ends."""
+def smooth(ratio: np.ndarray, kind: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing of each line by those of its kind, with the kernel renormalised."""
     r = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    weight = np.convolve(np.ones(len(ratio)), kernel, "full")[r : r + len(ratio)]
-    return np.convolve(ratio, kernel, "full")[r : r + len(ratio)] / weight
+    out = np.zeros(len(ratio))
+    for k in (False, True):
+        own = (kind == k).astype(float)
+        near = np.convolve(own, kernel, "full")[r : r + len(ratio)]
+        total = np.convolve(ratio * own, kernel, "full")[r : r + len(ratio)]
+        out += own * total / np.maximum(near, 1e-9)
+    return out
+
 
+def clusters(ratio: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, float]:
+    """Lines whose smoothed ratio is over 0 and reaches the threshold; and the threshold."""
+    s = smooth(ratio, kind)
+    least = float(min(s.mean(), s.std()))
+    return (s > 0) & (s >= least), least
 
-def clusters(ratio: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed ratio reaches the threshold."""
-    s = smooth(ratio)
-    return s >= min(s.mean(), s.std()) if len(s) > 1 else np.ones(len(s), bool)
 
+_LAYOUT = frozenset("#page html body div section center table tbody tr td main article".split())
 
-def _region(page: _Page, mass: list[int]) -> int:
-    """The element to keep, from the cluster text of every element."""
-    n = len(page.tag)
-    total = mass[0]
-    named = [e for e in range(n) if page.tag[e] in ("article", "main") and mass[e] >= 0.5 * total]
-    if named:
-        best = max(named, key=lambda e: (mass[e], -e))
-        inner = [e for e in named if page.tag[e] == "article" and mass[e] >= ENTER * mass[best]]
-        return inner[-1] if inner and page.tag[best] == "main" else best
+
+def _region(page: _Page, mass: list[float]) -> int:
+    """The element whose lines are kept, from the cluster text of every element."""
     children: dict[int, list[int]] = {}
-    for e in range(1, n):
+    for e in range(1, len(page.tag)):
         if page.tag[e] in BLOCK and mass[e]:
             children.setdefault(page.parent[e], []).append(e)
+    named = [e for e in range(len(page.tag)) if page.tag[e] in ("article", "main") and mass[e] >= SHARE * mass[0]]
+    best = max(named, key=lambda e: (mass[e], -e), default=None)
     at = 0
-    while True:
-        big = [e for e in children.get(at, ()) if mass[e] >= ENTER * mass[at] and page.tag[e] in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td")]
+    while at != best:
+        held = children.get(at, ())
+        way = [e for e in held if best is not None and _holds(page, e, best)]
+        big = way or [e for e in held if mass[e] >= ENTER * mass[at] and page.tag[e] in _LAYOUT]
         if not big:
-            return at
+            break
         at = big[0]
+    return at
+
+
+def _holds(page: _Page, outer: int, inner: int) -> bool:
+    while inner > outer:
+        inner = page.parent[inner]
+    return inner == outer
 
 
 def extract(html: str) -> str:
@@ -191,17 +215,17 @@ def extract(html: str) -> str:
     page.close()
     page.flush()
     lines = page.lines
-    if not any(not x[4] for x in lines):
+    if not lines:
+        return ""
+    kind = np.array([x[4] for x in lines])
+    ratio = np.array([0.0 if other else (len(text) - 0.9 * min(link, len(text))) / tags for text, tags, link, _, other in lines])
+    hot, least = clusters(ratio, kind)
+    if not hot.any():
         return ""
-    ratio = np.array([0.0 if other else max(0, len(text) - link) / tags for text, tags, link, _, other in lines])
-    hot = clusters(ratio)
-    mass = [0] * len(page.tag)
-    for (text, _, link, at, other), h in zip(lines, hot.tolist(), strict=True):
-        if h and not other:
-            mass[at] += max(0, len(text) - link)
-    if not sum(mass):  # links or single marks only: every line counts
-        for text, _, _, at, other in lines:
-            mass[at] += 0 if other else len(text)
+    mass = [0.0] * len(page.tag)
+    for (text, _, link, at, _), h in zip(lines, hot.tolist(), strict=True):
+        if h:
+            mass[at] += len(text) - 0.9 * min(link, len(text))
     for e in range(len(mass) - 1, 0, -1):
         mass[page.parent[e]] += mass[e]
     root = _region(page, mass)
@@ -209,11 +233,22 @@ def extract(html: str) -> str:
     inside[root] = True
     for e in range(root + 1, len(mass)):
         inside[e] = inside[page.parent[e]]
-    keep = [i for i, x in enumerate(lines) if inside[x[3]] and not x[4]]
-    if page.tag[root] not in ("article", "main"):
-        warm = [i for i in keep if hot[i]] or keep
-        heading = [i for i in range(warm[0]) if not lines[i][4] and page.tag[lines[i][3]] in ("h1", "h2")]
-        keep = heading[-1:] + [i for i in keep if warm[0] <= i <= warm[-1]]
+    keep = [i for i, x in enumerate(lines) if inside[x[3]] and (hot[i] or ratio[i] > 0)]
+    beside = page.parent[root]
+
+    def joins(i: int) -> bool:
+        own = lines[i][3]
+        return bool(hot[i]) and ratio[i] >= least and (own == beside or (page.parent[own] == beside and page.tag[own] in ("p", "blockquote")))
+
+    for step in (-1, 1):
+        i = keep[0] - 1 if step < 0 else keep[-1] + 1
+        while 0 <= i < len(lines) and joins(i):
+            keep.append(i)
+            i += step
+    keep.sort()
+    if page.tag[lines[keep[0]][3]] not in ("h1", "h2"):
+        heading = [i for i in range(keep[0]) if ratio[i] > 0 and page.tag[lines[i][3]] in ("h1", "h2")]
+        keep = heading[-1:] + keep
     return "\n\n".join(lines[i][0] for i in keep)
 
 

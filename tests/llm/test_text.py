@@ -272,6 +272,54 @@ def test_extraction(a, b):
     assert html_extract.extract(PAGE.replace("<BODY>", a).replace("</BODYEND>", b)) == WANT
 
 
+def plain_page(rng):
+    """A page of a known article: no semantic element, no class or id; menus, side text and notes around it."""
+    say = lambda n: " ".join(rng.choice(["stone", "river", "of", "the", "light", "and", "moved", "under", "an", "old"]) for _ in range(n)).capitalize() + "."
+    blocks = [say(rng.randint(3, 6))]
+    html = [f"<h1>{blocks[0]}</h1>"]
+    for _ in range(rng.randint(4, 9)):
+        kind = rng.choice(["p", "p", "p", "short", "list", "quote"])
+        if kind == "list":
+            items = [say(rng.randint(1, 4)) for _ in range(rng.randint(2, 4))]
+            html.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            blocks += items
+        else:
+            text = say(4 if kind == "short" else rng.randint(40, 90))
+            html.append({"quote": f"<blockquote>{text}</blockquote>"}.get(kind, f"<p>{text}</p>"))
+            blocks.append(text)
+    blocks.append(say(60))
+    html.append(f"<p>{blocks[-1]}</p>")
+    links = lambda n: "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(n))
+    body = rng.choice(["<div><div>%s</div></div>", "<table><tr><td>%s</td></tr></table>", "<section><div>%s</div></section>", "<div>%s</div>"]) % "\n".join(html)
+    before = "".join(rng.sample([f"<div><ul>{links(8)}</ul></div>", f"<div><a href=/>{say(2)}</a> <b>{say(2)}</b></div>", f"<nav>{links(5)}</nav>"], rng.randint(1, 3)))
+    after = "".join(rng.sample([f"<div><ul>{links(6)}</ul></div>", f"<div><span>{say(2)}</span> <a href=#>{say(2)}</a></div>", f"<footer><p>{say(30)}</p></footer>", f"<form><p>{say(30)}</p><input></form>"], rng.randint(1, 4)))
+    return f"<html><head><title>{say(3)}</title></head><body>{before}{body}{after}</body></html>", "\n\n".join(blocks)
+
+
+def test_extraction_of_known_articles_without_semantic_elements(monkeypatch):
+    rng = random.Random(12)
+    pages = [plain_page(rng) for _ in range(150)]
+    got = [html_extract.extract(h) for h, _ in pages]
+    assert got == [w for _, w in pages]
+    # the clusters choose: without them, or with all lines in one, other texts come back
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, kind: (np.zeros(len(ratio), bool), 0.0))
+    assert not any(html_extract.extract(h) for h, _ in pages)
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, kind: (np.ones(len(ratio), bool), 0.0))
+    assert sum(html_extract.extract(h) != w for h, w in pages) > len(pages) // 2
+
+
+def test_the_same_text_without_article_and_main(spark, sf):
+    html = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect() if r.html]
+    for h in html:
+        assert html_extract.extract(re.sub(r"<(/?)(article|main)\b", r"<\1div", h)) == html_extract.extract(h)
+
+
+def test_extraction_of_a_very_long_page():
+    text = [f"Paragraph {k} with a few words that make it long enough to be text." for k in range(30_000)]
+    page = "<nav><a href=/>home</a></nav><div>" + "".join(f"<p>{x}</p>" for x in text) + "</div><footer>end of it all</footer>"
+    assert html_extract.extract(page) == "\n\n".join(text)
+
+
 def test_extraction_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text"), (None, "u", "</div></p>x<b>y</b>"), (5, "u", "<a href=x>only link</a>"), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<p>&lt;tag&gt; &#233;&eacute;"), (8, "u", "<nav>menu only</nav>")]
     d = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
