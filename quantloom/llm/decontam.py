@@ -2,14 +2,15 @@
 
 Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Every item
 of the benchmark gives its windows of ``WINDOW`` consecutive words (a shorter item is one
-window). A shard is a block of whole documents of one task. Its indexed text keeps only
-the runs that could hold an occurrence: known words whose every neighbouring pair is a
-pair of some window; nothing that could match is left out. The windows are backward
-searched through wavelet-matrix ranks, located by sampled suffix positions, and the hit
-words of a document are merged to removal spans.
+window). A shard is a block of whole documents of one task, and all its words are indexed:
+words of the benchmark by their ids, each run of words that no item has as one separator
+(no window holds one, so none is found across it). The windows are backward searched
+through wavelet-matrix ranks, located by sampled suffix positions, and the hit words of a
+document are merged to removal spans.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words, each one
-pass over the documents within the same stage, so what is broadcast stays bounded.
+The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words. Where it
+has more than one, each is a pass over the documents that is written out before the next
+block is sent, so one block is broadcast at a time, however large the benchmark.
 
 Defined cases: null or wordless text has no words and is never contaminated; items
 without words, text or id give no windows; rows that share an id are judged one by one;
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_within
+from .common import Scratch, rows_within
 from .fm_index import FmIndex
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _WORD_BYTES = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte outside words into a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
@@ -58,39 +59,20 @@ class Windows:
         for i, k in enumerate(found):
             lengths.setdefault(len(k), []).append((i, k))
         self.by_length = {n: (np.array([i for i, _ in v]), np.array([k for _, k in v], np.int64)) for n, v in sorted(lengths.items())}
-        self.shortest = min(self.by_length, default=0)
-        #: Bits at hashes of the word pairs inside windows; a false bit only keeps a run too many.
-        self.mask = (1 << min(27, max(16, 6 + len(found).bit_length()))) - 1
-        self.pairs = np.zeros(self.mask + 1, bool)
-        for _, rows in self.by_length.values():
-            self.pairs[self._pair(rows[:, :-1], rows[:, 1:])] = True
-
-    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        h = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(30)).astype(np.int64) & self.mask
-
-    def runs(self, ids: np.ndarray) -> np.ndarray:
-        """Places of ``ids`` (0: unknown or between documents) that lie in runs which could hold a window."""
-        keep = ids > 0
-        if self.shortest > 1:
-            linked = np.zeros(len(ids) + 1, bool)  # linked[i]: the pair (i-1, i) occurs in a window
-            near = np.flatnonzero(keep[1:] & keep[:-1])
-            linked[near + 1] = self.pairs[self._pair(ids[near], ids[near + 1])]
-            begin = keep & ~linked[:-1]
-            run = np.cumsum(begin)
-            keep &= np.bincount(run[keep], minlength=run[-1] + 1 if len(run) else 1)[run] >= self.shortest
-            return np.flatnonzero(keep)
-        return np.flatnonzero(keep)
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ids, length, window) of every occurrence."""
         none = np.zeros(0, np.int64)
-        at = self.runs(ids)
-        if not len(at) or not self.shortest:
+        if not len(ids) or not self.by_length:
             return none, none, none
-        gap = np.flatnonzero(np.concatenate([np.diff(at) != 1, [True]]))  # a separator after each run
-        text = np.insert(ids[at], gap + 1, 0)
-        origin = np.insert(at, gap + 1, -1)
+        # ids: 0 is an unknown word or the end of a document; a run of them becomes one separator
+        keep = ids > 0
+        keep[1:] |= ids[:-1] > 0
+        keep[-1] = True
+        origin = np.flatnonzero(keep)
+        text = ids[origin]
+        if text[-1]:
+            text, origin = np.append(text, 0), np.append(origin, -1)
         fm = FmIndex(text, len(self.vocab))
         places, lengths, windows = [], [], []
         for n, (which, rows) in self.by_length.items():
@@ -179,7 +161,7 @@ def _marked(blocks: Iterator[Windows]) -> Iterator[tuple[Windows, bool]]:
     yield own, True
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cleaned: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cleaned: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, and a struct column ``found``.
 
     found: n_words, n_hit, spans (merged, half-open, in words), items (sorted as strings)
@@ -232,7 +214,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if last:
             out = kept.mapInArrow(final(bc), T.StructType([state["row"], T.StructField("found", found)]))
         else:
-            kept = kept.mapInArrow(middle(bc), state)
+            scratch = scratch or Scratch(spark, "decontamination")
+            before, kept = kept, scratch.keep(kept.mapInArrow(middle(bc), state), "block")
+            scratch.drop(before)
+            bc.unpersist()
     return out.select(*[F.col("row").getField(c).alias(c) for c in rest], "found")
 
 

@@ -60,20 +60,27 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; separators (0) compare by place."""
+    """Suffix array by prefix doubling; separators (0) compare by place, so the text must end with one.
+
+    A rank is the number of smaller suffixes as far as they are told apart; each round
+    sorts only suffixes that still share theirs.
+    """
     n = len(text)
     sep = text == 0
-    rank = np.where(sep, np.cumsum(sep) - 1, text.astype(np.int64) + int(sep.sum()))
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    order, k = np.argsort(rank, kind="stable"), 1
-    while rank.max(initial=0) < n - 1:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank, k = new, 2 * k
+    first = np.where(sep, np.cumsum(sep) - 1, text.astype(np.int64) + int(sep.sum()))
+    _, inverse, count = np.unique(first, return_inverse=True, return_counts=True)
+    rank, open_ = (np.cumsum(count) - count)[inverse], np.flatnonzero(count[inverse] > 1)
+    k = 1
+    while len(open_):
+        key = rank[open_] * n + rank[open_ + k]  # inside the text: the suffixes differ before the last separator's end
+        key, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        at, group = np.cumsum(count) - count, key // n
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        new = group + at - at[head][np.cumsum(head) - 1]
+        rank[open_] = new[inverse]
+        open_, k = open_[count[inverse] > 1], 2 * k
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
     return order
 
 

@@ -153,6 +153,34 @@ def test_pieces_odd_rows(odd_docs, no_docs):
     assert [r.decoded for r in both.collect()] == [r.decoded for r in got]
 
 
+def test_suffix_array_against_a_plain_sort():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        parts = [rng.integers(1, 3, rng.integers(0, 40)) for _ in range(rng.integers(1, 6))]
+        text = np.concatenate([np.append(p, 0) for p in [*parts, parts[0]]])
+        # a separator stands for a symbol of its own, smaller the earlier it is
+        plain = np.where(text == 0, np.cumsum(text == 0) - 1, text + 1000).tolist()
+        assert fm_index.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: plain[i:])
+
+
+def test_every_known_word_of_a_shard_is_indexed(monkeypatch):
+    seen = []
+    index = decontam.FmIndex
+    monkeypatch.setattr(decontam, "FmIndex", lambda text, n: seen.append(text) or index(text, n))
+    win = decontam.Windows([("1", b"a b c d"), ("2", b"x y")], 3)
+    place, length, _ = win.occurrences(np.array([1, 2, 0, 0, 3, 0, 1, 2, 3, 4, 0, 0, 5, 6, 0]))
+    assert seen[0].tolist() == [1, 2, 0, 3, 0, 1, 2, 3, 4, 0, 5, 6, 0]
+    assert sorted(zip(place.tolist(), length.tolist(), strict=True)) == [(6, 3), (7, 3), (12, 2)]
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    long = "the same words again and again " * 300_000 + "zebra stripes in the dusty yard never looked so very fine"
+    d = spark.createDataFrame([(1, long), (2, "nothing here")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "zebra stripes in the dusty yard never looked so very fine")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination_digest(d, b).collect()}
+    assert got == {1: (1_800_011, 11), 2: (2, 0)}
+
+
 def test_fm_index_against_scans():
     rng = np.random.default_rng(8)
     text = np.concatenate([np.append(rng.integers(1, 5, rng.integers(1, 30)), 0) for _ in range(40)])
