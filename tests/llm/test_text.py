@@ -54,12 +54,57 @@ def test_every_prefix_count_equals_the_library(word_bpe):
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(word_bpe), token_counts.PrefixCounter(word_bpe)
-    own.LONG = 12
-    for t in odd_texts(300, 6):
-        want = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    for t in [*odd_texts(300, 6), *odd_texts(150, 9, "你，。가각ᄀั١²№'re've'd!\"“”’İǆñ́̀\u00a0 ")]:
+        want = [len(e.ids) for e in lib.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)]
         assert own.prefix(t).tolist() == want, t
         for budget in (0, 1, 3):
-            assert own.cut(t, budget) == max(i for i, c in enumerate(want) if c <= budget), (t, budget)
+            assert token_counts.fit(np.diff(want), budget) == max(i for i, c in enumerate(want) if c <= budget), (t, budget)
+
+
+def test_prefix_counts_inside_long_words(word_bpe):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(word_bpe), token_counts.PrefixCounter(word_bpe)
+    random.seed(2)
+    vocab = [t.removesuffix("</w>") for t in sorted(lib.get_vocab()) if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha()]
+    for n in (1, 3, 60):
+        t = "".join(random.choice(vocab) for _ in range(n))
+        assert own.prefix(t).tolist() == [len(e.ids) for e in lib.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)], t
+    long = "".join(random.choice("etaoinshrdlu") for _ in range(200_000))  # one word: a step a letter
+    assert own.prefix(long)[-1] == len(lib.encode(long, add_special_tokens=False).ids)
+    assert own.prefix(long)[150_000] == len(lib.encode(long[:150_000], add_special_tokens=False).ids)
+
+
+def test_pairs_of_tokens_against_the_definition(word_bpe):
+    own = token_counts.PrefixCounter(word_bpe).steps_of
+    random.seed(3)
+    tokens = random.sample(sorted(own.made), 3000)
+    seen = {True: 0, False: 0}
+    for a, t in zip(tokens, random.sample(tokens, len(tokens)), strict=True):
+        if a.endswith("</w>") or not own.follows("", a):
+            continue
+        got = own.follows(a, t)
+        assert got == (own.merged(a + t.removesuffix("</w>"), t.endswith("</w>")) == [a, t]), (a, t)
+        seen[got] += 1
+    assert min(seen.values()) > 20
+
+
+def test_stored_counts_answer_any_budget(spark, sf, word_bpe, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40)
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, "long words " * 200_000)], "doc_id long, text string"))
+    token_counts.token_counts(docs, word_bpe, keep_steps=True).write.parquet(str(tmp_path / "counts"))
+    stored = spark.read.parquet(str(tmp_path / "counts"))
+    assert {r.doc_id: (r.n_chars, len(r.steps)) for r in stored.collect()} == {r.doc_id: (len(r.text or ""),) * 2 for r in docs.collect()}
+    lib, text = Tokenizer.from_file(word_bpe), {r.doc_id: r.text or "" for r in docs.collect()}
+    for budget in (0, 7, 50):
+        for r in token_counts.fit_within(stored, budget).collect():
+            count = lambda n, t=text[r.doc_id]: len(lib.encode(t[:n], add_special_tokens=False).ids)
+            assert count(r.fit_chars) <= budget
+            assert r.fit_chars == len(text[r.doc_id]) or count(r.fit_chars + 1) > budget
+    # 1024 times "long words ", whose last space costs nothing
+    assert {r.doc_id: (r.n_tokens, r.fit_chars) for r in stored.collect()}[-2] == (400_000, 1024 * 11)
 
 
 def test_token_orc(spark, sf, byte_bpe, tmp_path, capsys):
