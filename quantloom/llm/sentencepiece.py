@@ -1,9 +1,9 @@
 """Unigram encoding and decoding: Viterbi over a double-array trie of scored pieces.
 
 Pieces come from a public vocabulary file. That file ranks its pieces but holds no
-probabilities, so a piece's log score follows its rank by Zipf's law,
-``log p(r) = -log((r + 1) * H)`` with H the harmonic number; nothing is trained. Space
-becomes the marker U+2581, with one put before the text. A character that no piece
+probabilities, and tokenizers are not trained here, so a piece's log score is a fixed
+function of its rank, Zipf's law ``log p(r) = -log((r + 1) * H)`` with H the harmonic
+number; ``Unigram`` takes any scored pieces. Space becomes the marker U+2581, with one put before the text. A character that no piece
 covers falls back to the byte pieces of its UTF-8 form at a penalty of 10 below the
 lowest score. No piece holds a marker after another character, so the best path of a
 text is that of its words (a run of markers and what follows up to the next one); words

@@ -184,6 +184,44 @@ def test_unigram_equals_the_library(pieces):
             assert np.frombuffer(pieces.known[u], "<u4").tolist() == pieces.one(coded)
 
 
+def test_viterbi_against_all_segmentations():
+    """Small vocabularies with scores of any kind: no segmentation of a word, bytes included, scores higher."""
+    rng = random.Random(21)
+    for _ in range(12):
+        texts = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(12)} | {"▁", "▁a", "▁▁"})
+        texts = [x for x in texts if x not in rng.sample(["a", "b", "é"], 2)]  # some letters only as bytes
+        scored = [(300 + i, x, -rng.choice([0.5, 1.0, 2.0, 3.5, 7.0])) for i, x in enumerate(texts)]
+        own = sentencepiece.Unigram(scored, list(range(256)))
+        score = {x: s for _, x, s in scored}
+
+        def all_ways(word, score=score, unknown=own.unknown):
+            if not word:
+                yield 0.0, []
+            for n in range(1, len(word) + 1):
+                if word[:n] in score or n == 1:
+                    here = score.get(word[:n], unknown)
+                    yield from ((here + s, [word[:n], *rest]) for s, rest in all_ways(word[n:]))
+
+        value = {i: s for i, _, s in scored}
+        for _ in range(40):
+            word = "".join(rng.choice("aabbéc") for _ in range(rng.randint(1, 8)))
+            ids = own.encode(word)
+            best = max(s for s, _ in all_ways("▁" + word))
+            got, k = 0.0, 0
+            while k < len(ids):
+                if ids[k] >= 300:
+                    got, k = got + value[ids[k]], k + 1
+                else:
+                    got, k = got + own.unknown, k + (2 if ids[k] >= 0xC0 and ids[k] < 0xE0 else 3 if ids[k] >= 0xE0 else 1)
+            assert got == pytest.approx(best), (word, ids)
+            assert own.decode(ids) == word
+
+
+def test_pieces_of_a_very_long_text(pieces):
+    t = " ".join(f"word{k % 977} é{'x' * (k % 40)}" for k in range(150_000))
+    assert len(t) > 3_000_000 and pieces.decode(pieces.encode(t)) == t
+
+
 def test_pieces_odd_rows(odd_docs, no_docs):
     path = tokenizer_path("piece_bpe_32k.model")
     got = sentencepiece.encode_column(odd_docs, path, decoded_col="decoded").collect()
