@@ -151,10 +151,13 @@ class HashFilter:
             for b in batches:
                 at = cls.place(b.column(0).to_numpy())
                 for k in np.unique(at >> inner).tolist():
-                    bits = held.setdefault(k, np.zeros(1 << inner, bool))
-                    bits[at[at >> inner == k] & ((1 << inner) - 1)] = True
+                    bits = held.get(k)
+                    if bits is None:
+                        bits = held[k] = np.zeros(1 << (inner - 3), np.uint8)
+                    own = at[at >> inner == k] & ((1 << inner) - 1)
+                    np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()])], ["k", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()])], ["k", "bits"])
 
         sliced = df.select(col).repartition(F.shiftrightunsigned(F.col(col), 56)).mapInArrow(run, "k int, bits binary")
         return cls({r["k"]: r["bits"] for r in sliced.collect()})  # 16 MB in all, whatever the table

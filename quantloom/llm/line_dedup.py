@@ -110,7 +110,7 @@ def _occurrences(docs: DataFrame, runs: bool, only: HashFilter | None = None, fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only, firsts = bc.value
-        for b in rows_within(batches, 8 << 20, 1):
+        for b in rows_within(batches, 2 << 20, 1):
             h, doc, no, raw = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 for k, c in _units(t, runs) if d is not None else ():
@@ -163,7 +163,7 @@ def _cut_rows(df: DataFrame, text_at: int, schema: T.StructType, runs: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_chunks_removed", pa.int64()), ("n_lines_removed", pa.int64())])
-        for b in rows_within(batches, 8 << 20, text_at):
+        for b in rows_within(batches, 2 << 20, text_at):
             out = []
             for t, cut in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if t is None:

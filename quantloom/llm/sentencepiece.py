@@ -92,7 +92,7 @@ class DoubleArray:
 class Unigram:
     """Scored pieces with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 250_000):
+    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 150_000):
         self.ids = np.array([i for i, _, _ in pieces], np.int64)
         self.scores = np.array([s for _, _, s in pieces])
         self.byte_ids, self.unknown, self.max_words = byte_ids, float(self.scores.min()) - PENALTY, max_words
