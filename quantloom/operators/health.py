@@ -40,6 +40,38 @@ def cross_source(summary: DataFrame, prices: DataFrame, tolerance: float = 0.001
     return g.join(F.broadcast(best)).select("day_offset", "n", "agreement", F.coalesce(F.col("day_offset") == F.col("__best"), F.lit(False)).alias("is_best"))
 
 
+def cross_source_verdict(summary: DataFrame, prices: DataFrame, expected: int = 1, least_share: float = 0.85, tolerance: float = 0.001) -> DataFrame:
+    """(check, ok, metric, value, limit_value, detail): the agreement at the best offset, and that it is the expected one."""
+    best = cross_source(summary, prices, tolerance).where("is_best")
+    share = best.select(F.lit("cross_source").alias("check"), (F.col("agreement") >= least_share).alias("ok"), F.lit("agreement").alias("metric"), F.col("agreement").alias("value"), F.lit(float(least_share)).alias("limit_value"), F.concat(F.lit("pairs: "), F.col("n").cast("string")).alias("detail"))
+    offset = best.select(F.lit("cross_source").alias("check"), (F.col("day_offset") == expected).alias("ok"), F.lit("day_offset").alias("metric"), F.col("day_offset").cast("double").alias("value"), F.lit(float(expected)).alias("limit_value"), F.lit("days between the captures").alias("detail"))
+    return share.unionByName(offset)
+
+
+def cross_source_worst(summary: DataFrame, prices: DataFrame, day_offset: int = 1, k: int = 4) -> DataFrame:
+    """The k pairs that differ most at an offset; ties by date and ticker."""
+    a = summary.where("close > 0").select(F.date_sub("dt", day_offset).alias("dt"), "ticker", F.col("close").alias("a"))
+    b = prices.where("close > 0").select("dt", "ticker", F.col("close").alias("b"))
+    return a.join(b, ["dt", "ticker"]).withColumn("differs", F.abs(F.col("b") / F.col("a") - 1)).orderBy(F.desc("differs"), "dt", "ticker").limit(k)
+
+
+def capture_verdict(summary: DataFrame, critical: list[str], low: int = 80, high: int = 400, least_share: float = 0.9) -> DataFrame:
+    """(check, ok, metric, value, limit_value, detail) of the latest date: rows, codes that are no equity, critical fields."""
+    last = summary.agg(F.max("dt").alias("__last"))
+    d = summary.join(F.broadcast(last)).where(F.col("dt") == F.col("__last"))  # one row
+    present = [c for c in critical if c in summary.columns]
+    g = d.agg(F.count("*").cast("double").alias("rows"), F.count(F.when(~is_equity_code("ticker"), 1)).cast("double").alias("junk_codes"), *[F.try_divide(F.count(c), F.count("*")).alias(f"share:{c}") for c in present])
+    u = g.unpivot([], g.columns, "metric", "value")
+    m, v = F.col("metric"), F.col("value")
+    ok = F.when(m == "rows", v.between(low, high)).when(m == "junk_codes", v == 0).otherwise(v >= least_share)
+    limit = F.when(m == "rows", float(low)).when(m == "junk_codes", 0.0).otherwise(float(least_share))
+    detail = F.when(m == "rows", f"{low} to {high}").when(m == "junk_codes", "codes that are no equity").otherwise("share populated")
+    out = u.select(F.lit("capture").alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), "metric", "value", limit.alias("limit_value"), detail.alias("detail"))
+    for c in sorted(set(critical) - set(present)):
+        out = out.unionByName(out.limit(1).select("check", F.lit(False).alias("ok"), F.lit(f"share:{c}").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(float(least_share)).alias("limit_value"), F.lit("no such field").alias("detail")))
+    return out
+
+
 def coverage(summary: DataFrame, fields: list[str], days: int = 10, floor: float = 0.9, least_days: int = 2) -> DataFrame:
     """Per field: share populated on the latest date, mean of the daily shares before, and whether it regressed."""
     recent = summary.join(F.broadcast(latest_dates(summary, days)), "dt", "left_semi")

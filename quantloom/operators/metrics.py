@@ -161,3 +161,10 @@ def normalise(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     s = train.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols])
     d = df.join(F.broadcast(s))  # one row
     return d.select(*[zscore(c, f"__m_{c}", f"__s_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def top_drivers(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
+    """``df`` with ``drivers``: its k columns of largest absolute value, names in order (ties by name, nulls last)."""
+    size = lambda c: F.coalesce(F.abs(c), F.lit(-1.0))
+    ordered = F.array_sort(F.array(*[F.struct((-size(c)).alias("size"), F.lit(c).alias("name")) for c in cols]))
+    return df.withColumn("drivers", F.array_join(F.transform(F.slice(ordered, 1, k), lambda x: x["name"]), ","))

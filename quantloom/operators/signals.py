@@ -124,3 +124,9 @@ def backfill_netval(traces: DataFrame, prices: DataFrame, until: str | None = No
         d = d.where(F.col("dt") <= F.lit(until).cast("date"))
     d = d.join(prices.where("close is not null").select("dt", "ticker", "close"), ["dt", "ticker"])
     return d.select("dt", "ticker", "broker_code", net_value("lots", "close").alias("netval"))
+
+
+def liquid_screen(summary: DataFrame, liquid: str = "is_liquid", pinky: str = "is_pinky", crossing: str = "is_crossing") -> DataFrame:
+    """Rows that are liquid, not on the special board and not crossed; a missing flag is false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return summary.where(flag(liquid) & ~flag(pinky) & ~flag(crossing))

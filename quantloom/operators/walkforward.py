@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .metrics import sharpe_trigger, spearman_ic, top_decile_edge
 from .spine import date_spine, with_position
 
 
@@ -18,10 +19,10 @@ def folds(spine: DataFrame, train_min: int = 30, test_window: int = 6) -> DataFr
     return c.select("cycle", hi.alias("train_hi"), (hi + 1).alias("test_lo"), (hi + test_window).alias("test_hi"))
 
 
-def linear_walk_forward(panel: DataFrame, feature: str, target: str = "target", train_min: int = 30, test_window: int = 6) -> DataFrame:
+def linear_walk_forward(panel: DataFrame, feature: str, target: str = "target", train_min: int = 30, test_window: int = 6, least_rows: int = 0) -> DataFrame:
     """Out-of-sample predictions of a least-squares line on one feature, refitted for each fold.
 
-    The sums of a fold's training dates are running sums over dates, so no fold reads the
+    Folds with ``least_rows`` training rows or fewer are left out. The sums of a fold's training dates are running sums over dates, so no fold reads the
     panel again: one aggregation by date, one window over dates, one join.
     """
     known = panel.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
@@ -38,10 +39,44 @@ def linear_walk_forward(panel: DataFrame, feature: str, target: str = "target",
     n = spine.agg(F.max("pos").alias("__n"))
     q = p.withColumn("cycle", cycle).join(F.broadcast(n)).where((F.col("cycle") >= 1) & (train_min + F.col("cycle") * test_window <= F.col("__n")))
     q = q.withColumn("train_hi", train_min + (F.col("cycle") - 1) * test_window)
-    q = q.join(F.broadcast(fit.select(F.col("pos").alias("train_hi"), "slope", "intercept")), "train_hi")  # one row a date
+    q = q.join(F.broadcast(fit.where(F.col("n") > least_rows).select(F.col("pos").alias("train_hi"), "slope", "intercept")), "train_hi")  # one row a date
     return q.select("cycle", "dt", "ticker", (F.col("intercept") + F.col("slope") * x).alias("pred"), y.alias("actual"))
 
 
+def feature_ablation(panel: DataFrame, features: list[str], targets: dict[int, str], train_min: int = 30, test_window: int = 6) -> DataFrame:
+    """Walk-forward scores of each feature at each horizon: one row a (feature, h).
+
+    Rows without the feature are dropped before dates are numbered. Errors are means of the
+    folds' means; trades and Sharpe are pooled over all folds.
+    """
+    out = None
+    for f in features:
+        own = panel.where(F.col(f).isNotNull())
+        for h, target in targets.items():
+            p = linear_walk_forward(own, f, target, train_min, test_window).where("pred is not null").withColumns({"feature": F.lit(f), "h": F.lit(h)})
+            out = p if out is None else out.unionByName(p)
+    by = ["feature", "h"]
+    errors = out.groupBy(*by, "cycle").agg(F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("mae"), F.avg(F.abs("actual")).alias("naive_mae"), F.count("*").alias("n"))
+    errors = errors.groupBy(*by).agg(F.avg("mae").alias("mae"), F.avg("naive_mae").alias("naive_mae"), F.count("*").alias("n_cycles"), F.sum("n").alias("n_preds"))
+    return errors.join(sharpe_trigger(out, by=by), by)
+
+
+def horizon_walk_forward(panel: DataFrame, feature: str, targets: dict[int, str], train_min: int = 60, test_window: int = 10, least_rows: int = 100) -> DataFrame:
+    """Rank correlation and top-decile edge of out-of-sample predictions at each horizon, one row an h.
+
+    A horizon's predictions are kept while its scores are taken; one row of scores each
+    reaches the driver.
+    """
+    rows = []
+    for h, target in targets.items():
+        p = linear_walk_forward(panel.where(F.col(feature).isNotNull()), feature, target, train_min, test_window, least_rows).where("pred is not null").persist()
+        try:
+            rows.append((h, *spearman_ic(p).join(top_decile_edge(p)).select("n", "ic", "n_top", "hit", "top_ret", "base_ret", "edge").first()))  # one row each
+        finally:
+            p.unpersist()
+    return panel.sparkSession.createDataFrame(rows, "h int, n long, ic double, n_top long, hit double, top_ret double, base_ret double, edge double")
+
+
 def chronological_split(df: DataFrame, frac: float = 0.8) -> DataFrame:
     """``df`` with ``fit``: the first floor(n * frac) rows by (dt, ticker).
 

@@ -120,9 +120,34 @@ VIEWS["PP"] = "select p.dt, p.ticker, p.pred as x, p.actual as y, a.pos from PR
 VIEWS["LINE"] = """select *, (sy - slope * sx) / nullif(n, 0) as intercept from (select *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as slope from (
     select f.cycle, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from FOLDS f join PP p on p.pos <= f.train_hi group by f.cycle))"""
 VIEWS["WF"] = "select f.cycle, p.dt, p.ticker, l.intercept + l.slope * p.x as pred, p.y as actual from FOLDS f join PP p on p.pos between f.test_lo and f.test_hi join LINE l on l.cycle = f.cycle"
+VIEWS["HZ"] = f"select x.dt, x.ticker, x.momentum_1d, x.volume_ratio, t.* exclude (dt, ticker) from PX x join (select dt, ticker, {', '.join(f'(lead(close, {h}) over w - close) / nullif(close, 0) as target_{h}' for h in (1, 3, 5))} from P {W}) t using (dt, ticker)"
 VIEWS["MDD"] = "select case when (lead(pos, 3) over w) - pos = 3 then (min(low) over (partition by ticker order by dt rows between 1 following and 3 following) - close) / nullif(close, 0) end as mdd_3 from CLEAN " + W
 
 
+def _walk(x: str, y: str, train: int, step: int, least: int = 0) -> str:
+    """Out-of-sample predictions of a line on x, refitted every ``step`` dates after ``train``."""
+    return f"""with K as (select dt, ticker, {x} as x, {y} as y from HZ where {x} is not null), A as (select dt, row_number() over (order by dt) as pos from (select distinct dt from K)),
+      C as (select unnest(generate_series(1, cast(floor((max(pos) - {train}) / {step}.0) as bigint))) as c from A), Q as (select K.*, A.pos from K join A using (dt) where y is not null),
+      S as (select c, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from C join Q on pos <= {train} + (c - 1) * {step} group by c),
+      L as (select *, (sy - b * sx) / n as a from (select *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as b from S where n > {least}))
+      select L.c as cycle, L.a + L.b * Q.x as pred, Q.y as actual from L join Q on Q.pos between {train} + (c - 1) * {step} + 1 and {train} + c * {step} where L.b is not null"""
+
+
+def _ablated(x: str, h: int) -> str:
+    return f"""(with R as ({_walk(x, f"target_{h}", 30, 6)}), E as (select cycle, avg(abs(pred - actual)) as m, avg(abs(actual)) as z, count(*) as n from R group by cycle)
+      select '{x}' as feature, {h} as h, {_r('avg(m)', 'mae')}, {_r('avg(z)', 'naive_mae')}, count(*) as n_cycles, cast(sum(n) as bigint) as n_preds,
+        (select {_SHARPE.format(x='v', std='stddev_samp').split(' as sharpe')[0]} from (select case when pred > 0.005 then actual end as v from R)) as sharpe,
+        (select count(case when pred > 0.005 then actual end) from R) as n_trades,
+        (select round(avg(case when pred > 0.005 then case when actual > 0 then 1e0 else 0e0 end end), 6) + 0.0 from R) as hit_rate from E having count(*) > 0)"""
+
+
+def _scanned(h: int) -> str:
+    return f"""(with R as ({_walk("momentum_1d", f"target_{h}", 40, 10, 100)}), T as (select quantile_cont(pred, 0.9) as cut from R)
+      select {h} as h, (select count(*) from R) as n, (select {_r('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)', 'ic')} from (select {_RANKED.format(c='pred')} as a, {_RANKED.format(c='actual')} as b from R)) as ic,
+        count(case when pred >= cut then 1 end) as n_top, {_r('avg(case when pred >= cut then case when actual > 0 then 1e0 else 0e0 end end)', 'hit')}, {_r('avg(case when pred >= cut then actual end)', 'top_ret')}, {_r('avg(actual)', 'base_ret')},
+        {_r('avg(case when pred >= cut then actual end) - avg(actual)', 'edge')} from R, T)"""
+
+
 def _guard(kind: str, k: int) -> str:
     if kind == "fwd":
         return f"case when (lead(pos, {k}) over w) - pos = {k} then (lead(close, {k}) over w - close) / nullif(close, 0) end"
@@ -230,6 +255,20 @@ SELECTS: dict[str, str] = {
         from (select q.tod_signal as s, p.target as t from PANEL p left join SMART q using (dt, ticker))))""",
     "target_shape": f"select count(*) as n, {_r('avg(case when target is null then 1e0 else 0e0 end)', 'missing')}, {_r('avg(case when target > 0 then 1e0 when target is not null then 0e0 end)', 'base_rate')}, {_r('kurtosis(target)', 'kurtosis')} from PX",
     "zscore_normalise": f"select dt, ticker, {_z('momentum_1d')}, {_z('volume_ratio')} from PX",
+    "feature_ablation": " union all ".join(_ablated(x, h) for x in ("momentum_1d", "volume_ratio") for h in (1, 3)),
+    "horizon_walk_forward": " union all ".join(_scanned(h) for h in (1, 3, 5)),
+    "top_drivers": """select dt, ticker, string_agg(name, ',' order by rn) as drivers from (select dt, ticker, name, row_number() over (partition by dt, ticker order by abs(value) desc nulls last, name) as rn from
+        (select dt, ticker, unnest(['smart_money_net', 'retail_net', 'absorber_net', 'tod_divergence']) as name, unnest([smart_money_net, retail_net, absorber_net, tod_divergence]) as value from SMART)) where rn <= 2 group by dt, ticker""",
+    "liquid_screen": "select dt, ticker from M where tval >= 100 and not coalesce(clean_score <= 1, false) and not coalesce(is_unusual_volume, false)",
+    "cross_source_verdict": f"""with J as (select o, count(*) as n, avg(case when abs(b.close / a.close - 1) <= 0.001 then 1e0 else 0e0 end) as g from MS a, (select unnest([0, 1, 2]) as o), M b
+        where b.dt = a.dt - cast(o as int) and b.ticker = a.ticker and a.close > 0 and b.close > 0 group by o), T as (select * from J where n >= 15 order by g desc, o limit 1)
+        select 'cross_source' as "check", g >= 0.85 as ok, 'agreement' as metric, {_r('g', 'value')}, cast(0.85 as double) as limit_value, concat('pairs: ', n) as detail from T
+        union all select 'cross_source', o = 1, 'day_offset', cast(o as double), cast(1 as double), 'days between the captures' from T""",
+    "cross_source_worst": f"select dt, ticker, {_r('d', 'differs')} from (select b.dt, b.ticker, abs(b.close / a.close - 1) as d from MS a join M b on b.dt = a.dt - 1 and b.ticker = a.ticker where a.close > 0 and b.close > 0 order by d desc, b.dt, b.ticker limit 4)",
+    "capture_verdict": f"""with L as (select * from M where dt = (select max(dt) from M)), V as (select cast(count(*) as double) as n, cast(count(case when not regexp_full_match(ticker, '[A-Za-z]{{1,4}}') then 1 end) as double) as junk from L)
+        select 'capture' as "check", n between 80 and 400 as ok, 'rows' as metric, n as value, cast(80 as double) as limit_value, '80 to 400' as detail from V union all select 'capture', junk = 0, 'junk_codes', junk, cast(0 as double), 'codes that are no equity' from V
+        {' '.join(f"union all select 'capture', coalesce(s >= 0.9, false), 'share:{c}', round(s, 6) + 0.0, cast(0.9 as double), 'share populated' from (select count({c}) / nullif(cast(count(*) as double), 0) as s from L)" for c in ("close", "high", "clean_score"))}
+        union all select 'capture', false, 'share:market_cap_t', cast(null as double), cast(0.9 as double), 'no such field' from V""",
     "cross_source_offset": f"""with J as (select cast(o as int) as day_offset, count(*) as n, avg(case when abs(b.close / a.close - 1) <= 0.001 then 1e0 else 0e0 end) as agreement from MS a, (select unnest([0, 1, 2]) as o), M b
         where b.dt = a.dt - cast(o as int) and b.ticker = a.ticker and a.close > 0 and b.close > 0 group by o)
         select day_offset, n, {_r('agreement', 'agreement')}, day_offset = (select day_offset from J where n >= 15 order by agreement desc, day_offset limit 1) as is_best from J""",

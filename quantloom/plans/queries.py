@@ -105,6 +105,19 @@ def _linear(t: StandIn) -> DataFrame:
     return walkforward.linear_walk_forward(features.price_features(t.P), "momentum_1d")
 
 
+def horizons(t: StandIn) -> DataFrame:
+    return features.price_features(t.P).drop("target").join(features.multi_horizon_targets(t.P), ["dt", "ticker"])
+
+
+TARGETS = {h: f"target_{h}" for h in (1, 3, 5)}
+SMART = ["smart_money_net", "retail_net", "absorber_net", "tod_divergence"]
+
+
+def flagged(t: StandIn) -> DataFrame:
+    """The summary with flags of a screen, one of them missing where there is no score."""
+    return t.M.select("dt", "ticker", (F.col("tval") >= 100).alias("is_liquid"), (F.col("clean_score") <= 1).alias("is_pinky"), F.col("is_unusual_volume").alias("is_crossing"))
+
+
 QUERY: dict[str, Query] = {
     "broker_day_aggregates": lambda t: features.broker_day_aggregates(t.B),
     "broker_correlation_1d": lambda t: features.broker_correlation_1d(t.B),
@@ -176,6 +189,13 @@ QUERY: dict[str, Query] = {
     "latest_wins_upsert": lambda t: latest_wins([t.P, t.PD.where("month(dt) = 6")], ["dt", "ticker"]).select("dt", "ticker", "close"),
     "parse_scalars": literals,
     "feature_correlation": lambda t: metrics.feature_correlation(features.training_panel(t.B, t.P), ["broker_concentration", "net_flow_total", "n_brokers", "net_buy_ratio", "momentum_1d", "volume_ratio"]),
+    "feature_ablation": lambda t: walkforward.feature_ablation(horizons(t), ["momentum_1d", "volume_ratio"], {h: TARGETS[h] for h in (1, 3)}),
+    "horizon_walk_forward": lambda t: walkforward.horizon_walk_forward(horizons(t), "momentum_1d", TARGETS, train_min=40),
+    "top_drivers": lambda t: metrics.top_drivers(features.smart_money_features(t.B), SMART, 2).select("dt", "ticker", "drivers"),
+    "liquid_screen": lambda t: signals.liquid_screen(flagged(t)).select("dt", "ticker"),
+    "cross_source_verdict": lambda t: health.cross_source_verdict(t.MS, t.M),
+    "cross_source_worst": lambda t: health.cross_source_worst(t.MS, t.M).select("dt", "ticker", "differs"),
+    "capture_verdict": lambda t: health.capture_verdict(t.M, ["close", "high", "clean_score", "market_cap_t"]),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
     "gbt_walk_forward": lambda t: walkforward.gbt_walk_forward(features.training_panel(t.B, t.P), FEATURES, trees=100),
     "permutation_importance": lambda t: walkforward.permutation_importance(features.training_panel(t.B, t.P), FEATURES, trees=100),
