@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 MAX_HOLD, COST, LOSS_AVERSION, LEAST_ROWS = 7, 0.0015, 1.5, 10
 
 
-def _played(days: DataFrame, max_hold: int, cost: float, aversion: float, least: int) -> DataFrame:
-    """(ticker, d, s): a ticker's ordered days and the state after its last step, with the path of filled days."""
+def _played(days: DataFrame, max_hold: int, cost: float, aversion: float, least: int, path: bool = False) -> DataFrame:
+    """(ticker, d, s): a ticker's ordered days and the state after its last step; with the path of filled days, which copies it at each step."""
     day = F.struct("dt", F.coalesce("action", F.lit(0)).cast("int").alias("action"), F.coalesce("at_ara", F.lit(False)).alias("up"), F.coalesce("at_arb", F.lit(False)).alias("down"), F.coalesce("daily_return", F.lit(0.0)).alias("r"))
     g = days.groupBy("ticker").agg(F.array_sort(F.collect_list(day)).alias("d")).where(F.size("d") >= least)
     none = F.array().cast("array<struct<dt:date,pos:int,r:double>>")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("held"), F.lit(0.0).alias("reward"), F.lit(0).alias("trades"), F.lit(0.0).alias("realized"), none.alias("path"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("held"), F.lit(0.0).alias("reward"), F.lit(0).alias("trades"), F.lit(0.0).alias("realized"), *[none.alias("path")] * path)
     d = F.col("d")
 
     def step(s: Column, t: Column) -> Column:
@@ -30,7 +30,7 @@ def _played(days: DataFrame, max_hold: int, cost: float, aversion: float, least:
             (s["reward"] + gain - changed * cost).cast("double").alias("reward"),
             (s["trades"] + changed).cast("int").alias("trades"),
             (s["realized"] + pnl).cast("double").alias("realized"),
-            F.array_append(s["path"], F.struct(now["dt"].alias("dt"), filled.cast("int").alias("pos"), pnl.cast("double").alias("r"))).alias("path"),
+            *([F.array_append(s["path"], F.struct(now["dt"].alias("dt"), filled.cast("int").alias("pos"), pnl.cast("double").alias("r"))).alias("path")] if path else []),
         )
 
     return g.select("ticker", "d", F.aggregate(F.sequence(F.lit(0), F.size(d) - 2), start, step).alias("s"))
@@ -50,7 +50,7 @@ def rollout(days: DataFrame, max_hold: int = MAX_HOLD, cost: float = COST, avers
 
 def trade_log(days: DataFrame, max_hold: int = MAX_HOLD, least: int = LEAST_ROWS) -> DataFrame:
     """(ticker, trade, entry_dt, exit_dt, days_held, ret): the trades of a rollout; exit_dt is NULL while one is open."""
-    p = _played(days, max_hold, COST, LOSS_AVERSION, least).select("ticker", F.explode("s.path").alias("x")).select("ticker", "x.*")
+    p = _played(days, max_hold, COST, LOSS_AVERSION, least, path=True).select("ticker", F.explode("s.path").alias("x")).select("ticker", "x.*")
     w = Window.partitionBy("ticker").orderBy("dt")
     before = F.coalesce(F.lag("pos").over(w), F.lit(0))
     p = p.withColumn("__in", ((F.col("pos") == 1) & (before == 0)).cast("int")).withColumn("trade", F.sum("__in").over(w)).withColumn("__out", F.when((F.col("pos") == 0) & (before == 1), F.col("dt")))

@@ -255,6 +255,17 @@ SELECTS: dict[str, str] = {
         from (select q.tod_signal as s, p.target as t from PANEL p left join SMART q using (dt, ticker))))""",
     "target_shape": f"select count(*) as n, {_r('avg(case when target is null then 1e0 else 0e0 end)', 'missing')}, {_r('avg(case when target > 0 then 1e0 when target is not null then 0e0 end)', 'base_rate')}, {_r('kurtosis(target)', 'kurtosis')} from PX",
     "zscore_normalise": f"select dt, ticker, {_z('momentum_1d')}, {_z('volume_ratio')} from PX",
+    "policy_rollout": f"""with recursive T as (select ticker, cast(case when pct > 0 then 1 else 0 end as int) as act, at_ara, at_arb, coalesce(pct, 0) as r, cast(rn - 1 as int) as i, cast(count(*) over (partition by ticker) as int) as n,
+            coalesce(lead(pct) over (partition by ticker order by rn), 0) as nr from LIM),
+          S as (select ticker, n, -1 as i, 0 as pos, 0 as held, cast(0 as double) as reward, 0 as trades, cast(0 as double) as realized from T where i = 0 and n >= 10
+            union all select ticker, n, i, f, case when f = 1 then held + 1 else 0 end, reward + case when p < 0 then p * 1.5 else p end - c * cast(0.0015 as double), trades + c, realized + p
+            from (select *, cast(f <> pos as int) as c, f * case when i + 1 < n - 1 then nr else cast(0 as double) end as p from (
+              select T.ticker, T.n, T.i, T.nr, S.pos, S.held, S.reward, S.trades, S.realized,
+                case when w = 1 and S.pos = 0 and not T.at_ara then 1 when w = 0 and S.pos = 1 and not T.at_arb then 0 else S.pos end as f
+              from S join T on T.ticker = S.ticker and T.i = S.i + 1 and T.i <= T.n - 2, lateral (select case when S.pos = 1 and S.held >= 7 then 0 else T.act end as w))))
+        select ticker, cast(n - 1 as int) as steps, {_r('reward', 'reward')}, trades, {_r('realized', 'realized')} from S where i = n - 2""",
+    "cleaned_codes": "select dt, ticker, replace(ticker, '#', '') as code, cast(dt - interval 3 day as date) as three_days_before from P",
+    "failed_runs": "select dt, failed, total, total <= 0 or failed > 0.3 * total as fails from (select dt, count(case when clean_score is null or clean_score <= 1 then 1 end) as failed, count(*) as total from M group by dt)",
     "feature_ablation": " union all ".join(_ablated(x, h) for x in ("momentum_1d", "volume_ratio") for h in (1, 3)),
     "horizon_walk_forward": " union all ".join(_scanned(h) for h in (1, 3, 5)),
     "top_drivers": """select dt, ticker, string_agg(name, ',' order by rn) as drivers from (select dt, ticker, name, row_number() over (partition by dt, ticker order by abs(value) desc nulls last, name) as rn from

@@ -196,6 +196,8 @@ QUERY: dict[str, Query] = {
     "cross_source_verdict": lambda t: health.cross_source_verdict(t.MS, t.M),
     "cross_source_worst": lambda t: health.cross_source_worst(t.MS, t.M).select("dt", "ticker", "differs"),
     "capture_verdict": lambda t: health.capture_verdict(t.M, ["close", "high", "clean_score", "market_cap_t"]),
+    "cleaned_codes": lambda t: t.P.select("dt", "ticker", S.clean_code("ticker").alias("code"), S.shift_date("dt", 3).alias("three_days_before")),
+    "failed_runs": lambda t: t.M.groupBy("dt").agg(F.count(F.when(F.col("clean_score").isNull() | (F.col("clean_score") <= 1), 1)).alias("failed"), F.count("*").alias("total")).withColumn("fails", S.should_fail_run("failed", "total")),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
     "gbt_walk_forward": lambda t: walkforward.gbt_walk_forward(features.training_panel(t.B, t.P), FEATURES, trees=100),
     "permutation_importance": lambda t: walkforward.permutation_importance(features.training_panel(t.B, t.P), FEATURES, trees=100),
