@@ -29,7 +29,7 @@ share a component; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,10 +155,15 @@ def units_of_work(nodes: DataFrame, scratch: Scratch, tile: int = TILE) -> DataF
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     unset = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.col("key").bitwiseAND(one(i)) == 0)
     probes = own.where("width > 0").select("label", "dim", "node", "h", "tab", F.explode(F.transform(unset, lambda i: F.col("key").bitwiseOR(one(i)))).alias("key"))
+    return tiled(own.drop("width"), probes, scratch, tile)
+
+
+def tiled(own: DataFrame, probes: DataFrame, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """The units of work of a table's rows and what probes it, both (label, dim, tab, key, node, h)."""
     held = own.groupBy(*ENTRY).agg(F.count("*").alias("t"))
     met = scratch.keep(probes.join(held.hint("merge"), ENTRY), "probes")
     asked = scratch.keep(met.groupBy(*ENTRY).agg(F.count("*").alias("p")), "asked")
-    base = own.drop("width").join(held.hint("merge"), ENTRY).join(asked.hint("merge"), ENTRY, "left").withColumn("p", F.coalesce("p", F.lit(0).cast("long"))).where("t + p > 1")
+    base = own.join(held.hint("merge"), ENTRY).join(asked.hint("merge"), ENTRY, "left").withColumn("p", F.coalesce("p", F.lit(0).cast("long"))).where("t + p > 1")
     both = base.withColumn("s", F.lit(0)).unionByName(met.join(asked.hint("merge"), ENTRY).withColumn("s", F.lit(1)))
     # entries that fit into one tile are one unit; else the rows' tiles 0 .. n_t - 1 and the probes' n_t .. n_t + n_p - 1
     small = F.col("t") + F.col("p") <= tile
@@ -183,12 +188,10 @@ def _pairs(begin: np.ndarray, n: np.ndarray, most: int) -> Iterator[tuple[np.nda
         lo = hi
 
 
-def _compare(t: pa.Table, threshold: float) -> pa.RecordBatch:
-    """(node, h, m, to) of the rows of whole units of one vector length: linked copies, and an edge of a spanning forest."""
+def pairs_of_units(t: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (row, partner) of who meets whom in whole units, about ``most`` at a time."""
     n = t.num_rows
-    x = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(n, -1)
-    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
-    s, copies, node, tab = (t.column(c).to_numpy() for c in ("s", "copies", "node", "tab"))
+    s = t.column("s").to_numpy()
     new = np.zeros(n, bool)
     new[0] = True
     for c in (*ENTRY, "x", "y"):
@@ -199,8 +202,17 @@ def _compare(t: pa.Table, threshold: float) -> pa.RecordBatch:
     base = np.bincount(unit[s == 0], minlength=len(begin))
     alone = (t.column("x").to_numpy() == t.column("y").to_numpy())[begin]
     partners = np.where(s == 1, base[unit], np.where(alone[unit], np.arange(n) - begin[unit], 0))
+    yield from _pairs(begin[unit], partners, most)
+
+
+def _compare(t: pa.Table, threshold: float) -> pa.RecordBatch:
+    """(node, h, m, to) of the rows of whole units of one vector length: linked copies, and an edge of a spanning forest."""
+    n = t.num_rows
+    x = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(n, -1)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    copies, node, tab = (t.column(c).to_numpy() for c in ("copies", "node", "tab"))
     a_all, b_all = [], []
-    for a, b in _pairs(begin[unit], partners, max(1, (4 << 20) // (8 * x.shape[1]))):
+    for a, b in pairs_of_units(t, max(1, (4 << 20) // (8 * x.shape[1]))):
         first = (np.bitwise_count(keys[a] ^ keys[b]) <= 1).argmax(1)
         a, b = (v[first == tab[a]] for v in (a, b))
         near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
@@ -224,16 +236,11 @@ def _compare(t: pa.Table, threshold: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(t.column("h").to_numpy()[hit]), pa.array(m[hit]), to], ["node", "h", "m", "to"])
 
 
-def verified(work: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, h, m, to): ``_compare`` over all units of work; many rows a node."""
+def in_units(work: DataFrame, nodes: DataFrame, judged: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``judged`` over tables of whole units of work, their rows joined with ``nodes`` by (node, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            for d in pc.unique(t.column("dim")).to_pylist():
-                yield _compare(t.filter(pc.equal(t.column("dim"), d)), threshold)
-
         for big in batches:
             for lo in range(0, big.num_rows, 8 * TILE):
                 held.append(big.slice(lo, 8 * TILE))
@@ -249,10 +256,19 @@ def verified(work: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) ->
         if held:
             yield from judged(pa.Table.from_batches(held))
 
-    whole = work.join(nodes.select("node", "h", "unit", "keys", "copies").hint("merge"), ["node", "h"])
     group = [*ENTRY, "x", "y"]
-    dealt = whole.repartition(*group).sortWithinPartitions(*group, "s")
-    return dealt.mapInArrow(run, "node long, h long, m long, to long")
+    dealt = work.join(nodes.hint("merge"), ["node", "h"]).repartition(*group).sortWithinPartitions(*group, "s")
+    return dealt.mapInArrow(run, schema)
+
+
+def verified(work: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, h, m, to): ``_compare`` over all units of work; many rows a node."""
+
+    def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for d in pc.unique(t.column("dim")).to_pylist():
+            yield _compare(t.filter(pc.equal(t.column("dim"), d)), threshold)
+
+    return in_units(work, nodes.select("node", "h", "unit", "keys", "copies"), judged, "node long, h long, m long, to long")
 
 
 def embedding_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, id_col: str = "vec_id", emb_col: str = "embedding", label_col: str = "label") -> DataFrame:
