@@ -39,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of an Arrow batch to ``BATCH_BYTES``; a smaller one stays.
+
+    Both sides of a Python stage hold whole batches, which at Spark's own bound (64 MB)
+    costs each running task several times that.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder and read back.
 
@@ -158,6 +174,7 @@ class HashFilter:
                     np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()])], ["k", "bits"])
+            tidy()
 
         sliced = df.select(col).repartition(F.shiftrightunsigned(F.col(col), 56)).mapInArrow(run, "k int, bits binary")
         return cls({r["k"]: r["bits"] for r in sliced.collect()})  # 16 MB in all, whatever the table

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .components import connected_components
 
 THRESHOLD = 0.93
@@ -255,6 +255,7 @@ def in_units(work: DataFrame, nodes: DataFrame, judged: Callable[[pa.Table], Ite
                 held = t.slice(cut).to_batches()
         if held:
             yield from judged(pa.Table.from_batches(held))
+        tidy()
 
     group = [*ENTRY, "x", "y"]
     dealt = work.join(nodes.hint("merge"), ["node", "h"]).repartition(*group).sortWithinPartitions(*group, "s")
