@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import Scratch, table
+from .conversation_repair import repair_digest
 from .decontam import contamination_digest
 from .embedding_dedup import embedding_links
 from .html_extract import main_text
 from .language_id import language_digest
 from .line_dedup import line_digest
 from .oracle import ORACLE_SQL
+from .prefix_trie import trie_digest
+from .secret_scan import secret_digest
 from .sentencepiece import piece_digest
 from .simhash import simhash_digest
 from .suffix_dedup import substring_digest
@@ -66,6 +69,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"), Scratch(spark, "repair"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_digest(table(spark, sf_dir, "conversations"), Scratch(spark, "trie"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]

@@ -5,7 +5,7 @@ from quantloom.llm.queries import QUERIES
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_its_stages(spark, sf, tmp_path):
