@@ -146,9 +146,9 @@ def trigrams(query: Query) -> set[str]:
 
 def trigram_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(block, gram, ids): the documents of each block of ids that hold a trigram, in lower case."""
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
-    p = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(held).alias("gram"))
+    low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
+    p = low.select("id", F.explode_outer(held).alias("gram")).where("gram is not null")  # explode() would test every trigram once more, in a filter
     return p.groupBy(F.shiftright("id", BLOCK_BITS).alias("block"), "gram").agg(F.collect_set("id").alias("ids"))
 
 
