@@ -93,7 +93,11 @@ def price_features(prices: DataFrame) -> DataFrame:
     return p
 
 
-def multi_horizon_targets(prices: DataFrame, horizons=(1, 3, 5)) -> DataFrame:
+#: Days ahead of the forward returns.
+HORIZONS = (1, 3, 5, 10, 20)
+
+
+def multi_horizon_targets(prices: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Unguarded forward returns by row."""
     return prices.select(*KEYS, *[simple_return(F.lead("close", h).over(by_ticker()), "close").alias(f"target_{h}") for h in horizons])
 
@@ -131,3 +135,27 @@ def smart_money_panel(flow: DataFrame, prices: DataFrame) -> DataFrame:
 def multi_day_panel(flow: DataFrame, prices: DataFrame) -> DataFrame:
     a = broker_day_aggregates(flow)
     return training_panel(flow, prices).join(rolling_features(a), KEYS, "left")
+
+
+def ablation_panel(flow: DataFrame, prices: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """All flow features (of the day, of the days before, of smart money), price features, and ``target_h`` of every horizon."""
+    a = broker_day_aggregates(flow)
+    x = a.join(broker_correlation_1d(flow), KEYS, "left").join(rolling_features(a), KEYS, "left").join(smart_money_features(flow), KEYS, "left")
+    return x.join(price_features(prices).drop("target"), KEYS).join(multi_horizon_targets(prices, horizons), KEYS)
+
+
+def scan_panel(flow: DataFrame, clean: DataFrame) -> DataFrame:
+    """Flow and cluster features, price features of clean bars, and their guarded returns.
+
+    ``clean`` has the bars with lag_1, lag_5 and the returns to scan; everything else of a bar goes.
+    """
+    a = broker_day_aggregates(flow).join(broker_correlation_1d(flow), KEYS, "left").join(cluster_features(flow), KEYS, "left")
+    p = clean.select(
+        *KEYS,
+        F.col("lag_1").alias("momentum_1d"),
+        F.col("lag_5").alias("momentum_5d"),
+        ratio("volume", _framed_mean(F.col("volume"), -5, -1, 5)).alias("volume_ratio"),
+        _framed_mean(ratio(F.col("high") - F.col("low"), "close"), -9, 0, 10).alias("atr_pct"),
+        *[c for c in clean.columns if c.startswith(("fwd_", "max_", "mdd_"))],
+    )
+    return a.join(p, KEYS)

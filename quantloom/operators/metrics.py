@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import kelly_fraction, ratio
 from .features import pearson
+from .order import quantiles, with_average_rank
 
 YEAR = math.sqrt(252.0)
 
@@ -39,24 +40,6 @@ def mae_vs_naive(df: DataFrame, pred: str = "pred", actual: str = "actual", cycl
     return df.groupBy(cycle).agg(*m).agg(F.avg("mae").alias("mae"), F.avg("naive_mae").alias("naive_mae"))
 
 
-def with_average_rank(df: DataFrame, col: str, out: str, bins: int = 64) -> DataFrame:
-    """``df`` with the rank of ``col`` over all rows, ties at their mean.
-
-    Ties are counted first, so a very common value is one row. Values are then dealt to
-    bins by approximate quantiles; each bin is ranked by itself and starts after the rows
-    of the bins below. The cuts only balance the bins: any cuts give the same ranks.
-    """
-    c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__c"))
-    cuts = sorted(set(c.approxQuantile(col, [i / bins for i in range(1, bins)], 0.002)))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(col))) if cuts else F.lit(0)
-    c = c.withColumn("__bin", place)
-    below = c.groupBy("__bin").agg(F.sum("__c").alias("__n"))  # one row a bin
-    below = below.select("__bin", (F.sum("__n").over(Window.orderBy("__bin")) - F.col("__n")).alias("__below"))
-    upto = F.sum("__c").over(Window.partitionBy("__bin").orderBy(col))
-    r = c.join(F.broadcast(below), "__bin").select(col, (F.col("__below") + upto - (F.col("__c") - 1) / 2.0).alias(out))
-    return df.join(r, col)
-
-
 def spearman_ic(df: DataFrame, pred: str = "pred", actual: str = "actual") -> DataFrame:
     """Pooled rank correlation of predictions and outcomes."""
     d = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(pred, actual)
@@ -66,7 +49,7 @@ def spearman_ic(df: DataFrame, pred: str = "pred", actual: str = "actual") -> Da
 
 def top_decile_edge(df: DataFrame, pred: str = "pred", actual: str = "actual", q: float = 0.9) -> DataFrame:
     """Hit rate and mean return of predictions at or above the interpolated quantile, and their edge."""
-    cut = df.agg(F.percentile(pred, F.lit(q)).alias("cut"))
+    cut = quantiles(df, pred, {"cut": q})
     top = F.col(pred) >= F.col("cut")
     d = df.join(F.broadcast(cut))  # one row
     out = d.agg(
@@ -80,19 +63,20 @@ def top_decile_edge(df: DataFrame, pred: str = "pred", actual: str = "actual", q
 
 
 def drawdown_quantiles(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.percentile(col, F.lit(0.5)).alias("median_dd"), F.percentile(col, F.lit(0.25)).alias("p25_dd"))
+    return quantiles(df, col, {"median_dd": 0.5, "p25_dd": 0.25})
 
 
 def summarise(df: DataFrame, by: list[str], ret: str = "ret", mfe: str = "mfe", mae: str = "mae") -> DataFrame:
+    """Returns of each group of known keys and what came before them: n, mean, exact median, hits, excursions."""
     r = F.col(ret)
-    return df.groupBy(*by).agg(
+    g = df.groupBy(*by).agg(
         F.count(r).alias("n"),
         F.avg(r).alias("mean"),
-        F.percentile(ret, F.lit(0.5)).alias("median"),
         (100.0 * F.avg(F.when(r.isNotNull(), (r > 0).cast("double")))).alias("hit_pct"),
         F.avg(mfe).alias("mfe"),
         F.avg(mae).alias("mae"),
     )
+    return g.join(quantiles(df, ret, {"median": 0.5}, by), by, "left")
 
 
 def kelly_from_trades(df: DataFrame, ret: str = "ret", cap: float = 0.5) -> DataFrame:
@@ -168,3 +152,10 @@ def top_drivers(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
     size = lambda c: F.coalesce(F.abs(c), F.lit(-1.0))
     ordered = F.array_sort(F.array(*[F.struct((-size(c)).alias("size"), F.lit(c).alias("name")) for c in cols]))
     return df.withColumn("drivers", F.array_join(F.transform(F.slice(ordered, 1, k), lambda x: x["name"]), ","))
+
+
+def top_contributions(values: str, names: list[str], k: int = 3) -> Column:
+    """The k largest of an array of contributions by size, as an array of (name, value); ties by name."""
+    v = F.col(values)
+    each = F.array(*[F.struct((-F.abs(v[i])).alias("size"), F.lit(n).alias("name"), v[i].alias("value")) for i, n in enumerate(names)])
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .metrics import sharpe_trigger, spearman_ic, top_decile_edge
+from . import boosting
+from .metrics import feature_correlation, sharpe_trigger, top_contributions
 from .spine import date_spine, with_position
 
+#: Writes a table where all executors can read it and reads it back.
+Keep = Callable[[DataFrame], DataFrame]
+
 
 def folds(spine: DataFrame, train_min: int = 30, test_window: int = 6) -> DataFrame:
     """(cycle, train_hi, test_lo, test_hi): positions of expanding training and following test dates."""
@@ -43,40 +50,6 @@ def linear_walk_forward(panel: DataFrame, feature: str, target: str = "target",
     return q.select("cycle", "dt", "ticker", (F.col("intercept") + F.col("slope") * x).alias("pred"), y.alias("actual"))
 
 
-def feature_ablation(panel: DataFrame, features: list[str], targets: dict[int, str], train_min: int = 30, test_window: int = 6) -> DataFrame:
-    """Walk-forward scores of each feature at each horizon: one row a (feature, h).
-
-    Rows without the feature are dropped before dates are numbered. Errors are means of the
-    folds' means; trades and Sharpe are pooled over all folds.
-    """
-    out = None
-    for f in features:
-        own = panel.where(F.col(f).isNotNull())
-        for h, target in targets.items():
-            p = linear_walk_forward(own, f, target, train_min, test_window).where("pred is not null").withColumns({"feature": F.lit(f), "h": F.lit(h)})
-            out = p if out is None else out.unionByName(p)
-    by = ["feature", "h"]
-    errors = out.groupBy(*by, "cycle").agg(F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("mae"), F.avg(F.abs("actual")).alias("naive_mae"), F.count("*").alias("n"))
-    errors = errors.groupBy(*by).agg(F.avg("mae").alias("mae"), F.avg("naive_mae").alias("naive_mae"), F.count("*").alias("n_cycles"), F.sum("n").alias("n_preds"))
-    return errors.join(sharpe_trigger(out, by=by), by)
-
-
-def horizon_walk_forward(panel: DataFrame, feature: str, targets: dict[int, str], train_min: int = 60, test_window: int = 10, least_rows: int = 100) -> DataFrame:
-    """Rank correlation and top-decile edge of out-of-sample predictions at each horizon, one row an h.
-
-    A horizon's predictions are kept while its scores are taken; one row of scores each
-    reaches the driver.
-    """
-    rows = []
-    for h, target in targets.items():
-        p = linear_walk_forward(panel.where(F.col(feature).isNotNull()), feature, target, train_min, test_window, least_rows).where("pred is not null").persist()
-        try:
-            rows.append((h, *spearman_ic(p).join(top_decile_edge(p)).select("n", "ic", "n_top", "hit", "top_ret", "base_ret", "edge").first()))  # one row each
-        finally:
-            p.unpersist()
-    return panel.sparkSession.createDataFrame(rows, "h int, n long, ic double, n_top long, hit double, top_ret double, base_ret double, edge double")
-
-
 def chronological_split(df: DataFrame, frac: float = 0.8) -> DataFrame:
     """``df`` with ``fit``: the first floor(n * frac) rows by (dt, ticker).
 
@@ -89,54 +62,89 @@ def chronological_split(df: DataFrame, frac: float = 0.8) -> DataFrame:
     return d.withColumn("fit", rn <= F.floor(F.col("__n") * frac)).drop("__b", "__n")
 
 
-def _assembled(panel: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Vectors with missing values as 0 and a flag for each feature that says so."""
-    from pyspark.ml.feature import VectorAssembler
+def tree_instances(panel: DataFrame, features: list[str], target: str = "target", train_min: int = 30, test_window: int = 6, frac: float = 0.8) -> tuple[DataFrame, dict[str, list[float]]]:
+    """Rows of the panel in every fold that reads them, for :mod:`boosting`, and the borders of their bins.
 
-    d = panel.where(F.col(target).isNotNull())
-    cols = []
-    for f in features:
-        d = d.withColumn(f"__{f}", F.coalesce(F.col(f).cast("double"), F.lit(0.0))).withColumn(f"__{f}_missing", F.col(f).isNull().cast("double"))
-        cols += [f"__{f}", f"__{f}_missing"]
-    d = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-    return d.select("dt", "ticker", "features", F.col(target).alias("label"))
+    (model, dt, ticker, rid, part, y, bins): model is the fold, rid the row's place by (dt, ticker).
+    The first ``frac`` of a fold's training rows fit, the rest stop it. Borders are quantiles of the
+    first training window, which every fold reads.
+    """
+    known = panel.where(F.col(target).isNotNull())
+    spine = date_spine(known)
+    per = with_position(known.groupBy("dt").agg(F.count("*").alias("c")), spine)
+    run, whole = Window.orderBy("pos"), Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a date
+    dates = per.select("dt", "pos", (F.sum("c").over(run) - F.col("c")).alias("before"), F.sum("c").over(run).alias("upto"), F.max("pos").over(whole).alias("n"))
+    sizes = dates.where((F.col("pos") >= train_min) & ((F.col("pos") - train_min) % test_window == 0)).select((F.floor((F.col("pos") - train_min) / test_window) + 1).cast("int").alias("model"), F.floor(F.col("upto") * frac).alias("fits"))
+    d = known.select("dt", "ticker", *features, F.col(target).cast("double").alias("y")).join(F.broadcast(dates), "dt")
+    d = d.withColumn("rid", F.col("before") + F.row_number().over(Window.partitionBy("dt").orderBy("ticker")))
+    edges = boosting.borders(d.where(F.col("pos") <= train_min), features, boosting.Params.bins)
+    d = boosting.binned(d.select("dt", "ticker", "pos", "n", "rid", "y", *features), edges)
+    last = F.floor((F.col("n") - train_min) / test_window).cast("int")
+    tested = F.greatest(F.ceil((F.col("pos") - train_min) / test_window), F.lit(0)).cast("int")
+    d = d.withColumn("tested", tested).withColumn("model", F.explode(F.when(F.greatest("tested", F.lit(1)) <= last, F.sequence(F.greatest("tested", F.lit(1)), last)).otherwise(F.array().cast("array<int>"))))
+    d = d.join(F.broadcast(sizes), "model")
+    part = F.when(F.col("model") == F.col("tested"), boosting.TEST).when(F.col("rid") <= F.col("fits"), boosting.FIT).otherwise(boosting.EVAL)
+    return d.select("model", "dt", "ticker", "rid", part.alias("part"), "y", "bins"), edges
 
 
-def gbt_walk_forward(panel: DataFrame, features: list[str], target: str = "target", train_min: int = 30, test_window: int = 6, frac: float = 0.8, trees: int = 20, depth: int = 4) -> DataFrame:
-    """(cycle, dt, ticker, pred, actual) of boosted trees refitted for each fold, stopped early on the last rows.
+def tree_walk_forward(panel: DataFrame, features: list[str], keep: Keep, target: str = "target", train_min: int = 30, test_window: int = 6, params: boosting.Params | None = None, contributions: bool = False) -> DataFrame:
+    """(cycle, dt, ticker, part, pred, actual) of boosted trees of every fold; with ``contributions`` also phi.
 
-    Folds depend on nothing but the cached vectors; the driver only loops over fold numbers.
+    ``part`` tells rows that fitted a fold (0), stopped it (1) and were held out (2). ``keep`` writes
+    a table to a shared folder and reads it back.
     """
-    from pyspark.ml.regression import GBTRegressor
+    inst, _ = tree_instances(panel, features, target, train_min, test_window)
+    inst = keep(inst)
+    trees = boosting.fit(inst, len(features), params, keep=keep)
+    out = boosting.predict(inst, trees, len(features), contributions)
+    return out.select(F.col("model").alias("cycle"), "dt", "ticker", "part", "pred", F.col("y").alias("actual"), *(["phi"] if contributions else []))
 
-    spine = date_spine(panel)
-    data = with_position(_assembled(panel, features, target), spine).cache()
-    out = None
-    for f in folds(spine, train_min, test_window).collect():
-        train = chronological_split(data.where(F.col("pos") <= f["train_hi"]), frac).withColumn("held", ~F.col("fit"))
-        model = GBTRegressor(maxDepth=depth, stepSize=0.05, maxIter=trees, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="held", validationTol=1e-6, lossType="absolute", seed=1).fit(train)
-        test = model.transform(data.where(F.col("pos").between(f["test_lo"], f["test_hi"])))
-        rows = test.select(F.lit(f["cycle"]).alias("cycle"), "dt", "ticker", F.col("prediction").alias("pred"), F.col("label").alias("actual"))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else data.select(F.lit(0).alias("cycle"), "dt", "ticker", F.col("label").alias("pred"), F.col("label").alias("actual")).limit(0)
-
-
-def permutation_importance(panel: DataFrame, features: list[str], target: str = "target", trees: int = 20) -> DataFrame:
-    """(feature, importance, gain): rise of the absolute error when a feature's values move to other rows."""
-    from pyspark.ml.regression import GBTRegressor
-
-    spark = panel.sparkSession
+
+def cycle_report(scored: DataFrame, threshold: float = 0.005) -> DataFrame:
+    """One row a fold: its days, errors on the three parts, and trades of the held-out days."""
+    part, error = F.col("part"), F.abs(F.col("pred") - F.col("actual"))
+    held = part == boosting.TEST
+    days = scored.groupBy("cycle").agg(
+        F.countDistinct(F.when(~held, F.col("dt"))).alias("train_days"),
+        F.countDistinct(F.when(held, F.col("dt"))).alias("test_days"),
+        *[F.avg(F.when(part == k, error)).alias(f"{n}_mae") for n, k in (("train", boosting.FIT), ("eval", boosting.EVAL), ("test", boosting.TEST))],
+    )
+    return days.join(sharpe_trigger(scored.where(held), threshold=threshold, by=["cycle"]), "cycle")
+
+
+def trade_log(scored: DataFrame, features: list[str], k: int = 3, threshold: float = 0.005) -> DataFrame:
+    """Held-out rows predicted above the threshold with the k features that moved them most, as (name, value)."""
+    d = scored.where((F.col("part") == boosting.TEST) & (F.col("pred") > threshold))
+    return d.select("cycle", "dt", "ticker", "pred", "actual", top_contributions("phi", features, k).alias("drivers"))
+
+
+def importance(panel: DataFrame, features: list[str], keep: Keep, target: str = "target", params: boosting.Params | None = None) -> DataFrame:
+    """One row a feature, of trees fitted on all rows with missing values as 0.
+
+    Mean size of its contributions and rank by it, its mean gain a split as a share of all, the
+    rise of the absolute error when its values move to other rows of the date, and its plain
+    correlation with the target.
+    """
     d = panel.where(F.col(target).isNotNull())
-    model = GBTRegressor(maxDepth=4, stepSize=0.05, maxIter=trees, seed=1).fit(_assembled(d, features, target))
-    gain = model.featureImportances.toArray()
-
-    def error(x: DataFrame) -> float:
-        return model.transform(_assembled(x, features, target)).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0] or 0.0
-
-    base = error(d)
-    rows = []
-    for i, f in enumerate(features):
-        w = Window.partitionBy("dt").orderBy(F.xxhash64("ticker", F.lit(f)))
-        moved = d.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w)))
-        rows.append((f, float(error(moved) - base), float(gain[2 * i] + gain[2 * i + 1])))
-    return spark.createDataFrame(rows, "feature string, importance double, gain double")
+    zeros = d.select("dt", "ticker", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("double").alias("y"), F.lit(0).alias("model"), F.xxhash64("dt", "ticker").alias("rid"), F.lit(boosting.FIT).alias("part"))
+    inst = keep(boosting.binned(zeros, boosting.borders(zeros, features, boosting.Params.bins)).drop(*features))
+    width = len(features)
+    trees = boosting.fit(inst, width, params, keep=keep)
+    phi = boosting.predict(inst, trees, width, True).select(F.posexplode(F.slice("phi", 1, width)).alias("f", "v")).groupBy("f").agg(F.avg(F.abs("v")).alias("mean_abs_shap"))
+
+    # A row once as it is, and once a feature with that feature's bin from the next row of its date.
+    moved = [F.struct(F.lit(-1).alias("f"), F.col("bins").alias("b"))]
+    for i in range(width):
+        w = Window.partitionBy("dt").orderBy(F.xxhash64("ticker", F.lit(i)))
+        other = F.coalesce(F.lead("bins").over(w), F.first("bins").over(w))
+        moved.append(F.struct(F.lit(i).alias("f"), F.concat(F.substring("bins", 1, i), F.substring(other, i + 1, 1), F.substring("bins", i + 2, width)).alias("b")))
+    tall = inst.select("model", "y", F.array(*moved).alias("all")).select("model", "y", F.explode("all").alias("s")).select("model", "y", "s.f", F.col("s.b").alias("bins"))
+    error = boosting.predict(tall, trees, width).groupBy("f").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("error"))
+    base = error.where("f = -1").select(F.col("error").alias("whole"))
+    rise = error.where("f >= 0").join(F.broadcast(base)).select("f", (F.col("error") - F.col("whole")).alias("importance"))  # one row
+
+    gains = [np.concatenate([g[f == i] for g, f in zip(trees.gain, trees.feature, strict=True)] or [np.zeros(0)]) for i in range(width)]
+    mean = np.array([g.mean() if len(g) else 0.0 for g in gains])
+    table = panel.sparkSession.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(zip(features, mean / (mean.sum() or 1.0), strict=True))], "f int, feature string, gain double")
+    out = table.join(phi, "f").join(rise, "f").join(feature_correlation(d, features, target), "feature")
+    return out.select("feature", "mean_abs_shap", F.row_number().over(Window.orderBy(F.desc("mean_abs_shap"), "feature")).alias("rank"), "gain", "importance", "r")  # one row a feature

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.features import HORIZONS
 from ..schema import ABSORBERS, CLUSTERS, FOREIGN, RETAIL, SMART_MONEY, VARIANTS
-from .queries import EXACT
+from .queries import EXACT, SCAN_SETS, SETS
 from .standin import duckdb_views
 
 
@@ -120,32 +121,51 @@ VIEWS["PP"] = "select p.dt, p.ticker, p.pred as x, p.actual as y, a.pos from PR
 VIEWS["LINE"] = """select *, (sy - slope * sx) / nullif(n, 0) as intercept from (select *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as slope from (
     select f.cycle, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from FOLDS f join PP p on p.pos <= f.train_hi group by f.cycle))"""
 VIEWS["WF"] = "select f.cycle, p.dt, p.ticker, l.intercept + l.slope * p.x as pred, p.y as actual from FOLDS f join PP p on p.pos between f.test_lo and f.test_hi join LINE l on l.cycle = f.cycle"
-VIEWS["HZ"] = f"select x.dt, x.ticker, x.momentum_1d, x.volume_ratio, t.* exclude (dt, ticker) from PX x join (select dt, ticker, {', '.join(f'(lead(close, {h}) over w - close) / nullif(close, 0) as target_{h}' for h in (1, 3, 5))} from P {W}) t using (dt, ticker)"
 VIEWS["MDD"] = "select case when (lead(pos, 3) over w) - pos = 3 then (min(low) over (partition by ticker order by dt rows between 1 following and 3 following) - close) / nullif(close, 0) end as mdd_3 from CLEAN " + W
 
 
-def _walk(x: str, y: str, train: int, step: int, least: int = 0) -> str:
-    """Out-of-sample predictions of a line on x, refitted every ``step`` dates after ``train``."""
-    return f"""with K as (select dt, ticker, {x} as x, {y} as y from HZ where {x} is not null), A as (select dt, row_number() over (order by dt) as pos from (select distinct dt from K)),
-      C as (select unnest(generate_series(1, cast(floor((max(pos) - {train}) / {step}.0) as bigint))) as c from A), Q as (select K.*, A.pos from K join A using (dt) where y is not null),
-      S as (select c, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from C join Q on pos <= {train} + (c - 1) * {step} group by c),
-      L as (select *, (sy - b * sx) / n as a from (select *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as b from S where n > {least}))
-      select L.c as cycle, L.a + L.b * Q.x as pred, Q.y as actual from L join Q on Q.pos between {train} + (c - 1) * {step} + 1 and {train} + c * {step} where L.b is not null"""
+_PART_RANK = "rank() over (partition by features, h order by {c}) + (count(*) over (partition by features, h, {c}) - 1) / 2.0"
 
 
-def _ablated(x: str, h: int) -> str:
-    return f"""(with R as ({_walk(x, f"target_{h}", 30, 6)}), E as (select cycle, avg(abs(pred - actual)) as m, avg(abs(actual)) as z, count(*) as n from R group by cycle)
-      select '{x}' as feature, {h} as h, {_r('avg(m)', 'mae')}, {_r('avg(z)', 'naive_mae')}, count(*) as n_cycles, cast(sum(n) as bigint) as n_preds,
-        (select {_SHARPE.format(x='v', std='stddev_samp').split(' as sharpe')[0]} from (select case when pred > 0.005 then actual end as v from R)) as sharpe,
-        (select count(case when pred > 0.005 then actual end) from R) as n_trades,
-        (select round(avg(case when pred > 0.005 then case when actual > 0 then 1e0 else 0e0 end end), 6) + 0.0 from R) as hit_rate from E having count(*) > 0)"""
+def _ahead_returns() -> str:
+    return ", ".join(f"(lead(close, {h}) over w - close) / nullif(close, 0) as target_{h}" for h in HORIZONS)
 
 
-def _scanned(h: int) -> str:
-    return f"""(with R as ({_walk("momentum_1d", f"target_{h}", 40, 10, 100)}), T as (select quantile_cont(pred, 0.9) as cut from R)
-      select {h} as h, (select count(*) from R) as n, (select {_r('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)', 'ic')} from (select {_RANKED.format(c='pred')} as a, {_RANKED.format(c='actual')} as b from R)) as ic,
-        count(case when pred >= cut then 1 end) as n_top, {_r('avg(case when pred >= cut then case when actual > 0 then 1e0 else 0e0 end end)', 'hit')}, {_r('avg(case when pred >= cut then actual end)', 'top_ret')}, {_r('avg(actual)', 'base_ret')},
-        {_r('avg(case when pred >= cut then actual end) - avg(actual)', 'edge')} from R, T)"""
+def _problems(sets: dict[str, list[str]], targets: dict[str, str], view: str) -> str:
+    """One row a set, target and panel row in which nothing is missing."""
+    arms = []
+    for name, feats in sets.items():
+        for h, y in targets.items():
+            there = " and ".join(f"{c} is not null" for c in [*feats, y])
+            arms.append(f"select '{name}' as features, '{h}' as h, dt, ticker, [{', '.join(f'cast({c} as double)' for c in feats)}] as x, {y} as y from {view} where {there}")
+    return " union all ".join(arms)
+
+
+def _walked(sets: dict[str, list[str]], targets: dict[str, str], view: str, train: int, step: int, least: int = 0) -> str:
+    """Tables I (rows), N (dates of each problem) and R (predictions): normal equations of every fold, solved by elimination."""
+    p = "features, h"
+    return f"""with recursive I as ({_problems(sets, targets, view)}), D as (select {p}, dt, row_number() over (partition by {p} order by dt) as pos from (select distinct {p}, dt from I)),
+      Q as (select I.*, D.pos from I join D using ({p}, dt)), N as (select {p}, max(pos) as n from D group by all),
+      C as (select {p}, unnest(generate_series(1, cast(floor((n - {train}) / {step}.0) as bigint))) as c from N where n >= {train} + {step}),
+      T as (select {p}, pos, i, j, sum(z[i] * z[j]) as v, count(*) as n from (select {p}, pos, list_append(list_prepend(cast(1 as double), x), y) as z from Q), unnest(range(1, len(z))) a(i), unnest(range(1, len(z) + 1)) b(j) group by all),
+      G as (select {p}, c, i, j, sum(v) as v from C join T using ({p}) where pos <= {train} + (c - 1) * {step} group by {p}, c, i, j having sum(n) > {least}),
+      M as (select {p}, c, list(r order by i) as m from (select {p}, c, i, list(v order by j) as r from G group by all) group by all),
+      J as (select {p}, c, cast(0 as bigint) as k, m, list_transform(m, lambda r, i: r[i]) as d, cast([] as boolean[]) as free from M union all
+        select {p}, c, k + 1, case when m[k + 1][k + 1] <= 1e-10 * d[k + 1] then m else list_transform(m, lambda r, i: case when i = k + 1 then list_transform(r, lambda v: v / m[k + 1][k + 1])
+        else list_transform(r, lambda v, j: v - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) end) end, d, list_append(free, m[k + 1][k + 1] > 1e-10 * d[k + 1]) from J where k < len(m)),
+      S as (select {p}, c, list_transform(m, lambda r, i: case when free[i] then r[len(r)] else cast(0 as double) end) as beta from J where k = len(m)),
+      R as (select {p}, c as cycle, list_dot_product(beta, list_prepend(cast(1 as double), x)) as pred, y as actual from S join Q using ({p}) where pos between {train} + (c - 1) * {step} + 1 and {train} + c * {step})"""
+
+
+VIEWS["ROLLS"] = f"""select dt, ticker, {', '.join(f"case when count({c}) over (partition by ticker order by dt rows between {w} preceding and 1 preceding) >= {max(2, w // 2)} then avg({c}) over (partition by ticker order by dt rows between {w} preceding and 1 preceding) end as {c}_roll{w}" for c in ('net_flow_total', 'broker_concentration') for w in (5, 10))},
+    {', '.join(f"case when count(b) over (partition by ticker order by dt rows between {w - 1} preceding and current row) >= {max(2, w // 2)} then sum(b) over (partition by ticker order by dt rows between {w - 1} preceding and current row) end as buy_days_{w}" for w in (5, 10))}
+    from (select *, case when lag(net_flow_total) over w > 0 then 1e0 else 0e0 end as b from AGG {W})"""
+VIEWS["ABL"] = f"""select a.*, c.broker_correlation_1d, r.* exclude (dt, ticker), s.* exclude (dt, ticker), p.momentum_1d, p.volume_ratio, t.* exclude (dt, ticker) from AGG a left join CORR c using (dt, ticker) left join ROLLS r using (dt, ticker) left join SMART s using (dt, ticker)
+    join PX p using (dt, ticker) join (select dt, ticker, {_ahead_returns()} from P {W}) t using (dt, ticker)"""
+ABLATION = f"""{_walked(SETS, {str(h): f'target_{h}' for h in HORIZONS}, "ABL", 30, 6)},
+    E as (select features, h, cycle, avg(abs(pred - actual)) as m, count(*) as n from R group by all), F as (select features, h, avg(m) as mae, count(*) as n_cycles, cast(sum(n) as bigint) as n_preds from E group by all),
+    A as (select features, h, count(*) as n, avg(abs(y)) as naive from I group by all), V as (select features, h, {_SHARPE.format(x="v", std="stddev_samp")} from (select features, h, case when pred > 0.005 then actual end as v from R) group by all)
+  select features, h, A.n, {_r('mae', 'mae')}, {_r('naive', 'naive_mae')}, mae < naive as beats_naive, coalesce(n_cycles, 0) as n_cycles, coalesce(n_preds, 0) as n_preds, coalesce(n_trades, 0) as n_trades, sharpe, hit_rate from A left join F using (features, h) left join V using (features, h)"""
 
 
 def _guard(kind: str, k: int) -> str:
@@ -157,6 +177,17 @@ def _guard(kind: str, k: int) -> str:
     return f"case when (lead(pos, {k}) over w) - pos = {k} then ({f}({c}) over (partition by ticker order by dt rows between 1 following and {k} following) - close) / nullif(close, 0) end"
 
 
+_BEFORE5 = "(partition by ticker order by dt rows between 5 preceding and 1 preceding)"
+VIEWS["SCAN"] = f"""select a.*, c.broker_correlation_1d, k.* exclude (dt, ticker), p.* exclude (dt, ticker) from AGG a left join CORR c using (dt, ticker) left join CL k using (dt, ticker) join (
+    select dt, ticker, {_guard('lag', 1)} as momentum_1d, {_guard('lag', 5)} as momentum_5d, volume / nullif(case when count(volume) over {_BEFORE5} = 5 then avg(volume) over {_BEFORE5} end, 0) as volume_ratio,
+      case when count((high - low) / nullif(close, 0)) over (partition by ticker order by dt rows between 9 preceding and current row) >= 10 then avg((high - low) / nullif(close, 0)) over (partition by ticker order by dt rows between 9 preceding and current row) end as atr_pct,
+      {', '.join(f"{_guard(k, h)} as {k}_{h}" for h in HORIZONS for k in ('fwd', 'max'))} from CLEAN {W}) p using (dt, ticker)"""
+SCANNED = f"""{_walked(SCAN_SETS, {f"{k}_{h}": f"{c}_{h}" for k, c in (('ret', 'fwd'), ('max', 'max')) for h in HORIZONS}, "SCAN", 60, 10, 100)},
+    K as (select *, {_PART_RANK.format(c='pred')} as a, {_PART_RANK.format(c='actual')} as b from R), U as (select features, h, quantile_cont(pred, 0.9) as cut from R group by all)
+  select features, h, count(*) as n, {_r('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)', 'ic')}, count(case when pred >= cut then 1 end) as n_top, {_r('avg(case when pred >= cut then case when actual > 0 then 1e0 else 0e0 end end)', 'hit')},
+    {_r('avg(case when pred >= cut then actual end)', 'top_ret')}, {_r('avg(actual)', 'base_ret')}, {_r('avg(case when pred >= cut then actual end) - avg(actual)', 'edge')} from K join U using (features, h) group by features, h"""
+
+
 def _roll(c: str, w: int) -> str:
     f = f"(partition by ticker order by dt rows between {w} preceding and 1 preceding)"
     return _r(f"case when count({c}) over {f} >= {max(2, w // 2)} then avg({c}) over {f} end", f"{c}_roll{w}")
@@ -191,7 +222,7 @@ SELECTS: dict[str, str] = {
     "broker_correlation_1d": f"select dt, ticker, {_r('broker_correlation_1d', 'broker_correlation_1d')} from CORR",
     "price_features_target": f"select dt, ticker, {', '.join(_r(c, c) for c in ('momentum_1d', 'volume_ratio', 'target'))} from PX",
     "training_panel": f"select dt, ticker, n_brokers, {', '.join(_r(c, c) for c in [*_AGG, 'broker_correlation_1d', 'momentum_1d', 'volume_ratio', 'target'])} from PANEL",
-    "multi_horizon_targets": f"select dt, ticker, {', '.join(_r(f'(lead(close, {h}) over w - close) / nullif(close, 0)', f'target_{h}') for h in (1, 3, 5))} from P {W}",
+    "multi_horizon_targets": f"select dt, ticker, {', '.join(_r(f'(lead(close, {h}) over w - close) / nullif(close, 0)', f'target_{h}') for h in HORIZONS)} from P {W}",
     "rolling_broker_features": f"select dt, ticker, {', '.join([*(_roll(c, w) for c in ('net_flow_total', 'broker_concentration') for w in (5, 10)), *(_streak(w) for w in (5, 10))])} from (select *, case when lag(net_flow_total) over w > 0 then 1e0 else 0e0 end as b from AGG {W})",
     "smart_money_features": f"select dt, ticker, {', '.join(_r(c, c) for c in ('smart_money_net', 'retail_net', 'absorber_net', 'tod_divergence', 'tod_signal', 'absorber_vs_retail'))} from SMART",
     "cluster_features": f"select dt, ticker, {', '.join(_r(c, c) for c in [*CLUSTER_NAMES, 'cl_max'])} from CL",
@@ -206,7 +237,7 @@ SELECTS: dict[str, str] = {
     "collision_groups": "select dt, string_agg(ticker, ',' order by ticker) as tickers, count(*) as n from AUD where cross_ticker_dup group by dt, open, high, low, close, volume",
     "clean_prices": f"select dt, ticker, {_r('close', 'close')} from CLEAN",
     "suspect_broker_rows": "select b.ticker, count(*) as n from B b where exists (select 1 from AUD a where a.suspect and a.dt = b.dt and a.ticker = b.ticker) group by b.ticker",
-    "gap_guarded_forward": f"select dt, ticker, {_r('close', 'close')}, {', '.join(_r(_guard('fwd', k), f'fwd_{k}') for k in (1, 3, 5))} from CLEAN {W}",
+    "gap_guarded_forward": f"select dt, ticker, {_r('close', 'close')}, {', '.join(_r(_guard('fwd', k), f'fwd_{k}') for k in HORIZONS)} from CLEAN {W}",
     "gap_guarded_lagged": f"select dt, ticker, {_r('close', 'close')}, {', '.join(_r(_guard('lag', k), f'lag_{k}') for k in (1, 5))} from CLEAN {W}",
     "gap_guarded_extremes": f"select dt, ticker, {_r('close', 'close')}, {', '.join(_r(_guard(k, 3), f'{k}_3') for k in ('fwd', 'max', 'mdd'))} from CLEAN {W}",
     "horizon_panel": f"""select a.dt, a.ticker, a.n_brokers, {', '.join(_r('a.' + c, c) for c in _AGG)}, {', '.join(_r('c.' + k, k) for k in [*CLUSTER_NAMES, 'cl_max'])},
@@ -266,8 +297,8 @@ SELECTS: dict[str, str] = {
         select ticker, cast(n - 1 as int) as steps, {_r('reward', 'reward')}, trades, {_r('realized', 'realized')} from S where i = n - 2""",
     "cleaned_codes": "select dt, ticker, replace(ticker, '#', '') as code, cast(dt - interval 3 day as date) as three_days_before from P",
     "failed_runs": "select dt, failed, total, total <= 0 or failed > 0.3 * total as fails from (select dt, count(case when clean_score is null or clean_score <= 1 then 1 end) as failed, count(*) as total from M group by dt)",
-    "feature_ablation": " union all ".join(_ablated(x, h) for x in ("momentum_1d", "volume_ratio") for h in (1, 3)),
-    "horizon_walk_forward": " union all ".join(_scanned(h) for h in (1, 3, 5)),
+    "feature_ablation": ABLATION,
+    "horizon_walk_forward": SCANNED,
     "top_drivers": """select dt, ticker, string_agg(name, ',' order by rn) as drivers from (select dt, ticker, name, row_number() over (partition by dt, ticker order by abs(value) desc nulls last, name) as rn from
         (select dt, ticker, unnest(['smart_money_net', 'retail_net', 'absorber_net', 'tod_divergence']) as name, unnest([smart_money_net, retail_net, absorber_net, tod_divergence]) as value from SMART)) where rn <= 2 group by dt, ticker""",
     "liquid_screen": "select dt, ticker from M where tval >= 100 and not coalesce(clean_score <= 1, false) and not coalesce(is_unusual_volume, false)",

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, features, health, metrics, policy, signals, simulate, walkforward
+from ..operators import ablation, audit, features, health, metrics, policy, signals, simulate, walkforward
 from ..operators.spine import date_spine
+from ..schema import CLUSTERS
+from ..sources.scratch import keeper
 from ..sources.sinks import latest_wins
 from .standin import StandIn
 
@@ -105,11 +107,41 @@ def _linear(t: StandIn) -> DataFrame:
     return walkforward.linear_walk_forward(features.price_features(t.P), "momentum_1d")
 
 
-def horizons(t: StandIn) -> DataFrame:
-    return features.price_features(t.P).drop("target").join(features.multi_horizon_targets(t.P), ["dt", "ticker"])
+PRICE_F = ["momentum_1d", "volume_ratio"]
+BROKER_F = FEATURES[:6]
+MULTI_F = ["net_flow_total_roll5", "net_flow_total_roll10", "broker_concentration_roll5", "broker_concentration_roll10", "buy_days_5", "buy_days_10"]
+SMART_F = ["smart_money_net", "retail_net", "absorber_net", "tod_divergence", "tod_signal", "absorber_vs_retail"]
+#: Sets of features whose walk-forward scores are compared.
+SETS = {
+    "price": PRICE_F,
+    "broker": BROKER_F,
+    "full": BROKER_F + PRICE_F,
+    "multi_day": MULTI_F,
+    "multi_day_price": MULTI_F + PRICE_F,
+    "all_days": BROKER_F + MULTI_F + PRICE_F,
+    "smart_money": SMART_F,
+    "smart_money_price": SMART_F + PRICE_F,
+    "everything": BROKER_F + SMART_F + PRICE_F,
+}
+CLUSTER_F = [*(f"cl_{k}" for k in CLUSTERS), "cl_foreign", "cl_max"]
+SCAN_PRICE_F = ["momentum_1d", "momentum_5d", "volume_ratio", "atr_pct"]
+SCAN_SETS = {"price": SCAN_PRICE_F, "broker": BROKER_F, "broker_cluster": BROKER_F + CLUSTER_F, "full": BROKER_F + CLUSTER_F + SCAN_PRICE_F}
+
+
+def ablated(t: StandIn) -> DataFrame:
+    keep = keeper(t.spark, "ablation")
+    preds, problems = ablation.ablate(keep(features.ablation_panel(t.B, t.P)), SETS, {str(h): f"target_{h}" for h in features.HORIZONS})
+    return ablation.ablation_scores(keep(preds), problems)
+
+
+def scanned(t: StandIn) -> DataFrame:
+    clean = audit.clean_panel(t.PD, horizons=features.HORIZONS, lags=(1, 5), extremes=True)
+    targets = {f"{k}_{h}": f"{c}_{h}" for k, c in (("ret", "fwd"), ("max", "max")) for h in features.HORIZONS}
+    keep = keeper(t.spark, "scan")
+    preds, _ = ablation.ablate(keep(features.scan_panel(t.B, clean)), SCAN_SETS, targets, train_min=60, test_window=10, least_rows=100)
+    return ablation.horizon_scores(keep(preds))
 
 
-TARGETS = {h: f"target_{h}" for h in (1, 3, 5)}
 SMART = ["smart_money_net", "retail_net", "absorber_net", "tod_divergence"]
 
 
@@ -118,6 +150,28 @@ def flagged(t: StandIn) -> DataFrame:
     return t.M.select("dt", "ticker", (F.col("tval") >= 100).alias("is_liquid"), (F.col("clean_score") <= 1).alias("is_pinky"), F.col("is_unusual_volume").alias("is_crossing"))
 
 
+_WALKS: dict[tuple[str, str], DataFrame] = {}
+
+
+def tree_walk(t: StandIn) -> DataFrame:
+    """The scored rows of one boosted walk-forward, of which several queries are views; fitted once an application and folder."""
+    at = (t.spark.sparkContext.applicationId, t.dir)
+    if at not in _WALKS:
+        keep = keeper(t.spark, "walk")
+        panel = keep(features.training_panel(t.B, t.P).coalesce(8))
+        _WALKS[at] = keep(walkforward.tree_walk_forward(panel, FEATURES, keep, contributions=True))
+    return _WALKS[at]
+
+
+def held_out(t: StandIn) -> DataFrame:
+    return tree_walk(t).where(F.col("part") == 2)
+
+
+def tree_importance(t: StandIn) -> DataFrame:
+    keep = keeper(t.spark, "importance")
+    return walkforward.importance(keep(features.training_panel(t.B, t.P).coalesce(8)), FEATURES, keep)
+
+
 QUERY: dict[str, Query] = {
     "broker_day_aggregates": lambda t: features.broker_day_aggregates(t.B),
     "broker_correlation_1d": lambda t: features.broker_correlation_1d(t.B),
@@ -138,7 +192,7 @@ QUERY: dict[str, Query] = {
     "collision_groups": lambda t: audit.collision_groups(audit.detect(t.PD)).select("dt", "tickers", "n"),
     "clean_prices": lambda t: audit.clean_prices(t.PD).select("dt", "ticker", "close"),
     "suspect_broker_rows": lambda t: audit.suspect_flow_rows(t.B, audit.detect(t.PD)).groupBy("ticker").agg(F.count("*").alias("n")),
-    "gap_guarded_forward": lambda t: guarded(t, horizons=(1, 3, 5)),
+    "gap_guarded_forward": lambda t: guarded(t, horizons=features.HORIZONS),
     "gap_guarded_lagged": lambda t: guarded(t, horizons=(), lags=(1, 5)),
     "gap_guarded_extremes": lambda t: guarded(t, horizons=(3,), extremes=True),
     "horizon_panel": horizon_panel,
@@ -189,8 +243,8 @@ QUERY: dict[str, Query] = {
     "latest_wins_upsert": lambda t: latest_wins([t.P, t.PD.where("month(dt) = 6")], ["dt", "ticker"]).select("dt", "ticker", "close"),
     "parse_scalars": literals,
     "feature_correlation": lambda t: metrics.feature_correlation(features.training_panel(t.B, t.P), ["broker_concentration", "net_flow_total", "n_brokers", "net_buy_ratio", "momentum_1d", "volume_ratio"]),
-    "feature_ablation": lambda t: walkforward.feature_ablation(horizons(t), ["momentum_1d", "volume_ratio"], {h: TARGETS[h] for h in (1, 3)}),
-    "horizon_walk_forward": lambda t: walkforward.horizon_walk_forward(horizons(t), "momentum_1d", TARGETS, train_min=40),
+    "feature_ablation": ablated,
+    "horizon_walk_forward": scanned,
     "top_drivers": lambda t: metrics.top_drivers(features.smart_money_features(t.B), SMART, 2).select("dt", "ticker", "drivers"),
     "liquid_screen": lambda t: signals.liquid_screen(flagged(t)).select("dt", "ticker"),
     "cross_source_verdict": lambda t: health.cross_source_verdict(t.MS, t.M),
@@ -199,8 +253,11 @@ QUERY: dict[str, Query] = {
     "cleaned_codes": lambda t: t.P.select("dt", "ticker", S.clean_code("ticker").alias("code"), S.shift_date("dt", 3).alias("three_days_before")),
     "failed_runs": lambda t: t.M.groupBy("dt").agg(F.count(F.when(F.col("clean_score").isNull() | (F.col("clean_score") <= 1), 1)).alias("failed"), F.count("*").alias("total")).withColumn("fails", S.should_fail_run("failed", "total")),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
-    "gbt_walk_forward": lambda t: walkforward.gbt_walk_forward(features.training_panel(t.B, t.P), FEATURES, trees=100),
-    "permutation_importance": lambda t: walkforward.permutation_importance(features.training_panel(t.B, t.P), FEATURES, trees=100),
+    "gbt_walk_forward": lambda t: held_out(t).select("cycle", "dt", "ticker", "pred", "actual"),
+    "walk_forward_cycles": lambda t: walkforward.cycle_report(tree_walk(t)),
+    "walk_forward_pooled": lambda t: metrics.sharpe_trigger(held_out(t)),
+    "walk_forward_trades": lambda t: walkforward.trade_log(tree_walk(t), FEATURES).select("cycle", "dt", "ticker", "pred", "actual", F.posexplode("drivers").alias("place", "d")).select("cycle", "dt", "ticker", "pred", "actual", "place", "d.name", "d.value"),
+    "permutation_importance": lambda t: tree_importance(t),
 }
 
 

@@ -37,24 +37,24 @@ def test_twin(spark, sf, duck, name):
     assert all(close(a, b) for x, y in zip(ours, theirs, strict=True) for a, b in zip(x, y, strict=True))
 
 
-@pytest.mark.parametrize("name", ["policy_rollout", "permutation_importance"])
-def test_without_twin(spark, sf, name):
-    assert queries.queries()[name](spark, sf).count() > 0
-
-
-@pytest.mark.parametrize("name", ["gbt_walk_forward", "permutation_importance"])
-def test_trees_take_the_whole_panel(monkeypatch, name):
-    import inspect
-    from types import SimpleNamespace
-
-    sign, calls = inspect.signature(getattr(queries.walkforward, name)), []
-    monkeypatch.setattr(queries.features, "training_panel", lambda b, p: (b, p))
-    monkeypatch.setattr(queries.walkforward, name, lambda *a, **k: calls.append(sign.bind(*a, **k)))
-    queries.QUERY[name](SimpleNamespace(B="flow", P="prices"))
-    calls[0].apply_defaults()
-    got = calls[0].arguments
-    assert got["panel"] == ("flow", "prices") and len(set(got["features"])) == 8 and got["trees"] == 100
-    assert (got.get("train_min", 30), got.get("test_window", 6)) == (30, 6)
+def test_boosted_walk_forward_and_its_views(monkeypatch, spark, sf):
+    """The three outputs come from one fit of the whole panel; fewer trees than the query's, so that the test is short."""
+    from quantloom.operators import boosting
+
+    assert queries.walkforward.tree_walk_forward.__defaults__ == ("target", 30, 6, None, False)
+    assert boosting.Params() == boosting.Params(100, 4, 0.05, 0.8, 0.8, 1.0, 10, 64) and len(set(queries.FEATURES)) == 8
+    monkeypatch.setattr(boosting.Params, "__init__", lambda self: [object.__setattr__(self, k, v) for k, v in zip(("trees", "depth", "rate", "rows", "columns", "l2", "patience", "bins"), (3, 3, 0.3, 0.8, 0.8, 1.0, 10, 64), strict=True)] and None)
+    q = queries.queries()
+    cycles, preds = q["walk_forward_cycles"](spark, sf).collect(), q["gbt_walk_forward"](spark, sf)
+    panel = queries.features.training_panel(queries.StandIn(spark, sf).B, queries.StandIn(spark, sf).P)
+    dates = sorted(r.dt for r in panel.select("dt").distinct().collect())
+    assert [r.cycle for r in sorted(cycles, key=lambda r: r.cycle)] == list(range(1, (len(dates) - 30) // 6 + 1))
+    assert preds.count() == panel.where(panel.dt.isin(dates[30 : 30 + 6 * len(cycles)])).count()
+    pooled = q["walk_forward_pooled"](spark, sf).first()
+    trades = q["walk_forward_trades"](spark, sf)
+    assert pooled.n_trades == sum(r.n_trades for r in cycles) == trades.where("place = 0").count() > 0
+    assert trades.count() == 3 * pooled.n_trades
+    assert q["permutation_importance"](spark, sf).count() == 8
 
 
 def test_entry(spark, sf):
