@@ -52,7 +52,8 @@ from .word_cache import mapped
 LIMIT = 2048
 _END = "</w>"
 # Fixed value: the file's own pattern of pre-tokens.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\s+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+")
+_SPACE = regex.compile(r"\p{White_Space}+")
 _CONTRACTIONS = frozenset(["'re", "'ve", "'ll"])
 
 
@@ -154,6 +155,9 @@ class Recurrence:
                 if ok or (ok is None and self.follows(a, t_end)):
                     final.append(count[end + 1 - n] + 1)
                     wanted &= 1
+        if len(last) <= len(symbols) or len(final) <= len(symbols):
+            self.symbols, self.last, self.count, self.final = "", [""], [0], [0]
+            raise ValueError(f"no token holds a symbol of {symbols!r}")
         return final[1:]
 
 
@@ -195,11 +199,11 @@ class PrefixCounter:
         return low if len(low) == len(piece) and is_normalized("NFC", piece) else None
 
     def _part(self, part: str) -> list[int]:
-        if part.isspace():
+        if _SPACE.fullmatch(part):
             return [0] * len(part)
         if part in _CONTRACTIONS:  # shorter prefixes are cut otherwise
             counts = self._library([part[: j + 1] for j in range(len(part))])
-        elif part.isascii():
+        elif part.isascii() and part.isprintable():
             counts = self.steps_of.prefixes(part)
         else:
             symbols = [mapped(c) for c in part]

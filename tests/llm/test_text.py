@@ -437,3 +437,17 @@ def test_extraction_odd_pages(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.main_text(d).collect()}
     assert got == {1: ("", 0), 2: ("", 0), 3: ("just text", 9), None: ("xy", 2), 5: ("only link", 9), 6: ("deep", 4), 7: ("<tag> éé", 8), 8: ("", 0)}
     assert html_extract.main_text(d.limit(0)).count() == 0
+
+
+def test_counts_of_every_code_point_below_3100(word_bpe):
+    c = token_counts.PrefixCounter(word_bpe)
+    texts = [t for cp in range(0x3100) for t in (chr(cp), f"a{chr(cp)}b", f"!{chr(cp)}!", f"..{chr(cp)}..")]
+    texts += ["\x1b[0m text", "x" * 50 + "\x7f" * 30, "\x1c\x1d y", "it\x00's", "''\x01'll"]
+    want = [len(e.ids) for e in c.tk.encode_batch(texts, add_special_tokens=False)]
+    assert [int(c.prefix(t)[-1]) for t in texts] == want
+    odd = [t for t in texts if any(ord(x) < 32 or ord(x) == 127 for x in t)] + random.Random(1).sample(texts, 500)
+    for t in odd:
+        assert c.prefix(t).tolist() == [len(e.ids) for e in c.tk.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)], t
+    with pytest.raises(ValueError):
+        c.steps_of.prefixes("a\x00b")
+    assert c.steps_of.prefixes("hello")[-1] == 1
