@@ -143,6 +143,8 @@ class Recurrence:
                 at, wanted = end + 1, 3
             elif not wanted:
                 continue
+            if end + 1 - n >= len(last):  # a symbol before is in no token
+                break
             a = last[end + 1 - n]
             if t is not None and wanted & 1:
                 ok = known.get((a, t))
