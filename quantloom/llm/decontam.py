@@ -32,7 +32,7 @@ from .common import Scratch, rows_within
 from .fm_index import FmIndex
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 SHARD_BYTES = 2 << 20
 _WORD_BYTES = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte outside words into a space.
