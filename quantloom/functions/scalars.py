@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,3 +123,42 @@ def close_by_date(x, close) -> Column:
 
 def to_text(v) -> Column:
     return F.to_json(_c(v))
+
+
+def lgamma(x) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series after eight steps up."""
+    x = _c(x)
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    steps = F.log(x)
+    for k in range(1, 8):
+        steps = steps + F.log(x + float(k))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """Continued fraction of the incomplete beta function, folded over its terms."""
+    full = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    step = lambda s, k: (lambda d, c: F.struct(c.alias("c"), d.alias("d"), (s["v"] * c * d).alias("v")))(1 / full(1 + k * s["d"]), full(1 + k / s["c"]))
+
+    def two(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # F.transform over one element names the half step, so that it is not computed thrice.
+        return F.element_at(F.transform(F.array(step(s, even)), lambda h: step(h, odd)), 1)
+
+    d = 1 / full(1 - (a + b) * x / (a + 1))
+    first = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("v"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double")), first, two)["v"]
+
+
+def t_two_sided(t, dof) -> Column:
+    """Two-sided p-value of Student's t; NULL without t or degrees of freedom."""
+    t, dof = _c(t).cast("double"), _c(dof).cast("double")
+    x, rest = dof / (dof + t * t), t * t / (dof + t * t)
+    a, b = dof / 2, F.lit(0.5)
+    half = F.when(a > 1e4, 0.5 * F.log(a) - 1 / (8 * a)).otherwise(lgamma(a + 0.5) - lgamma(a))
+    front = F.exp(half - 0.5 * math.log(math.pi) - a * F.log1p(t * t / dof) + 0.5 * F.log(rest))
+    near = x < (a + 1) / (a + 2.5)
+    p = F.when(near, front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, rest) * 2)
+    return F.when(x >= 1, 1.0).when(x <= 0, 0.0).otherwise(p)

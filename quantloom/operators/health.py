@@ -40,12 +40,18 @@ def cross_source(summary: DataFrame, prices: DataFrame, tolerance: float = 0.001
     return g.join(F.broadcast(best)).select("day_offset", "n", "agreement", F.coalesce(F.col("day_offset") == F.col("__best"), F.lit(False)).alias("is_best"))
 
 
-def cross_source_verdict(summary: DataFrame, prices: DataFrame, expected: int = 1, least_share: float = 0.85, tolerance: float = 0.001) -> DataFrame:
-    """(check, ok, metric, value, limit_value, detail): the agreement at the best offset, and that it is the expected one."""
-    best = cross_source(summary, prices, tolerance).where("is_best")
-    share = best.select(F.lit("cross_source").alias("check"), (F.col("agreement") >= least_share).alias("ok"), F.lit("agreement").alias("metric"), F.col("agreement").alias("value"), F.lit(float(least_share)).alias("limit_value"), F.concat(F.lit("pairs: "), F.col("n").cast("string")).alias("detail"))
-    offset = best.select(F.lit("cross_source").alias("check"), (F.col("day_offset") == expected).alias("ok"), F.lit("day_offset").alias("metric"), F.col("day_offset").cast("double").alias("value"), F.lit(float(expected)).alias("limit_value"), F.lit("days between the captures").alias("detail"))
-    return share.unionByName(offset)
+def cross_source_verdict(summary: DataFrame, prices: DataFrame, expected: int = 1, least_share: float = 0.85, tolerance: float = 0.001, least: int = 15) -> DataFrame:
+    """(check, ok, metric, value, limit_value, detail): the agreement at the best offset, and that it is the expected one.
+
+    With under ``least`` pairs at every offset one row says that the check was skipped, and with how many.
+    """
+    best = F.max(F.when(F.col("is_best"), F.struct("day_offset", "n", "agreement")))
+    g = cross_source(summary, prices, tolerance, least).agg(best.alias("b"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    row = lambda ok, metric, value, limit, detail: F.struct(F.lit("cross_source").alias("check"), ok.alias("ok"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit_value"), detail.alias("detail"))
+    share = row(F.col("b.agreement") >= least_share, "agreement", F.col("b.agreement"), least_share, F.concat(F.lit("pairs: "), F.col("b.n").cast("string")))
+    offset = row(F.col("b.day_offset") == expected, "day_offset", F.col("b.day_offset"), expected, F.lit("days between the captures"))
+    skipped = row(F.lit(None).cast("boolean"), "skipped", F.col("most"), least, F.lit("too few pairs"))
+    return g.select(F.explode(F.when(F.col("b").isNotNull(), F.array(share, offset)).otherwise(F.array(skipped))).alias("r")).select("r.*")
 
 
 def cross_source_worst(summary: DataFrame, prices: DataFrame, day_offset: int = 1, k: int = 4) -> DataFrame:
@@ -55,21 +61,38 @@ def cross_source_worst(summary: DataFrame, prices: DataFrame, day_offset: int =
     return a.join(b, ["dt", "ticker"]).withColumn("differs", F.abs(F.col("b") / F.col("a") - 1)).orderBy(F.desc("differs"), "dt", "ticker").limit(k)
 
 
-def capture_verdict(summary: DataFrame, critical: list[str], low: int = 80, high: int = 400, least_share: float = 0.9) -> DataFrame:
-    """(check, ok, metric, value, limit_value, detail) of the latest date: rows, codes that are no equity, critical fields."""
-    last = summary.agg(F.max("dt").alias("__last"))
-    d = summary.join(F.broadcast(last)).where(F.col("dt") == F.col("__last"))  # one row
+def capture_verdict(summary: DataFrame, critical: list[str], signals: DataFrame, today: str, target: str, low: int = 80, high: int = 400, least_share: float = 0.9, stale_limit: int = 2, wanted: int = 100) -> DataFrame:
+    """(check, ok, metric, value, limit_value, detail) of the capture, all from the latest date unless it says otherwise.
+
+    Its age in weekdays, rows, codes that are no equity, share of every critical field (NULL
+    for one that is no column), signals logged and those outside the panel, and the signals
+    projected to the target date. An empty summary gives one row that is not ok.
+    """
+    span = summary.agg(F.min("dt").alias("__first"), F.max("dt").alias("__last"), F.countDistinct("dt").alias("days"))  # one row
+    d = summary.join(F.broadcast(span.select("__last"))).where(F.col("dt") == F.col("__last"))
     present = [c for c in critical if c in summary.columns]
-    g = d.agg(F.count("*").cast("double").alias("rows"), F.count(F.when(~is_equity_code("ticker"), 1)).cast("double").alias("junk_codes"), *[F.try_divide(F.count(c), F.count("*")).alias(f"share:{c}") for c in present])
-    u = g.unpivot([], g.columns, "metric", "value")
-    m, v = F.col("metric"), F.col("value")
-    ok = F.when(m == "rows", v.between(low, high)).when(m == "junk_codes", v == 0).otherwise(v >= least_share)
-    limit = F.when(m == "rows", float(low)).when(m == "junk_codes", 0.0).otherwise(float(least_share))
-    detail = F.when(m == "rows", f"{low} to {high}").when(m == "junk_codes", "codes that are no equity").otherwise("share populated")
-    out = u.select(F.lit("capture").alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), "metric", "value", limit.alias("limit_value"), detail.alias("detail"))
-    for c in sorted(set(critical) - set(present)):
-        out = out.unionByName(out.limit(1).select("check", F.lit(False).alias("ok"), F.lit(f"share:{c}").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(float(least_share)).alias("limit_value"), F.lit("no such field").alias("detail")))
-    return out
+    g = d.agg(F.count("*").cast("double").alias("rows"), F.count(F.when(~is_equity_code("ticker"), 1)).cast("double").alias("junk"), *[F.try_divide(F.count(c), F.count("*")).alias(f"share:{c}") for c in present])
+    inside = d.select("ticker", F.lit(1).alias("__in")).distinct()
+    s = signals.join(F.broadcast(span.select("__first", "__last"))).where(F.col("flag_date") >= F.col("__first"))
+    now = F.col("flag_date") == F.col("__last")
+    logged = s.join(inside, "ticker", "left").agg(F.count("*").cast("double").alias("signals"), F.count(F.when(now, 1)).cast("double").alias("logged"), F.count(F.when(now & F.col("__in").isNull(), 1)).cast("double").alias("outside"))
+    left = weekdays_between(F.lit(today).cast("date"), F.lit(target).cast("date")).cast("double")
+    age = weekdays_between("__last", F.lit(today).cast("date")).cast("double")
+    one = span.join(F.broadcast(g)).join(F.broadcast(logged))  # one row each
+    row = lambda metric, value, ok, limit, detail: F.struct(F.lit("capture").alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(metric).alias("metric"), value.alias("value"), F.lit(float(limit)).alias("limit_value"), F.lit(detail).alias("detail"))
+    projected = F.floor(F.col("signals") + F.col("signals") / F.greatest("days", F.lit(1)) * left).cast("double")
+    rows = [
+        row("stale_weekdays", age, age <= stale_limit, stale_limit, "weekdays since the newest day"),
+        row("rows", F.col("rows"), F.col("rows").between(low, high), low, f"{low} to {high}"),
+        row("junk_codes", F.col("junk"), F.col("junk") == 0, 0, "codes that are no equity"),
+        row("signals_logged", F.col("logged"), F.col("logged") > 0, 1, "signals of the newest day"),
+        row("signals_outside", F.col("outside"), F.col("outside") == 0, 0, "signals of names that were not captured"),
+        row("projected_signals", projected, (projected >= wanted) | (left <= 0), wanted, f"by {target} at the rate so far"),
+        *[row(f"share:{c}", F.col(f"`share:{c}`"), F.col(f"`share:{c}`") >= least_share, least_share, "share populated") for c in present],
+        *[row(f"share:{c}", F.lit(None).cast("double"), F.lit(False), least_share, "no such field") for c in sorted(set(critical) - set(present))],
+    ]
+    empty = F.array(row("rows", F.lit(0.0), F.lit(False), low, "the summary is empty"))
+    return one.select(F.explode(F.when(F.col("__last").isNull(), empty).otherwise(F.array(*rows))).alias("r")).select("r.*")
 
 
 def coverage(summary: DataFrame, fields: list[str], days: int = 10, floor: float = 0.9, least_days: int = 2) -> DataFrame:
@@ -134,3 +157,31 @@ def panel_invariants(panel: DataFrame, features: list[str], least_rows: int = 50
     return u.withColumn("ok", F.coalesce((F.col("value") - F.col("limit_value")) * sign >= 0, F.lit(False)))
 
 
+
+
+def latest_slice(panel: DataFrame, days: int = 60) -> DataFrame:
+    """The rows of the last ``days`` dates."""
+    return panel.join(F.broadcast(latest_dates(panel, days)), "dt", "left_semi")
+
+
+def model_smoke(cycles: DataFrame, held_out: DataFrame, panel: DataFrame, most_sharpe: float = 4.0, least_edge: float = 0.005) -> DataFrame:
+    """(check, ok, metric, value, limit_value, detail) of a walk-forward over the last dates.
+
+    Folds that ran and errors that are numbers; a Sharpe ratio that no strategy sustains is a
+    fault of the metric, a hit rate at the base rate of the whole panel is no information.
+    Without a fold there is one row that is not ok, without trades the last two are NULL.
+    """
+    from .metrics import sharpe_trigger
+
+    folds = cycles.agg(F.count("*").cast("double").alias("folds"), F.count(F.when(F.col("test_mae").isNotNull() & ~F.isnan("test_mae"), 1)).cast("double").alias("finite"))
+    base = panel.agg(F.avg((F.col("target") > 0).cast("double")).alias("base"))
+    one = folds.join(F.broadcast(sharpe_trigger(held_out))).join(F.broadcast(base))  # one row each
+    row = lambda metric, value, ok, limit, detail: F.struct(F.lit("model").alias("check"), ok.alias("ok"), F.lit(metric).alias("metric"), value.alias("value"), F.lit(float(limit)).alias("limit_value"), F.lit(detail).alias("detail"))
+    edge = F.col("hit_rate") - F.col("base")
+    rows = [
+        row("folds", F.col("folds"), F.col("folds") > 0, 1, "folds of the last dates"),
+        row("finite_errors", F.col("finite"), F.col("finite") == F.col("folds"), 0, "folds whose error is a number"),
+        row("pooled_sharpe", F.col("sharpe"), F.abs("sharpe") <= most_sharpe, most_sharpe, "beyond it the metric is wrong, not the edge right"),
+        row("hit_vs_base", edge, F.abs(edge) >= least_edge, least_edge, "hit rate less the share of rising names"),
+    ]
+    return one.select(F.explode(F.when(F.col("folds") > 0, F.array(*rows)).otherwise(F.array(rows[0]))).alias("r")).select("r.*")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import kelly_fraction, ratio
+from ..functions.scalars import kelly_fraction, ratio, t_two_sided
 from .features import pearson
 from .order import quantiles, with_average_rank
 
@@ -87,40 +87,13 @@ def kelly_from_trades(df: DataFrame, ret: str = "ret", cap: float = 0.5) -> Data
 
 
 def welch_test(df: DataFrame, group: str, value: str) -> DataFrame:
-    """t and degrees of freedom of group 1 against group 0, unequal variances."""
+    """t, degrees of freedom and two-sided p-value of group 1 against group 0, unequal variances."""
     v = lambda k: F.when(F.col(group) == k, F.col(value))
     d = df.agg(*[f(v(k)).alias(f"{n}{k}") for k in (1, 0) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
     s1, s0 = ratio("v1", F.col("n1").cast("double")), ratio("v0", F.col("n0").cast("double"))
     t = ratio(F.col("m1") - F.col("m0"), F.sqrt(s1 + s0))
     dof = ratio((s1 + s0) * (s1 + s0), ratio(s1 * s1, F.col("n1") - 1.0) + ratio(s0 * s0, F.col("n0") - 1.0))
-    return d.select(F.col("m1").alias("mean_on"), F.col("m0").alias("mean_off"), F.col("n1").alias("n_on"), F.col("n0").alias("n_off"), t.alias("t"), dof.alias("dof"))
-
-
-def _beta_cf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(abs(1 - (a + b) * x / (a + 1)), tiny)
-    out = d
-    for m in range(1, 500):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + k * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1 + k / c
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return out
-
-
-def t_two_sided(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t."""
-    x = dof / (dof + t * t)
-    a, b = dof / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
+    return d.select(F.col("m1").alias("mean_on"), F.col("m0").alias("mean_off"), F.col("n1").alias("n_on"), F.col("n0").alias("n_off"), t.alias("t"), dof.alias("dof")).withColumn("p", t_two_sided("t", "dof"))
 
 
 def target_shape(df: DataFrame, col: str) -> DataFrame:

@@ -217,6 +217,18 @@ def _z(c: str) -> str:
     return _r(_Z.format(c=c), c)
 
 
+VIEWS["WEL"] = """select *, (m1 - m0) / nullif(sqrt(v1 / nullif(n1, 0) + v0 / nullif(n0, 0)), 0) as t, pow(v1 / nullif(n1, 0) + v0 / nullif(n0, 0), 2) / nullif(pow(v1 / nullif(n1, 0), 2) / nullif(n1 - 1, 0) + pow(v0 / nullif(n0, 0), 2) / nullif(n0 - 1, 0), 0) as dof from (
+    select avg(case when s = 1 then t end) as m1, avg(case when s = 0 then t end) as m0, var_samp(case when s = 1 then t end) as v1, var_samp(case when s = 0 then t end) as v0, count(case when s = 1 then t end) as n1, count(case when s = 0 then t end) as n0
+    from (select q.tod_signal as s, p.target as t from PANEL p left join SMART q using (dt, ticker)))"""
+#: The p-value is the incomplete beta function by its series, a hypergeometric sum, at the side where that converges.
+WELCH = f"""with recursive X as (select *, dof / 2 as h, dof / (dof + t * t) as x from WEL),
+    Y as (select *, x < (h + 1) / (h + 2.5) as near, case when x < (h + 1) / (h + 2.5) then h else cast(0.5 as double) end as a, case when x < (h + 1) / (h + 2.5) then cast(0.5 as double) else h end as b, case when x < (h + 1) / (h + 2.5) then x else 1 - x end as z from X),
+    S as (select cast(0 as bigint) as m, a, b, z, cast(1 as double) as term, cast(1 as double) as total from Y union all
+      select m + 1, a, b, z, term * (a + b + m) / (a + 1 + m) * z, total + term * (a + b + m) / (a + 1 + m) * z from S where m < 3000),
+    Z as (select exp(lgamma(Y.a + Y.b) - lgamma(Y.a) - lgamma(Y.b) + Y.a * ln(Y.z) + Y.b * ln(1 - Y.z)) / Y.a * S.total as part from Y, S where S.m = 3000)
+  select {_r('m1', 'mean_on')}, {_r('m0', 'mean_off')}, n1 as n_on, n0 as n_off, {_r('t', 't')}, {_r('dof', 'dof')}, {_r('case when near then part else 1 - part end', 'p')} from Y, Z"""
+
+
 SELECTS: dict[str, str] = {
     "broker_day_aggregates": f"select dt, ticker, n_brokers, {', '.join(_r(c, c) for c in _AGG)} from AGG",
     "broker_correlation_1d": f"select dt, ticker, {_r('broker_correlation_1d', 'broker_correlation_1d')} from CORR",
@@ -281,9 +293,7 @@ SELECTS: dict[str, str] = {
     "top_decile_edge": f"""select {_r('max(cut)', 'cut')}, count(case when pred >= cut then 1 end) as n_top, {_r('avg(case when pred >= cut then case when actual > 0 then 1e0 else 0e0 end end)', 'hit')}, {_r('avg(case when pred >= cut then actual end)', 'top_ret')}, {_r('avg(actual)', 'base_ret')},
         {_r('avg(case when pred >= cut then actual end) - avg(actual)', 'edge')} from PR, (select quantile_cont(pred, 0.9) as cut from PR)""",
     "drawdown_quantiles": f"select {_r('quantile_cont(mdd_3, 0.5)', 'median_dd')}, {_r('quantile_cont(mdd_3, 0.25)', 'p25_dd')} from MDD",
-    "welch_test_stats": f"""select {_r('m1', 'mean_on')}, {_r('m0', 'mean_off')}, n1 as n_on, n0 as n_off, {_r('(m1 - m0) / nullif(sqrt(a + b), 0)', 't')}, {_r('(a + b) * (a + b) / nullif(a * a / nullif(n1 - 1, 0) + b * b / nullif(n0 - 1, 0), 0)', 'dof')} from (select *, v1 / nullif(n1, 0) as a, v0 / nullif(n0, 0) as b from (
-        select avg(case when s = 1 then t end) as m1, avg(case when s = 0 then t end) as m0, var_samp(case when s = 1 then t end) as v1, var_samp(case when s = 0 then t end) as v0, count(case when s = 1 then t end) as n1, count(case when s = 0 then t end) as n0
-        from (select q.tod_signal as s, p.target as t from PANEL p left join SMART q using (dt, ticker))))""",
+    "welch_test_stats": WELCH,
     "target_shape": f"select count(*) as n, {_r('avg(case when target is null then 1e0 else 0e0 end)', 'missing')}, {_r('avg(case when target > 0 then 1e0 when target is not null then 0e0 end)', 'base_rate')}, {_r('kurtosis(target)', 'kurtosis')} from PX",
     "zscore_normalise": f"select dt, ticker, {_z('momentum_1d')}, {_z('volume_ratio')} from PX",
     "policy_rollout": f"""with recursive T as (select ticker, cast(case when pct > 0 then 1 else 0 end as int) as act, at_ara, at_arb, coalesce(pct, 0) as r, cast(rn - 1 as int) as i, cast(count(*) over (partition by ticker) as int) as n,
@@ -307,10 +317,24 @@ SELECTS: dict[str, str] = {
         select 'cross_source' as "check", g >= 0.85 as ok, 'agreement' as metric, {_r('g', 'value')}, cast(0.85 as double) as limit_value, concat('pairs: ', n) as detail from T
         union all select 'cross_source', o = 1, 'day_offset', cast(o as double), cast(1 as double), 'days between the captures' from T""",
     "cross_source_worst": f"select dt, ticker, {_r('d', 'differs')} from (select b.dt, b.ticker, abs(b.close / a.close - 1) as d from MS a join M b on b.dt = a.dt - 1 and b.ticker = a.ticker where a.close > 0 and b.close > 0 order by d desc, b.dt, b.ticker limit 4)",
-    "capture_verdict": f"""with L as (select * from M where dt = (select max(dt) from M)), V as (select cast(count(*) as double) as n, cast(count(case when not regexp_full_match(ticker, '[A-Za-z]{{1,4}}') then 1 end) as double) as junk from L)
-        select 'capture' as "check", n between 80 and 400 as ok, 'rows' as metric, n as value, cast(80 as double) as limit_value, '80 to 400' as detail from V union all select 'capture', junk = 0, 'junk_codes', junk, cast(0 as double), 'codes that are no equity' from V
-        {' '.join(f"union all select 'capture', coalesce(s >= 0.9, false), 'share:{c}', round(s, 6) + 0.0, cast(0.9 as double), 'share populated' from (select count({c}) / nullif(cast(count(*) as double), 0) as s from L)" for c in ("close", "high", "clean_score"))}
-        union all select 'capture', false, 'share:market_cap_t', cast(null as double), cast(0.9 as double), 'no such field' from V""",
+    "capture_verdict": f"""with H as (select min(dt) as a, max(dt) as z, count(distinct dt) as days from M), L as (select M.* from M, H where dt = z),
+        V as (select cast(count(*) as double) as n, cast(count(case when not regexp_full_match(ticker, '[A-Za-z]{{1,4}}') then 1 end) as double) as junk from L),
+        N as (select cast(count(*) as double) as n, cast(count(case when flag_date = z then 1 end) as double) as l, cast(count(case when flag_date = z and not exists (select 1 from L where L.ticker = G.ticker) then 1 end) as double) as o from G, H where flag_date >= a),
+        K as (select floor(N.n + N.n / greatest(days, 1) * {_WEEK.format(a="date '2024-02-01'", b="date '2024-03-01'")}) as p, cast({_WEEK.format(a="z", b="date '2024-02-01'")} as double) as age from N, H),
+        R as (select age <= 2 as ok, 'stale_weekdays' as metric, age as value, 2.0 as lim, 'weekdays since the newest day' as detail from K union all select n between 80 and 400, 'rows', n, 80, '80 to 400' from V
+          union all select junk = 0, 'junk_codes', junk, 0, 'codes that are no equity' from V union all select l > 0, 'signals_logged', l, 1, 'signals of the newest day' from N
+          union all select o = 0, 'signals_outside', o, 0, 'signals of names that were not captured' from N union all select p >= 100, 'projected_signals', p, 100, 'by 2024-03-01 at the rate so far' from K
+          {' '.join(f"union all select coalesce(s >= 0.9, false), 'share:{c}', round(s, 6) + 0.0, 0.9, 'share populated' from (select count({c}) / nullif(cast(count(*) as double), 0) as s from L)" for c in ("close", "high", "clean_score"))}
+          union all select false, 'share:market_cap_t', null, 0.9, 'no such field' from V)
+        select 'capture' as "check", ok, metric, cast(value as double) as value, cast(lim as double) as limit_value, detail from R""",
+    "cross_source_skipped": """with J as (select o, count(*) as n from MS a, (select unnest([0, 1, 2]) as o), M b where a.ticker = 'U3' and a.dt < date '2024-01-09' and b.dt = a.dt - cast(o as int) and b.ticker = a.ticker and a.close > 0 and b.close > 0 group by o)
+        select 'cross_source' as "check", cast(null as boolean) as ok, 'skipped' as metric, cast(coalesce(max(n), 0) as double) as value, cast(15 as double) as limit_value, 'too few pairs' as detail from J having coalesce(max(n), 0) < 15""",
+    "variants_report": """with T as (select variant from GRID where part = 'search' order by sharpe desc nulls last, variant limit 1)
+        select coalesce(a.variant, b.variant) as variant, a.sharpe as search_sharpe, a.n_trades as search_n, a.hit_rate as search_hit, b.sharpe as holdout_sharpe, b.n_trades as holdout_n, b.hit_rate as holdout_hit,
+          T.variant is not null as won, T.variant is not null and coalesce(b.sharpe >= 1, false) as satisfied
+        from (select * from GRID where part = 'search') a full join (select * from GRID where part = 'holdout') b on a.variant = b.variant left join T on T.variant = coalesce(a.variant, b.variant)""",
+    "line_report": f"""select e.*, s.*, r.* from (select count(distinct dt) as n_dates, count(distinct ticker) as n_tickers, min(dt) as first_dt, max(dt) as last_dt from PANEL) e, (select {_sharpe("case when pred > 0.005 then actual end", "stddev_samp")} from WF) s,
+        (select coalesce(string_agg(line, '; ' order by line), '') as recent_trades from (select printf('%s %s %+.4f %+.4f', cast(dt as varchar), ticker, pred, actual) as line from WF where pred > 0.005 order by dt desc, ticker desc limit 5)) r""",
     "cross_source_offset": f"""with J as (select cast(o as int) as day_offset, count(*) as n, avg(case when abs(b.close / a.close - 1) <= 0.001 then 1e0 else 0e0 end) as agreement from MS a, (select unnest([0, 1, 2]) as o), M b
         where b.dt = a.dt - cast(o as int) and b.ticker = a.ticker and a.close > 0 and b.close > 0 group by o)
         select day_offset, n, {_r('agreement', 'agreement')}, day_offset = (select day_offset from J where n >= 15 order by agreement desc, day_offset limit 1) as is_best from J""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import ablation, audit, features, health, metrics, policy, signals, simulate, walkforward
+from ..operators import ablation, audit, features, health, metrics, policy, reports, signals, simulate, walkforward
 from ..operators.spine import date_spine
 from ..schema import CLUSTERS
 from ..sources.scratch import keeper
@@ -167,6 +167,13 @@ def held_out(t: StandIn) -> DataFrame:
     return tree_walk(t).where(F.col("part") == 2)
 
 
+def smoke(t: StandIn) -> DataFrame:
+    keep = keeper(t.spark, "smoke")
+    panel = keep(features.training_panel(t.B, t.P).coalesce(8))
+    scored = keep(walkforward.tree_walk_forward(health.latest_slice(panel), FEATURES, keep))
+    return health.model_smoke(walkforward.cycle_report(scored), scored.where(F.col("part") == 2), panel)
+
+
 def tree_importance(t: StandIn) -> DataFrame:
     keep = keeper(t.spark, "importance")
     return walkforward.importance(keep(features.training_panel(t.B, t.P).coalesce(8)), FEATURES, keep)
@@ -249,7 +256,8 @@ QUERY: dict[str, Query] = {
     "liquid_screen": lambda t: signals.liquid_screen(flagged(t)).select("dt", "ticker"),
     "cross_source_verdict": lambda t: health.cross_source_verdict(t.MS, t.M),
     "cross_source_worst": lambda t: health.cross_source_worst(t.MS, t.M).select("dt", "ticker", "differs"),
-    "capture_verdict": lambda t: health.capture_verdict(t.M, ["close", "high", "clean_score", "market_cap_t"]),
+    "capture_verdict": lambda t: health.capture_verdict(t.M, ["close", "high", "clean_score", "market_cap_t"], t.G, "2024-02-01", "2024-03-01"),
+    "cross_source_skipped": lambda t: health.cross_source_verdict(t.MS.where("ticker = 'U3' and dt < date '2024-01-09'"), t.M),
     "cleaned_codes": lambda t: t.P.select("dt", "ticker", S.clean_code("ticker").alias("code"), S.shift_date("dt", 3).alias("three_days_before")),
     "failed_runs": lambda t: t.M.groupBy("dt").agg(F.count(F.when(F.col("clean_score").isNull() | (F.col("clean_score") <= 1), 1)).alias("failed"), F.count("*").alias("total")).withColumn("fails", S.should_fail_run("failed", "total")),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
@@ -257,7 +265,11 @@ QUERY: dict[str, Query] = {
     "walk_forward_cycles": lambda t: walkforward.cycle_report(tree_walk(t)),
     "walk_forward_pooled": lambda t: metrics.sharpe_trigger(held_out(t)),
     "walk_forward_trades": lambda t: walkforward.trade_log(tree_walk(t), FEATURES).select("cycle", "dt", "ticker", "pred", "actual", F.posexplode("drivers").alias("place", "d")).select("cycle", "dt", "ticker", "pred", "actual", "place", "d.name", "d.value"),
-    "permutation_importance": lambda t: tree_importance(t),
+    "permutation_importance": tree_importance,
+    "model_smoke": smoke,
+    "model_report": lambda t: reports.model_report(features.training_panel(t.B, t.P), held_out(t)),
+    "variants_report": lambda t: reports.variants_report(simulate.strategy_grid(preds(t).select("dt", "ticker", "pred"), t.P)),
+    "line_report": lambda t: reports.model_report(features.training_panel(t.B, t.P), _linear(t)),
 }
 
 

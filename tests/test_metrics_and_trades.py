@@ -52,10 +52,22 @@ def test_ranks_quantiles_and_kurtosis_against_pandas(spark):
     assert metrics.target_shape(d, "actual").first().kurtosis == pytest.approx(p.actual.kurt())
 
 
-def test_welch_p_value():
-    assert metrics.t_two_sided(0.0, 10) == 1.0
-    assert metrics.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert metrics.t_two_sided(12.706204736, 1) == pytest.approx(0.05, abs=1e-8)
+def test_welch_p_value(spark):
+    """Known quantiles of Student's t, both tails of the fraction, and what has no value."""
+    from quantloom.functions.scalars import lgamma, t_two_sided
+
+    def by_integration(t, dof):
+        tail = lambda lo: np.trapezoid(np.cos(u := np.linspace(lo, math.pi / 2, 400_001)) ** (dof - 1), u)
+        return float(tail(math.atan(abs(t) / math.sqrt(dof))) / tail(0.0))
+
+    known = [(0.0, 5.0, 1.0), (12.7062047362, 1.0, 0.05), (2.2281388520, 10.0, 0.05), (-3.1692726726, 10.0, 0.01), (1.9599639845, 1e7, 0.05), (None, 3.0, None), (1.0, None, None)]
+    known += [(t, dof, by_integration(t, dof)) for t in (1e-6, 0.3, -1.0, 2.5, 9.0, 60.0) for dof in (1.0, 2.5, 3.0, 17.0, 755.9, 9000.0)]
+    d = spark.createDataFrame(known, "t double, dof double, p double")
+    for r in d.withColumn("got", t_two_sided("t", "dof")).collect():
+        assert r.got == (None if r.p is None else pytest.approx(r.p, rel=1e-5, abs=1e-9)), r
+    x = [0.01, 0.5, 1.0, 3.7, 42.0, 1e5]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(lgamma("x").alias("g")).collect()
+    assert [r.g for r in got] == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
 
 
 def plain_trade(rows, i, hold, tp, sl):
