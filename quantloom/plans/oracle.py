@@ -357,12 +357,11 @@ SELECTS: dict[str, str] = {
     "backfill_netval": f"""select t.dt, t.ticker, t.broker_code, {_r('lots * 100 * p.close / 1e9', 'netval')} from (select dt, ticker, broker_code, c - lag(c) over (partition by ticker, broker_code order by dt) as lots from (
         select dt, ticker, broker_code, cast(sum(cast(netval as decimal(24, 9))) over (partition by ticker, broker_code order by dt) as double) as c from B)) t join P p using (dt, ticker) where lots is not null and t.dt <= date '1996-12-31' and p.close is not null""",
     "latest_wins_upsert": f"select dt, ticker, {_r('close', 'close')} from PD where month(dt) = 6 union all select dt, ticker, {_r('close', 'close')} from P p where not exists (select 1 from PD d where month(d.dt) = 6 and d.dt = p.dt and d.ticker = p.ticker)",
-    "parse_scalars": """select cast(d1 as date) as d1, cast(d2 as date) as d2, num + 0.0 as num, rupiah + 0.0 as rupiah, lot, equity, code_in_title, ara, cast(weekdays as bigint) as weekdays from (values
-        ('2024-01-05', '2024-01-09', cast(1234.5 as double), cast(1660000000000 as double), '2.50M lot', true, 'CDIA', cast(0.25 as double), 2),
-        ('2024-01-08', '2024-01-05', -12.5, 3500000000.0, '2k lot', false, 'COIN', 0.35, 0),
-        ('2024-01-01', '2024-01-31', 0.0, 20000000.0, '12 lot', false, null, 0.2, 22),
-        ('2024-01-06', '2024-01-07', 0.0, 0.0, null, false, null, null, 0),
-        ('2024-01-05', '2024-01-08', 0.0, 7000.0, '1.00M lot', true, null, 0.25, 1)) t(d1, d2, num, rupiah, lot, equity, code_in_title, ara, weekdays)""",
+    "parse_scalars": f"""select dt as d1, cast(e as date) as d2, ticker, case k % 4 when 0 then -r when 1 then r else cast(0 as double) end + 0.0 as num,
+        round(case when k % 7 = 0 then 0 else cast(format('{{:.2f}}', close / 100) as double) * [1e12, 1e9, 1e6, 1e3, 1.0][k % 5 + 1] end, 6) + 0.0 as rupiah,
+        case when l >= 1e6 then printf('%.2fM lot', l / 1e6) when l >= 1e3 then printf('%.0fk lot', l / 1e3) else printf('%.0f lot', l) end as lot, 2 + k % 5 <= 4 as equity, case when k % 3 < 2 then substr(code, 1, 4) end as code_in_title,
+        case when close < 200 then 0.35e0 when close <= 5000 then 0.25e0 else 0.2e0 end as ara, cast({_WEEK.format(a='dt', b='cast(e as date)')} as bigint) as weekdays
+      from (select *, k * pow(10, k % 4) + 7 as l, dt + cast(k % 45 as int) - 5 as e, cast(format('{{:.2f}}', close) as double) as r from (select *, cast(volume as bigint) as k, reverse(upper(translate(ticker, '0123456789#', 'ABCDEFGHIJK'))) as code from P))""",
     "feature_correlation": " union all ".join(f"select '{c}' as feature, {_r(f'covar_pop({c}, target) / nullif(stddev_pop(case when target is not null then {c} end) * stddev_pop(case when {c} is not null then target end), 0)', 'r')} from PANEL" for c in ("broker_concentration", "net_flow_total", "n_brokers", "net_buy_ratio", "momentum_1d", "volume_ratio")),
 }
 

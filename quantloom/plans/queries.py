@@ -70,25 +70,29 @@ def actions(t: StandIn) -> DataFrame:
     return p.select("dt", "ticker", F.when(F.col("pct") > 0, 1).otherwise(0).alias("action"), "at_ara", "at_arb", F.col("pct").alias("daily_return"))
 
 
+#: Texts as captures hold them, made of prices: numbers with commas and parentheses, amounts with units, lots, codes, titles.
+CAPTURED = """
+select dt as d1, date_add(dt, cast(k % 45 as int) - 5) as d2, ticker,
+  case k % 4 when 0 then concat('(', format_number(close, 2), ')') when 1 then format_number(close, 2) when 2 then ticker else null end as num,
+  case when k % 7 = 0 then null else concat('Rp ', format_number(close / 100, 2), element_at(array('Trl', 'Mlr', 'jt', 'rb', ''), cast(k % 5 as int) + 1)) end as rp,
+  cast(k as double) * power(10, k % 4) + 7 as lot, substr(code, 1, cast(2 + k % 5 as int)) as code,
+  case k % 3 when 0 then concat('Inventory chart: ', substr(code, 1, 4)) when 1 then concat(substr(code, 1, 4), ' - chart') else concat(lower(substr(code, 1, 4)), ' daily') end as title, close
+from (select *, cast(volume as bigint) as k, reverse(upper(translate(ticker, '0123456789#', 'ABCDEFGHIJK'))) as code from {P})"""
+
+
 def literals(t: StandIn) -> DataFrame:
-    rows = [
-        ("1,234.5", "Rp 1.66Trl", 2500000.0, "BBCA", "CDIA - chart", 250.0, "2024-01-05", "2024-01-09"),
-        ("(12.5)", "Rp 3.5Mlr", 1500.0, "AADIB", "Inventory chart: COIN", 150.0, "2024-01-08", "2024-01-05"),
-        ("", "Rp 20jt", 12.0, "AB1", "", 6000.0, "2024-01-01", "2024-01-31"),
-        (None, None, None, None, None, None, "2024-01-06", "2024-01-07"),
-        ("x", "7rb", 1000000.0, "TLKM", "cdia daily", 5000.0, "2024-01-05", "2024-01-08"),
-    ]
-    d = t.spark.createDataFrame(rows, "num string, rp string, lot double, code string, title string, prev double, d1 string, d2 string")
+    d = t.spark.sql(CAPTURED, P=t.P)
     return d.select(
-        F.col("d1").cast("date").alias("d1"),
-        F.col("d2").cast("date").alias("d2"),
+        "d1",
+        "d2",
+        "ticker",
         S.parse_num("num").alias("num"),
         S.parse_rupiah("rp").alias("rupiah"),
         S.format_lot("lot").alias("lot"),
         S.is_equity_code("code").alias("equity"),
         S.ticker_from_title("title").alias("code_in_title"),
-        S.ara_bound("prev").alias("ara"),
-        S.weekdays_between(F.col("d1").cast("date"), F.col("d2").cast("date")).cast("long").alias("weekdays"),
+        S.ara_bound("close").alias("ara"),
+        S.weekdays_between("d1", "d2").cast("long").alias("weekdays"),
     )
 
 
