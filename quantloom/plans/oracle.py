@@ -366,6 +366,10 @@ SELECTS: dict[str, str] = {
 }
 
 
+#: Blocks of a ticker's rows give what whole histories give.
+SELECTS |= {"price_features_blocks": SELECTS["price_features_target"], "rolling_features_blocks": SELECTS["rolling_broker_features"]}
+
+
 def oracle_sql() -> dict[str, str]:
     views = duckdb_views() | VIEWS
     head = ", ".join(f"{k} as ({v})" for k, v in views.items())

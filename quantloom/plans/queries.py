@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import ablation, audit, features, health, metrics, policy, reports, signals, simulate, walkforward
-from ..operators.spine import date_spine
+from ..operators.spine import date_spine, in_blocks
 from ..schema import CLUSTERS
 from ..sources.scratch import keeper
 from ..sources.sinks import latest_wins
@@ -187,6 +187,8 @@ QUERY: dict[str, Query] = {
     "broker_day_aggregates": lambda t: features.broker_day_aggregates(t.B),
     "broker_correlation_1d": lambda t: features.broker_correlation_1d(t.B),
     "price_features_target": lambda t: features.price_features(t.P),
+    "price_features_blocks": lambda t: in_blocks(t.P, features.price_features, 5, 1, rows=16),
+    "rolling_features_blocks": lambda t: in_blocks(features.broker_day_aggregates(t.B), features.rolling_features, 10, 0, rows=16),
     "training_panel": lambda t: features.training_panel(t.B, t.P),
     "multi_horizon_targets": lambda t: features.multi_horizon_targets(t.P),
     "rolling_broker_features": lambda t: features.rolling_features(features.broker_day_aggregates(t.B)),

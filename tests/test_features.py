@@ -94,3 +94,21 @@ def test_partitioning_changes_nothing(spark):
     d = spark.createDataFrame(rows, FLOW)
     key = lambda x: sorted(map(tuple, x.collect()), key=str)
     assert key(features.broker_day_aggregates(d)) == key(features.broker_day_aggregates(d.repartition(7).orderBy(F.rand(3))))
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_blocks_give_what_whole_histories_give(spark, rows):
+    from quantloom.operators.spine import in_blocks, numbered
+
+    random.seed(rows)
+    bars = [(D[0] + dt.timedelta(days=d), t, random.random() + 1, random.random() * 100) for t, n in (("A", 60), ("B", 1), ("C", 23)) for d in sorted(random.sample(range(400), n))]
+    p = spark.createDataFrame(bars, "dt date, ticker string, close double, volume double")
+    assert sorted(r["__row"] for r in numbered(p, 30).where("ticker = 'A'").collect()) == list(range(60))
+    want = {(r.dt, r.ticker): tuple(r) for r in features.price_features(p).collect()}
+    got = in_blocks(p, features.price_features, 5, 1, rows, 30)
+    assert {(r.dt, r.ticker): tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    daily = p.select("dt", "ticker", F.col("close").alias("net_flow_total"), F.col("volume").alias("broker_concentration"))
+    want = sorted(tuple(r) for r in features.rolling_features(daily).collect())
+    same = sorted(tuple(r) for r in in_blocks(daily, features.rolling_features, 10, 0, rows, 30).collect())
+    assert [r[:2] for r in same] == [r[:2] for r in want]
+    assert all(a == b or a == pytest.approx(b, rel=1e-12) for x, y in zip(same, want, strict=True) for a, b in zip(x[2:], y[2:], strict=True))
