@@ -329,6 +329,9 @@ SELECTS: dict[str, str] = {
         select 'capture' as "check", ok, metric, cast(value as double) as value, cast(lim as double) as limit_value, detail from R""",
     "cross_source_skipped": """with J as (select o, count(*) as n from MS a, (select unnest([0, 1, 2]) as o), M b where a.ticker = 'U3' and a.dt < date '2024-01-09' and b.dt = a.dt - cast(o as int) and b.ticker = a.ticker and a.close > 0 and b.close > 0 group by o)
         select 'cross_source' as "check", cast(null as boolean) as ok, 'skipped' as metric, cast(coalesce(max(n), 0) as double) as value, cast(15 as double) as limit_value, 'too few pairs' as detail from J having coalesce(max(n), 0) < 15""",
+    "event_payloads": f"""select dt, ticker, max(case when rn = 1 then event_type end) as first_type, {_r('max(case when rn = 1 then value end)', 'first_value')}, max(case when rn = 3 then event_type end) as third_type,
+        nullif(count(case when event_type = 'purchase' then 1 end), 0) as purchases, nullif(count(case when event_type = 'view' then 1 end), 0) as views, cast(null as bigint) as absent
+      from (select *, row_number() over (partition by dt, ticker order by event_id) as rn from (select cast(ts as date) as dt, concat('U', cast(user_id as varchar)) as ticker, event_id, event_type, value from events)) group by dt, ticker""",
     "variants_report": """with T as (select variant from GRID where part = 'search' order by sharpe desc nulls last, variant limit 1)
         select coalesce(a.variant, b.variant) as variant, a.sharpe as search_sharpe, a.n_trades as search_n, a.hit_rate as search_hit, b.sharpe as holdout_sharpe, b.n_trades as holdout_n, b.hit_rate as holdout_hit,
           T.variant is not null as won, T.variant is not null and coalesce(b.sharpe >= 1, false) as satisfied

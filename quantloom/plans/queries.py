@@ -12,7 +12,7 @@ from ..operators import ablation, audit, features, health, metrics, policy, repo
 from ..operators.spine import date_spine, in_blocks
 from ..schema import CLUSTERS
 from ..sources.scratch import keeper
-from ..sources.sinks import latest_wins
+from ..sources.sinks import latest_wins, nested_as_variant, variant_fields
 from .standin import StandIn
 
 Query = Callable[[StandIn], DataFrame]
@@ -154,6 +154,19 @@ def flagged(t: StandIn) -> DataFrame:
     return t.M.select("dt", "ticker", (F.col("tval") >= 100).alias("is_liquid"), (F.col("clean_score") <= 1).alias("is_pinky"), F.col("is_unusual_volume").alias("is_crossing"))
 
 
+def event_payloads(t: StandIn) -> DataFrame:
+    """Typed fields of nested payloads: a day's events of a user with their order, types and counts."""
+    e = t.table("events")
+    one = F.struct("event_id", F.struct(F.col("event_type").alias("type"), "value").alias("item"))
+    day = e.groupBy(F.col("ts").cast("date").alias("dt"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"))
+    d = day.agg(F.array_sort(F.collect_list(one)).alias("own"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("p"), F.count(F.when(F.col("event_type") == "view", 1)).alias("v"))
+    items = F.transform("own", lambda x: x["item"])
+    counts = F.map_filter(F.create_map(F.lit("purchase"), F.col("p"), F.lit("view"), F.col("v")), lambda _, n: n > 0)
+    payload = F.struct(items.alias("events"), counts.alias("counts"))
+    fields = {"first_type": ("$.events[0].type", "string"), "first_value": ("$.events[0].value", "double"), "third_type": ("$.events[2].type", "string"), "purchases": ("$.counts.purchase", "bigint"), "views": ("$.counts.view", "bigint"), "absent": ("$.counts.none", "bigint")}
+    return variant_fields(nested_as_variant(d.select("dt", "ticker", payload.alias("payload"))), "payload", fields)
+
+
 _WALKS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -267,6 +280,7 @@ QUERY: dict[str, Query] = {
     "cleaned_codes": lambda t: t.P.select("dt", "ticker", S.clean_code("ticker").alias("code"), S.shift_date("dt", 3).alias("three_days_before")),
     "failed_runs": lambda t: t.M.groupBy("dt").agg(F.count(F.when(F.col("clean_score").isNull() | (F.col("clean_score") <= 1), 1)).alias("failed"), F.count("*").alias("total")).withColumn("fails", S.should_fail_run("failed", "total")),
     "policy_rollout": lambda t: policy.rollout(actions(t)),
+    "event_payloads": event_payloads,
     "gbt_walk_forward": lambda t: held_out(t).select("cycle", "dt", "ticker", "pred", "actual"),
     "walk_forward_cycles": lambda t: walkforward.cycle_report(tree_walk(t)),
     "walk_forward_pooled": lambda t: metrics.sharpe_trigger(held_out(t)),

@@ -54,11 +54,24 @@ def nested_as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
 
 
-def wide_upsert(rows: DataFrame, path: str, keys: list[str], keep: DataFrame | None = None) -> None:
-    """Upsert that adds unseen columns and never drops one; ``keep`` limits the tickers."""
+def nested_as_variant(df: DataFrame) -> DataFrame:
+    """Structs, arrays and maps as VARIANT: kept with their types, read by path, whatever their fields are next time."""
+    return df.select(*[F.to_variant_object(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+
+
+def variant_fields(df: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` without the VARIANT column but with its ``fields`` {name: (path, type)}; what is absent or cannot be the type is NULL."""
+    return df.select(*[c for c in df.columns if c != column], *[F.try_variant_get(column, path, kind).alias(name) for name, (path, kind) in fields.items()])
+
+
+def wide_upsert(rows: DataFrame, path: str, keys: list[str], keep: DataFrame | None = None, variant: bool = False) -> None:
+    """Upsert that adds unseen columns and never drops one; ``keep`` limits the tickers.
+
+    Nested columns are stored as JSON text, or as VARIANT; one table takes one of them.
+    """
     if keep is not None:
         rows = rows.join(F.broadcast(keep.select("ticker").distinct()), "ticker", "left_semi")
-    rows = nested_as_text(rows)
+    rows = nested_as_variant(rows) if variant else nested_as_text(rows)
     spark = rows.sparkSession
     if _exists(spark, path):
         have = spark.read.option("mergeSchema", "true").parquet(path)

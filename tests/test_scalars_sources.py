@@ -66,6 +66,15 @@ def test_wide_upsert_adds_columns(spark, tmp_path):
     assert got == {D[0]: (1.0, None), D[1]: (None, "[1,2]")}
 
 
+def test_wide_upsert_keeps_types_in_variants(spark, tmp_path):
+    p = str(tmp_path / "wide")
+    sinks.wide_upsert(spark.createDataFrame([(D[0], "A", (1.5, ["x"]))], "dt date, ticker string, info struct<a:double,b:array<string>>"), p, ["dt", "ticker"], variant=True)
+    sinks.wide_upsert(spark.createDataFrame([(D[0], "B", ("text", 7)), (D[1], "A", (None, None))], "dt date, ticker string, info struct<a:string,c:long>"), p, ["dt", "ticker"], variant=True)
+    d = sinks.variant_fields(spark.read.parquet(p), "info", {"a": ("$.a", "double"), "s": ("$.a", "string"), "b0": ("$.b[0]", "string"), "c": ("$.c", "bigint")})
+    got = {(r.dt, r.ticker): tuple(r)[-4:] for r in d.select("dt", "ticker", "a", "s", "b0", "c").collect()}
+    assert got == {(D[0], "A"): (1.5, "1.5", "x", None), (D[0], "B"): (None, "text", None, 7), (D[1], "A"): (None, None, None, None)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.csv").write_text("date,ticker,close\n2024-01-02,A,5.5\n")
     r = tables.read_corrections(spark, str(tmp_path / "c.csv")).first()
