@@ -17,6 +17,11 @@ and standard deviation) form the clusters. The clusters choose the text:
 
 A page without clusters has no text.
 
+A class word or a form may also stand on what holds the article (``has-sidebar``, a page in
+one form). Where such marks leave under a tenth of the page's text, those whose other words
+name the article are no marks, or else the outermost that holds at least half of the text,
+and the page is read anew.
+
 Defined cases: null or empty html gives empty text and 0 characters; a page of bare text
 is one block; unclosed and stray tags are repaired as the parser meets them; rows without
 an id and rows that share one are kept as they are; other columns are not read.
@@ -41,6 +46,8 @@ SIGMA = 1.0
 ENTER = 0.9
 #: An article or main element with this share of the page's cluster text bounds the region.
 SHARE = 0.5
+#: Under this share of its text without a mark, a page's outermost marks are judged by what they hold.
+UNMARKED = 0.1
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption legend option".split())
 #: Elements whose content is never the article.
@@ -60,13 +67,19 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class _Page(HTMLParser):
     """Lines (text, tags, link characters, element, other) and the element tree."""
 
-    def __init__(self) -> None:
+    def __init__(self, exempt: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.exempt = exempt
+        #: elements marked by a class word or as a form, with whether other words name the article; lines that no other mark covers
+        self.soft: dict[int, bool] = {}
+        self.hard = [False]
+        self.judged: list[bool] = []
         self.parent, self.tag = [-1], ["#page"]
         self.open, self.count = [0], Counter()
         self.other = [False]
         self.links = 0
         self.lines: list[tuple[str, int, int, int, bool]] = []
+        self._own = False
         self._text: list[str] = []
         self._tags = self._link_chars = 0
         self._at = 0
@@ -75,30 +88,35 @@ class _Page(HTMLParser):
         text = " ".join("".join(self._text).split()) if self._text else ""
         if text:
             self.lines.append((text, max(1, self._tags), self._link_chars, self._at, self.other[-1]))
+            self.judged.append(not self.hard[-1])
             self._tags = 0
         self._text, self._link_chars = [], 0
 
-    def _is_other(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in OTHER:
-            return True
+    def _is_other(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """0 for what may be the article, 1 for a mark that what it holds may outweigh, 2 for one that stands."""
+        if tag in OTHER and tag != "form":
+            return 2
         inside = self.count["article"] or self.count["main"]
         if tag == "header" and not inside:
-            return True
+            return 2
         words: set[str] = set()
         for k, v in attrs:
             v = v or ""
             if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in ROLES) or (k == "style" and _HIDDEN.search(v)):
-                return True
+                return 2
             if k in ("class", "id"):
                 words.update(w.lower() for w in _WORDS.findall(v))
+        self._own = bool(words & OWN)
+        if tag == "form":
+            return 1
         if tag in ("html", "body", "main") or not words:
-            return False
+            return 0
         named = words & NAMED
         if named <= {"header", "legal", "search", "form", "notice", "alert"} and (inside or words & OWN) and tag not in ("div", "section", "ul"):
-            return False
+            return 0
         if named == {"header"} and (inside or words & OWN):
-            return False
-        return bool(named)
+            return 0
+        return int(bool(named))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -117,11 +135,18 @@ class _Page(HTMLParser):
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.count[tag] += 1
-        is_other = self.other[-1] or self._is_other(tag, attrs)
-        if is_other != self.other[-1]:
+        mark = self._is_other(tag, attrs)
+        if mark == 1:
+            if len(self.tag) - 1 in self.exempt:
+                mark = 0
+            else:
+                self.soft[len(self.tag) - 1] = self._own
+        is_other = self.other[-1] or mark > 0
+        if is_other != self.other[-1] or (mark == 2) > self.hard[-1]:
             self.flush()
         self.open.append(len(self.tag) - 1)
         self.other.append(is_other)
+        self.hard.append(self.hard[-1] or mark == 2)
         self._at = self.open[-1]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -133,11 +158,12 @@ class _Page(HTMLParser):
         """Closes elements up to the innermost open ``tag``; a paragraph never closes what holds it."""
         while True:
             name = self.tag[self.open[-1]]
-            ended = self.other[-1] and not self.other[-2]
+            ended = (self.other[-1], self.hard[-1]) != (self.other[-2], self.hard[-2])
             if name in BLOCK or ended:
                 self.flush()
             self.open.pop()
             self.other.pop()
+            self.hard.pop()
             self.count[name] -= 1
             if name == "a":
                 self.links -= 1
@@ -208,12 +234,50 @@ def _holds(page: _Page, outer: int, inner: int) -> bool:
     return inner == outer
 
 
+def _outweighed(page: _Page) -> set[int]:
+    """Of a page that marks leave nearly nothing of: the soft marks that also name the article, else the outermost that hold at least half of it."""
+    mass = [0.0] * len(page.tag)
+    bare = 0.0
+    for (text, _, link, at, other), judged in zip(page.lines, page.judged, strict=True):
+        if judged:
+            own = len(text) - 0.9 * min(link, len(text))
+            mass[at] += own
+            bare += 0.0 if other else own
+    for e in range(len(mass) - 1, 0, -1):
+        mass[page.parent[e]] += mass[e]
+    if bare >= UNMARKED * mass[0]:
+        return set()
+    named = {e for e, own in page.soft.items() if own and mass[e] >= UNMARKED * mass[0]}
+    if named:
+        return named
+    large = {e for e in page.soft if mass[e] >= SHARE * mass[0]}
+
+    def within(e: int) -> bool:
+        while e > 0:
+            e = page.parent[e]
+            if e in large:
+                return True
+        return False
+
+    return {e for e in large if not within(e)}
+
+
+def _read(html: str) -> _Page:
+    exempt: frozenset[int] = frozenset()
+    while True:
+        page = _Page(exempt)
+        page.feed(html)
+        page.close()
+        page.flush()
+        more = _outweighed(page) if page.soft else set()
+        if not more:
+            return page
+        exempt |= more
+
+
 def extract(html: str) -> str:
     """The article's blocks, joined by an empty line."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    page.flush()
+    page = _read(html)
     lines = page.lines
     if not lines:
         return ""

@@ -451,3 +451,21 @@ def test_counts_of_every_code_point_below_3100(word_bpe):
     with pytest.raises(ValueError):
         c.steps_of.prefixes("a\x00b")
     assert c.steps_of.prefixes("hello")[-1] == 1
+
+
+def test_marks_on_what_holds_the_article():
+    said = [f"Paragraph {i} of the story, with a good deal of text in it to read and to think of." for i in range(4)]
+    art = "<h1>Title of it</h1>" + "".join(f"<p>{x}</p>" for x in said)
+    side = '<div class="sidebar"><ul><li><a href=x>One link</a></li><li><a href=y>Two links</a></li></ul></div>'
+    readers = '<div class="comments">' + "".join(f"<p>Reader {i} says that this is a long comment about the story and more of it.</p>" for i in range(12)) + "</div>"
+    want = "\n\n".join(["Title of it", *said])
+    page = "<html><body><nav><a href=a>Home</a></nav>{}<footer>(c) us</footer></body></html>".format
+    for tag in ("div", "section", "article"):
+        for name in ("wrap has-sidebar", "page no-sidebar", "post-content comments-open", "layout-with-banner", "story share-enabled"):
+            for inner in (art, art + side, art + readers):
+                assert html_extract.extract(page(f'<{tag} class="{name}">{inner}</{tag}>')) == want, (tag, name)
+    inside = [art, art + side, art + readers, f'<div class="wrap has-sidebar">{art}{side}</div>', f'<div class="page no-sidebar"><div class="post-content comments-open">{art}</div>{readers}</div>']
+    for inner in inside:
+        assert html_extract.extract(page(f'<form action="/x"><input name=v>{inner}</form>')) == want
+    assert html_extract.extract(page(f"<div>{art}</div>{readers}")) == want
+    assert html_extract.extract(page(f'<div>{art}</div><form class="signup"><p>Give us your address, we ask you for it, and a name.</p></form>')) == want
