@@ -153,11 +153,16 @@ def trigram_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", tex
 
 
 def _evaluated(query: Query, lists: Column) -> Column:
-    """The ids that satisfy a query, from a map of a block's posting lists."""
+    """The ids that satisfy a query, from a map of a block's posting lists; trigrams of one AND or OR are folded over."""
+    none = F.array().cast("array<bigint>")
     if isinstance(query, str):
-        return F.coalesce(F.try_element_at(lists, F.lit(query)), F.array().cast("array<bigint>"))
+        return F.coalesce(F.try_element_at(lists, F.lit(query)), none)
     op = F.array_intersect if query[0] == "and" else F.array_union
-    parts = [_evaluated(q, lists) for q in sorted(query[1], key=str)]
+    grams = sorted(q for q in query[1] if isinstance(q, str))
+    parts = [_evaluated(q, lists) for q in sorted((q for q in query[1] if not isinstance(q, str)), key=str)]
+    if grams:
+        rest = F.array(*map(F.lit, grams[1:])).cast("array<string>")
+        parts.append(F.aggregate(rest, _evaluated(grams[0], lists), lambda ids, g: op(ids, F.coalesce(F.try_element_at(lists, g), none))))
     out = parts[0]
     for p in parts[1:]:
         out = op(out, p)
