@@ -9,17 +9,21 @@ fingerprint's balls. The fingerprint is therefore as long as it takes:
 
 * it is cut into segments of log2(documents) + ``SPARE`` bits, so that a segment's value
   stays rare whatever the table's size, and each segment is a table;
-* a table is probed with the segment itself and each that sets one more bit (of two
-  segments one bit apart, exactly one has that bit unset); a fixed-size filter of the
-  entries that exist stops most probes where they are made;
+* a table is probed with the segment itself and each of its ball of ``FLIPS`` = 2 bits whose
+  highest flipped bit gets set (of two segments that differ, exactly one has that bit
+  unset, so that each pair meets once); a filter of the entries that exist stops nearly
+  all other probes where they are made. The filter has a fixed size; a table of more
+  entries is probed in rounds of some tables, or of a part of one table's entries;
 * there are as many segments as let a pair at the limit meet in one with all but a chance
-  of ``MISS``; whole distances of what meets are verified against the distance that such a
-  pair keeps within with a chance of 99%, and Jaccard similarities of what is left exactly,
-  on the shingles of the whole texts.
+  of ``MISS``; every row carries a 64-bit sketch (the fingerprint's last word, which is in
+  no segment), compared where rows meet. Whole distances of what is left are verified
+  against the distance that a pair at the limit keeps within with a chance of 99%, and
+  Jaccard similarities of what is left then exactly, on the shingles of the whole texts.
 
 A large group of near copies is not expanded into pairs: first every text is compared only
-with the smallest of each entry it lies in, and the groups found so are known when
-entries are compared whole, in tiles: texts already in one group are not compared again.
+with the first of each entry it lies in, and the groups found so are known when entries
+are compared whole: a probe by a text whose group holds all of an entry is dropped before
+it meets the entry, and other texts already in one group are not compared again.
 Texts with equal shingle sets are one class from the start.
 
 No false link is returned; recall is measured in the tests. Where a set has only a few
@@ -32,8 +36,10 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from .common import LOWER, HashFilter, Scratch, as_bytes, rows_within, tidy
+from .common import LOWER, Scratch, as_bytes, rows_within, tidy
 from .components import connected_components
-from .embedding_dedup import in_units, pairs_of_units, tiled
 
 SHINGLE = 5
 JACCARD = 0.8
 #: Chance that a pair at the limit meets in no table.
 MISS = 0.04
-#: Bits that a segment has beyond log2(documents), and its bounds.
-SPARE = 4
-NARROWEST, WIDEST = 12, 28
+#: Bits that a segment has beyond log2(documents), and its bounds; bits that a ball flips.
+SPARE = 8
+NARROWEST, WIDEST = 12, 52
+FLIPS = 2
 SEED = 42
 PAIR = ["a", "ha", "b", "hb"]
 PAIR_SCHEMA = "a long, ha long, b long, hb long"
@@ -60,22 +66,34 @@ _BATCH = 2 << 20
 
 
 class Plan:
-    """Segment width, number of tables, and the largest distance that is looked at."""
+    """Segment width, number of tables, and the largest distances of sketches and of fingerprints."""
 
     def __init__(self, rows: int, jaccard: float = JACCARD, miss: float = MISS):
         flip = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
         w = self.width = min(WIDEST, max(NARROWEST, math.ceil(math.log2(max(2, rows))) + SPARE))
-        meet = (1 - flip) ** w + w * flip * (1 - flip) ** (w - 1)
+        meet = sum(math.comb(w, i) * flip**i * (1 - flip) ** (w - i) for i in range(FLIPS + 1))
         self.tables = math.ceil(math.log(miss) / math.log(1 - meet))
-        bits = w * self.tables
-        self.words = -(-bits // 64)
+        self.words = -(-w * self.tables // 64) + 1
+        bits = 64 * self.words
         self.radius = math.ceil(bits * flip + 2.33 * math.sqrt(bits * flip * (1 - flip)))
+        self.sketch = math.ceil(64 * flip + 4 * math.sqrt(64 * flip * (1 - flip)))
 
-    def keys(self, bits: np.ndarray) -> np.ndarray:
-        """(rows, tables) segments of (rows, words * 64) bits."""
+    def keys(self, fp: np.ndarray) -> np.ndarray:
+        """(rows, tables) keys of (rows, words * 8) bytes: a segment, above it the number of its table."""
         place = np.int64(1) << np.arange(self.width, dtype=np.int64)
-        used = bits[:, : self.width * self.tables].reshape(-1, self.tables, self.width)
-        return used.astype(np.int64) @ place
+        used = np.unpackbits(fp, axis=1, bitorder="little")[:, : self.width * self.tables].reshape(-1, self.tables, self.width)
+        return (used.astype(np.int64) @ place) | (np.arange(self.tables, dtype=np.int64) << np.int64(WIDEST))
+
+    def ball(self) -> tuple[np.ndarray, np.ndarray]:
+        """Masks of one to ``FLIPS`` bits, and the highest bit of each."""
+        sets = [c for i in range(1, FLIPS + 1) for c in itertools.combinations(range(self.width), i)]
+        return np.array([sum(1 << i for i in c) for c in sets], np.int64), np.array([1 << c[-1] for c in sets], np.int64)
+
+    def rounds(self, rows: int) -> list[tuple[int, int, int, int]]:
+        """(first table, table after the last, part, parts) of each round, of ``EntryFilter.ROOM`` entries or less."""
+        parts = max(1, -(-rows // EntryFilter.ROOM))
+        each = max(1, EntryFilter.ROOM // max(1, rows))
+        return [(t, min(t + each, self.tables), k, parts) for t in range(0, self.tables, each) for k in range(parts)]
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -126,80 +144,163 @@ def set_fingerprints(docs: DataFrame, plan: Plan, shingle: int, id_col: str, tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, set_id binary, h long, fp binary")
 
 
-def _mixed(tab: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of a table and a key, for the filter."""
-    z = (key.astype(np.uint64) + (tab.astype(np.uint64) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)
+def _mixed(key: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of a key, for the filter and for the parts of a table."""
+    z = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return z ^ (z >> np.uint64(32))
 
 
-def _expanded(nodes: DataFrame, plan: Plan, seen: HashFilter | None) -> DataFrame:
-    """(node, h, tab, key, e) of every class's own segments, or of its probes that ``seen`` lets through."""
+class EntryFilter:
+    """A Bloom filter of 16 MB: three bits of a hash, all in one of 256 slices.
+
+    With ``ROOM`` entries a foreign hash passes with a chance of about 0.0007; with more,
+    more pass, which costs later joins rows but never a result.
+    """
+
+    ROOM = 1 << 22
+    SLICE = 19
+
+    def __init__(self, slices: dict[int, bytes]):
+        width = 1 << (self.SLICE - 3)
+        self.bits = np.zeros(256 * width, np.uint8)
+        for k, raw in slices.items():
+            self.bits[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
+
+    @classmethod
+    def places(cls, h: np.ndarray) -> Iterator[np.ndarray]:
+        """Three places in its slice of each hash."""
+        mask = np.uint64((1 << cls.SLICE) - 1)
+        for shift in (37, 18, 0):
+            yield ((h >> np.uint64(shift)) & mask).astype(np.int64)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Positions in ``h`` of the hashes that may be held."""
+        at = np.arange(len(h))
+        mask = np.uint64((1 << self.SLICE) - 1)
+        for shift in (37, 18, 0):
+            own = h[at]
+            bit = (((own >> np.uint64(56)) << np.uint64(self.SLICE)) | ((own >> np.uint64(shift)) & mask)).astype(np.int64)
+            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        return at
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> EntryFilter:
+        """The filter of a table's only column, keys; each slice is made by one group of hashes."""
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_mixed(b.column(0).to_numpy()).view(np.int64))], ["e"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                e = b.column(0).to_numpy().view(np.uint64)
+                part = (e >> np.uint64(56)).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    bits = held.setdefault(k, np.zeros(1 << (cls.SLICE - 3), np.uint8))
+                    for at in cls.places(e[part == k]):
+                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["k", "bits"])
+            tidy()
+
+        sliced = keys.mapInArrow(hashed, "e long").repartition(F.shiftrightunsigned(F.col("e"), 56)).mapInArrow(run, "k int, bits binary")
+        return cls({r["k"]: r["bits"] for r in sliced.collect()})  # 16 MB in all, whatever the table
+
+
+ENTRY_SCHEMA = "k long, cls long, c long, sk long"
+
+
+def _expanded(nodes: DataFrame, plan: Plan, seen: EntryFilter | None = None, part: tuple[int, int, int, int] | None = None, ball: bool = False) -> DataFrame:
+    """(k, cls, c, sk) of every class's own segments, or with ``ball`` of its probes; with a filter, of what may be held.
+
+    ``part`` is a round of the plan: only its tables, and its part of their keys.
+    """
     bc = None if seen is None else nodes.sparkSession.sparkContext.broadcast(seen)  # 16 MB, whatever the table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, k, parts = part or (0, plan.tables, 0, 1)
+        masks, top = plan.ball() if ball else (None, None)
+        size = max(1, (1 << 20) // (len(masks) * (last - first))) if ball else 1024
         for big in batches:
-            for lo in range(0, big.num_rows, 1024):
-                b = big.slice(lo, 1024)
+            for lo in range(0, big.num_rows, size):
+                b = big.slice(lo, size)
                 fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                key = plan.keys(np.unpackbits(fp, axis=1, bitorder="little"))
-                row, tab = (v.ravel() for v in np.indices(key.shape))
+                key = plan.keys(fp)[:, first:last]
+                row = np.repeat(np.arange(b.num_rows), key.shape[1])
                 key = key.ravel()
+                if ball:
+                    at, m = np.nonzero(key[:, None] & top == 0)
+                    row, key = row[at], key[at] ^ masks[m]
+                if parts > 1:
+                    at = np.flatnonzero(_mixed(key) % np.uint64(parts) == k)
+                    row, key = row[at], key[at]
                 if bc is not None:
-                    one = np.int64(1) << np.arange(plan.width, dtype=np.int64)
-                    at, bit = np.nonzero(key[:, None] & one == 0)
-                    row, tab, key = row[at], tab[at], key[at] | one[bit]
-                e = _mixed(tab, key)
-                if bc is not None:
-                    good = bc.value.has(e)
-                    row, tab, key, e = row[good], tab[good], key[good], e[good]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(tab, pa.int32()), pa.array(key), pa.array(e.view(np.int64))], ["node", "h", "tab", "key", "e"])
+                    at = bc.value.passing(_mixed(key))
+                    row, key = row[at], key[at]
+                sketch = np.ascontiguousarray(fp[:, -8:]).view(np.int64).ravel()
+                taken = [b.column(i).take(pa.array(row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *taken, pa.array(sketch[row])], ["k", "cls", "c", "sk"])
         tidy()
 
-    return nodes.select("node", "h", "fp").mapInArrow(run, "node long, h long, tab int, key long, e long")
-
-
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return nodes.select("cls", "c", "fp").mapInArrow(run, ENTRY_SCHEMA)
 
 
-def _apart(radius: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
-    """Of whole units: the pairs (a, ha, b, hb) of different groups within the distance."""
-
-    def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        group, node, h = (t.column(c).to_numpy() for c in ("c", "node", "h"))
-        for a, b in pairs_of_units(t, 1 << 16):
-            apart = group[a] != group[b]
-            a, b = a[apart], b[apart]
-            near = _distance(fp[a], fp[b]) <= radius
-            a, b = a[near], b[near]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[a], h[a], node[b], h[b])], PAIR)
-
-    return judged
-
-
-def _stars(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(a, ha, b, hb): each class with the smallest of each entry that it lies in, within the distance."""
-    own = _expanded(nodes, plan, None).drop("e")
-    low = own.groupBy("tab", "key").agg(F.min(F.struct("node", "h")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    met = own.join(low.hint("merge"), ["tab", "key"]).select(F.col("low.node").alias("a"), F.col("low.h").alias("ha"), F.col("node").alias("b"), F.col("h").alias("hb"))
-    met = met.where("a <> b or ha <> hb").distinct()
-    fa = nodes.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("fp").alias("fa"))
-    fb = nodes.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("fp").alias("fb"))
+def _within(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, ha, b, hb) of the pairs of classes (x, y) whose whole fingerprints are within the distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("fa", "fb"))
-                near = pa.array(_distance(one, two) <= plan.radius)
-                yield b.select(PAIR).filter(near)
+                near = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= plan.radius
+                yield b.select(PAIR).filter(pa.array(near))
         tidy()
 
-    both = met.join(fa.hint("merge"), ["a", "ha"]).join(fb.hint("merge"), ["b", "hb"])
+    fa = nodes.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("h").alias("ha"), F.col("fp").alias("fa"))
+    fb = nodes.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("h").alias("hb"), F.col("fp").alias("fb"))
+    both = pairs.distinct().join(fa.hint("merge"), "x").join(fb.hint("merge"), "y")
     return both.select(*PAIR, "fa", "fb").mapInArrow(run, PAIR_SCHEMA)
 
 
+def _alike(plan: Plan):
+    """The sketches of rows x and y are within the distance of sketches."""
+    return F.bit_count(F.col("x.sk").bitwiseXOR(F.col("y.sk"))) <= plan.sketch
+
+
+def _shared(nodes: DataFrame, plan: Plan, held: EntryFilter, low: DataFrame) -> DataFrame:
+    """(k, cls, c, sk, low): own segments in entries of two classes or more; most others do not leave their task."""
+    return _expanded(nodes, plan, held).join(low.hint("merge"), "k")
+
+
+def _stars(shared: DataFrame, plan: Plan) -> DataFrame:
+    """(x, y): the first class of each entry and every other."""
+    return shared.where(F.col("cls") != F.col("low.cls")).where(F.bit_count(F.col("sk").bitwiseXOR(F.col("low.sk"))) <= plan.sketch).select(F.col("low.cls").alias("x"), F.col("cls").alias("y"))
+
+
+def _probed(nodes: DataFrame, plan: Plan, n: int, scratch: Scratch) -> DataFrame:
+    """(k, cls, c, sk): probes of entries that may exist, each round written out."""
+    out = []
+    for part in plan.rounds(n):
+        seen = EntryFilter.of(_expanded(nodes, plan, part=part).select("k"))
+        out.append(scratch.keep(_expanded(nodes, plan, seen, part, ball=True), "probes"))
+    return reduce(DataFrame.union, out)
+
+
+def _met(nodes: DataFrame, shared: DataFrame, probes: DataFrame, plan: Plan) -> DataFrame:
+    """(x, y): classes of different groups that meet in an entry or by a probe, with sketches within the distance."""
+    entry = shared.groupBy("k").agg(F.min("c").alias("pc"), F.max("c").alias("to"))
+    whole = entry.where("pc = to").select("k", "pc")  # all of the entry is one group
+    apart = F.col("x.c") != F.col("y.c")
+    mixed = shared.join(entry.where("pc <> to").select("k").hint("merge"), "k")
+    inside = mixed.alias("x").join(mixed.alias("y").hint("merge"), F.col("x.k") == F.col("y.k")).where(F.col("x.cls") < F.col("y.cls")).where(apart).where(_alike(plan))
+    asking = probes.join(whole.hint("merge"), "k", "left").where("pc is null or pc <> c").drop("pc")
+    found = asking.alias("x").join(_expanded(nodes, plan).alias("y").hint("merge"), F.col("x.k") == F.col("y.k")).where(apart).where(_alike(plan))
+    pair = [F.least("x.cls", "y.cls").alias("x"), F.greatest("x.cls", "y.cls").alias("y")]
+    return inside.select(*pair).union(found.select(*pair))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(node, h, words): the shingle hashes of the wanted classes, from their whole texts."""
 
@@ -216,7 +317,7 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch
     """(a, b) of the pairs (a, ha, b, hb) whose shingle sets are similar enough."""
     pairs = scratch.keep(pairs.where("a <> b or ha <> hb").distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("node"), F.col("ha").alias("h")).union(pairs.select("b", "hb")).distinct()
-    sets = scratch.keep(texts(wanted), "sets")
+    sets = texts(wanted)  # one exchange by class, which both joins read
     left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("words").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -228,19 +329,22 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, jacca
     """(doc_id, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     plan = Plan(docs.count(), jaccard)
     rows = scratch.keep(set_fingerprints(docs, plan, shingle, id_col, text_col), "fingerprints")
-    classes = scratch.keep(rows.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("h").alias("h"), F.first("fp").alias("fp")), "classes")
-    nodes = classes.where("fp is not null").select("node", "h", "fp")
+    classes = rows.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("h").alias("h"), F.first("fp").alias("fp"))
+    classes = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    nodes = classes.where("fp is not null").select("cls", F.col("cls").alias("c"), "node", "h", "fp")
 
     def texts(wanted: DataFrame) -> DataFrame:
         return _sets(docs, wanted, shingle, id_col, text_col)
 
-    first = _verified(_stars(nodes, plan), texts, scratch, jaccard)
+    low = _expanded(nodes, plan).groupBy("k").agg(F.min(F.struct("cls", "sk")).alias("low"), F.count("*").alias("n")).where("n > 1").select("k", "low")
+    low = scratch.keep(low, "low")
+    held = EntryFilter.of(low.select("k"))
+    first = _verified(_within(_stars(_shared(nodes, plan, held, low), plan), nodes, plan), texts, scratch, jaccard)
     known = connected_components(first, scratch)
-    grouped = scratch.keep(nodes.join(known, "node", "left").select("node", "h", "fp", F.coalesce("component", "node").alias("c")), "grouped")
-    seen = HashFilter.of(_expanded(nodes, plan, None), "e")
-    own, probes = (_expanded(nodes, plan, s).select(F.lit("").alias("label"), F.lit(0).alias("dim"), "tab", "key", "node", "h") for s in (None, seen))
-    work = scratch.keep(tiled(own, probes, scratch), "work")
-    more = _verified(in_units(work, grouped, _apart(plan.radius), PAIR_SCHEMA), texts, scratch, jaccard)
+    grouped = scratch.keep(nodes.join(known, "node", "left").select("cls", F.coalesce("component", "node").alias("c"), "node", "h", "fp"), "grouped")
+    probes = _probed(grouped, plan, grouped.count(), scratch)
+    shared = scratch.keep(_shared(grouped, plan, held, low).select("k", "cls", "c", "sk"), "shared")
+    more = _verified(_within(_met(grouped, shared, probes, plan), grouped, plan), texts, scratch, jaccard)
     groups = connected_components(first.union(more), scratch)
     label = scratch.keep(classes.join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "labels")
     out = rows.select("doc_id", "set_id").join(label, "set_id", "left")

@@ -98,3 +98,34 @@ def test_fingerprint_distance_follows_the_cosine():
     a, b = (near_copies.long_fingerprint(v, 16) for v in (h[:300], h[30:]))
     share = np.unpackbits(a ^ b).mean()
     assert abs(share - np.arccos(270 / 300) / np.pi) < 0.04
+
+
+def test_a_pair_within_the_ball_meets_once():
+    plan = near_copies.Plan(1)
+    masks, top = plan.ball()
+    assert len(masks) == len(set(masks.tolist())) == 12 + 66
+    rng = np.random.default_rng(2)
+    for key in rng.integers(0, 1 << 12, 50):
+        for other in (key ^ masks).tolist():
+            asks = [set((a ^ masks[a & top == 0]).tolist()) for a in (key, other)]
+            assert (other in asks[0]) + (key in asks[1]) == 1
+
+
+def test_rounds_cover_every_key_once(spark, scratch, monkeypatch):
+    texts = planted(7, 60, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {tuple(r) for r in near_copies.near_copies(docs, scratch).collect()}
+    assert len({c for _, c in want}) < 90
+    for room in (400, 70):  # rounds of some tables, and of a part of one
+        monkeypatch.setattr(near_copies.EntryFilter, "ROOM", room)
+        plan = near_copies.Plan(120)
+        seen = [(t, k) for a, b, k, _ in plan.rounds(120) for t in range(a, b)]
+        assert len(seen) == len(set(seen)) == plan.tables * -(-120 // room)
+        assert {tuple(r) for r in near_copies.near_copies(docs, scratch).collect()} == want
+
+
+def test_a_full_filter_only_lets_more_through(spark):
+    keys = np.random.default_rng(3).integers(0, 1 << 60, 20_000)
+    held = near_copies.EntryFilter.of(spark.createDataFrame([(int(k),) for k in keys[:10_000]], "k long"))
+    at = held.passing(near_copies._mixed(keys))
+    assert at[:10_000].tolist() == list(range(10_000)) and len(at) < 10_010
