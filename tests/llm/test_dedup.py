@@ -240,6 +240,26 @@ def test_line_query_removes_every_repeated_run(spark, sf):
     assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in plain_runs(rows).items()}
 
 
+def test_runs_go_through_chunks_first(spark, sf, scratch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    by_chunk = {r.doc_id: {(c.no, c.h) for c in r.cut} for r in line_dedup.removals(docs, scratch).collect()}
+    cuts = {r.doc_id: {(c.no, c.h) for c in r.cut} for r in line_dedup.removals(docs, scratch, runs=True).collect()}
+    assert {i: {c for c in cut if c[0] < 0} for i, cut in cuts.items() if any(c[0] < 0 for c in cut)} == by_chunk and by_chunk
+    for i, cut in cuts.items():  # no pair lies in a removed chunk, and pairs alone would cut more units
+        inside = line_dedup.spans(text[i], cut)
+        assert not any(lo <= no < hi - 1 for no, _ in cut if no >= 0 for lo, hi in inside if any(x.strip() for x in text[i].split(b"\n")[no + 1 : hi]))
+    of_chunks = sum(hi - lo for i, cut in by_chunk.items() for lo, hi in line_dedup.spans(text[i], cut))
+    assert of_chunks > sum(no >= 0 for cut in cuts.values() for no, _ in cut)
+
+
+def test_rows_of_one_id_lose_only_their_own_units(spark, scratch):
+    run = [f"line {k}" for k in range(12)]
+    rows = [(1, "\n".join(run)), (2, "\n".join(["own", *run])), (2, "\n".join(f"other {k}" for k in range(13))), (2, "\n".join(["own", *run]))]
+    got = sorted(r.lines.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch, runs=True).collect())
+    assert got == sorted([rows[0][1], "own", rows[2][1], "own"])
+
+
 def test_runs_odd_rows(odd_docs, no_docs, scratch):
     got = line_dedup.dedup_lines(odd_docs, scratch, runs=True).collect()
     text = {r.doc_id: r.lines.text for r in got}
