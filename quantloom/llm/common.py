@@ -129,23 +129,25 @@ def tidy() -> None:
 
 
 class HashFilter:
-    """A fixed number of bits, set at the hashes of a table of any size.
+    """A bounded number of bits, set at the hashes of a table of any size.
 
-    Its size never grows with the data: on a larger table more foreign hashes pass, which
-    costs later joins rows but never a result.
+    Its size ends at 2^27 bits: on a larger table more foreign hashes pass, which costs
+    later joins rows but never a result. ``of`` makes smaller ones for smaller tables.
     """
 
     LOG2_BITS = 27
+    #: A filter has at least so many bits for each row of its table, up to the bound.
+    BITS_A_ROW = 256
 
-    def __init__(self, slices: dict[int, bytes]):
-        self.bits = np.zeros(1 << (self.LOG2_BITS - 3), np.uint8)
+    def __init__(self, slices: dict[int, bytes], log2_bits: int = LOG2_BITS):
+        self.log2_bits = log2_bits
+        self.bits = np.zeros(1 << (log2_bits - 3), np.uint8)
         width = len(self.bits) >> 8
         for k, raw in slices.items():
             self.bits[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
 
-    @classmethod
-    def place(cls, h: np.ndarray) -> np.ndarray:
-        return (h.view(np.uint64) >> np.uint64(64 - cls.LOG2_BITS)).astype(np.int64)
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - self.log2_bits)).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         at = self.place(h)
@@ -160,12 +162,13 @@ class HashFilter:
         """The filter of a long column; each of 256 slices is made by one group of hashes."""
         from pyspark.sql import functions as F
 
-        inner = cls.LOG2_BITS - 8
+        log2_bits = min(cls.LOG2_BITS, max(12, (df.count() * cls.BITS_A_ROW).bit_length()))
+        inner = log2_bits - 8
 
         def run(batches):
             held: dict[int, np.ndarray] = {}
             for b in batches:
-                at = cls.place(b.column(0).to_numpy())
+                at = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log2_bits)).astype(np.int64)
                 for k in np.unique(at >> inner).tolist():
                     bits = held.get(k)
                     if bits is None:
@@ -177,4 +180,4 @@ class HashFilter:
             tidy()
 
         sliced = df.select(col).repartition(F.shiftrightunsigned(F.col(col), 56)).mapInArrow(run, "k int, bits binary")
-        return cls({r["k"]: r["bits"] for r in sliced.collect()})  # 16 MB in all, whatever the table
+        return cls({r["k"]: r["bits"] for r in sliced.collect()}, log2_bits)  # 16 MB in all at most, whatever the table
