@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of
-labelled documents (``SAMPLE_PER_LANGUAGE`` and ``WINDOWS_PER_DOC`` below); it then reads
+The network is trained in numpy by backpropagation through time on the whole texts of a
+bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE`` below); it then reads
 every byte of every text in windows of ``STEPS`` bytes, labels each position, and the
 mean of the position probabilities over the bytes of letters is the document's
 distribution. Windows of one block run side by side, one matrix step per byte.
@@ -25,14 +25,13 @@ from pyspark.sql import types as T
 from .common import rows_within
 
 UND = "und"
-#: Bound of the training sample: about this many documents of each language ...
+#: Bound of the training sample: about this many different documents of each language, every byte of them.
 SAMPLE_PER_LANGUAGE = 250
-#: ... of which so many windows of STEPS bytes, spread over the text, are learnt from.
-WINDOWS_PER_DOC = 8
 STEPS = 64
 HIDDEN = 8
 BATCH = 256
-EPOCHS = 5
+#: All windows are learnt from at least once, and over again until so many batches were.
+LEAST_BATCHES = 160
 BLOCK = 2048
 
 
@@ -166,17 +165,18 @@ class BiGru:
             g |= {f"w{d}": gw, f"u{d}": gu, f"c{d}": gc}
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 11) -> BiGru:
+    def fit(self, x: np.ndarray, y: np.ndarray, least_batches: int = LEAST_BATCHES, rate: float = 0.02, seed: int = 11) -> BiGru:
         """Adam over shuffled batches; the rate falls to a tenth by the last batch."""
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         n, step = x.shape[1], 0
-        total = epochs * max(1, n // BATCH)
+        batches = max(1, -(-n // BATCH))
+        epochs = max(1, -(-least_batches // batches))
+        total = epochs * batches
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for lo in range(0, max(1, n // BATCH) * BATCH, BATCH):
-                at, step = order[lo : lo + BATCH], step + 1
+            for at in np.array_split(rng.permutation(n), batches):
+                step += 1
                 lr = rate * 0.1 ** (step / total)
                 for k, g in self.gradients(x[:, at], y[at]).items():
                     g = np.clip(g, -1, 1)
@@ -201,24 +201,22 @@ class BiGru:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """A bounded, repeatable sample (lang, text): about ``per_language`` documents of each language.
+    """A bounded, repeatable sample (lang, whole text): about ``per_language`` different documents of each language.
 
-    Documents are taken where the hash of their id falls below the language's share;
-    only counts by language and the sampled rows come to the driver.
+    Documents are taken where the hash of id and text falls below the language's share, and
+    equal rows count once; only counts by language and the sampled rows come to the driver.
     """
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    train = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     below = F.lit(False)
     for lang, n in counts.items():
         below = below | ((F.col("lang") == lang) & (place < min(1.0, per_language / n)))
-    # windows are cut on the executors, so that long texts stay there
-    pos = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", (i * F.length("text") / WINDOWS_PER_DOC).cast("int") + 1, F.lit(STEPS)))
-    rows = train.where(below).select("doc_id", "lang", pos.alias("w")).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["w"]))
-    return [(r["lang"], w.encode()[:STEPS]) for r in rows for w in dict.fromkeys(r["w"]) if w]
+    rows = train.where(below).distinct().collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))
+    return [(r["lang"], r["text"].encode()) for r in rows]
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> BiGru | None:
@@ -227,8 +225,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> BiGru | N
     if not languages:
         return None
     at = {k: i for i, k in enumerate(languages)}
-    x, _ = _pack([w for _, w in rows])
-    return BiGru(languages).fit(x, np.array([at[k] for k, _ in rows]))
+    x, doc = _pack([t for _, t in rows])
+    return BiGru(languages).fit(x, np.array([at[k] for k, _ in rows])[doc])
 
 
 def predict(docs: DataFrame, model: BiGru | None, text_col: str = "text") -> DataFrame:

@@ -362,6 +362,17 @@ def test_language_accuracy_on_held_out_documents(spark, sf):
     assert np.mean(right) > 0.95
 
 
+def test_language_sample_holds_whole_texts_once(spark):
+    long = "żółw " * 40_000
+    rows = [(None, long, "pl")] * 300 + [(k, f"text {k}", "en") for k in range(400)] + [(1000, None, "en"), (1001, "", "en"), (1002, "unlabelled", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=400)
+    assert [t for lang, t in got if lang == "pl"] == [long.encode()]
+    held = {f"text {k}" for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert {t.decode() for lang, t in got if lang == "en"} == {f"text {k}" for k in range(400)} - held
+    few = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert 20 < sum(lang == "en" for lang, _ in few) < 90
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_digest(odd_docs).collect()}
     assert all(got[i] == ("und", 0.0) for i in (3, 4, 5, 9)) and got[1][0] == "en"
