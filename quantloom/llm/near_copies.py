@@ -26,6 +26,14 @@ are compared whole: a probe by a text whose group holds all of an entry is dropp
 it meets the entry, and other texts already in one group are not compared again.
 Texts with equal shingle sets are one class from the start.
 
+A large family of texts that are a little less alike than the limit would still be all
+pairs. So texts within the distance of fingerprints of an entry's first text are a cell,
+whether or not they turn out to be copies of it, and a cell counts as one group where
+entries are compared. A cell that holds several groups is compared inside by itself: its
+shingle sets are dealt to blocks, each two blocks are a tile, and a tile finds the
+similarities of all its pairs in one task and returns a forest of its links, at most one
+row a text. That work grows with the square of a cell, the rows do not.
+
 No false link is returned; recall is measured in the tests. Where a set has only a few
 shingles its bits are less independent, and more pairs just above the limit are missed.
 
@@ -58,11 +66,18 @@ MISS = 0.04
 SPARE = 8
 NARROWEST, WIDEST = 12, 52
 FLIPS = 2
+#: Distance of fingerprints within which texts are in one cell, in distances of a pair at the limit.
+REACH = 2
 SEED = 42
 PAIR = ["a", "ha", "b", "hb"]
 PAIR_SCHEMA = "a long, ha long, b long, hb long"
 _BLOCK = 1 << 14
 _BATCH = 2 << 20
+#: Most shingles and most texts in a block of a cell (on average, texts are dealt by hash), and
+#: blocks of a smaller cell, one for each SPREAD texts, so that a cell is many tasks.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 1 << 10
+BLOCKS, SPREAD = 8, 64
+_COLUMNS = 1 << 11
 
 
 class Plan:
@@ -76,6 +91,7 @@ class Plan:
         self.words = -(-w * self.tables // 64) + 1
         bits = 64 * self.words
         self.radius = math.ceil(bits * flip + 2.33 * math.sqrt(bits * flip * (1 - flip)))
+        self.reach = math.ceil(REACH * bits * flip)
         self.sketch = math.ceil(64 * flip + 4 * math.sqrt(64 * flip * (1 - flip)))
 
     def keys(self, fp: np.ndarray) -> np.ndarray:
@@ -247,21 +263,21 @@ def _expanded(nodes: DataFrame, plan: Plan, seen: EntryFilter | None = None, par
     return nodes.select("cls", "c", "fp").mapInArrow(run, ENTRY_SCHEMA)
 
 
-def _within(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(a, ha, b, hb) of the pairs of classes (x, y) whose whole fingerprints are within the distance."""
+def _within(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, ha, b, hb, far) of the pairs of classes (x, y) whose whole fingerprints are within the distance; far: it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("fa", "fb"))
-                near = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= plan.radius
-                yield b.select(PAIR).filter(pa.array(near))
+                far = np.bitwise_count(one ^ two).sum(1, dtype=np.int32)
+                yield b.select(PAIR).append_column("far", pa.array(far)).filter(pa.array(far <= radius))
         tidy()
 
     fa = nodes.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("h").alias("ha"), F.col("fp").alias("fa"))
     fb = nodes.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("h").alias("hb"), F.col("fp").alias("fb"))
     both = pairs.distinct().join(fa.hint("merge"), "x").join(fb.hint("merge"), "y")
-    return both.select(*PAIR, "fa", "fb").mapInArrow(run, PAIR_SCHEMA)
+    return both.select(*PAIR, "fa", "fb").mapInArrow(run, PAIR_SCHEMA + ", far int")
 
 
 def _alike(plan: Plan):
@@ -279,6 +295,14 @@ def _stars(shared: DataFrame, plan: Plan) -> DataFrame:
     return shared.where(F.col("cls") != F.col("low.cls")).where(F.bit_count(F.col("sk").bitwiseXOR(F.col("low.sk"))) <= plan.sketch).select(F.col("low.cls").alias("x"), F.col("cls").alias("y"))
 
 
+def _leads(probes: DataFrame, plan: Plan, low: DataFrame) -> DataFrame:
+    """(x, y): of the first classes of all entries that a class y probes, the smallest and the one with the nearest sketch."""
+    far = F.bit_count(F.col("sk").bitwiseXOR(F.col("low.sk")))
+    met = probes.join(low.hint("merge"), "k").where(F.col("cls") != F.col("low.cls")).where(far <= plan.sketch)
+    lead = met.groupBy("cls").agg(F.min("low.cls").alias("least"), F.min(F.struct(far.alias("far"), "low.cls")).alias("nearest"))
+    return lead.select(F.explode(F.array("least", "nearest.cls")).alias("x"), F.col("cls").alias("y"))
+
+
 def _probed(nodes: DataFrame, plan: Plan, n: int, scratch: Scratch) -> DataFrame:
     """(k, cls, c, sk): probes of entries that may exist, each round written out."""
     out = []
@@ -325,6 +349,69 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch
     return scratch.keep(pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"]).where(similar).select("a", "b"), "links")
 
 
+def _intersections(words: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) sizes of the intersections of sets of different hashes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    _, token, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(words)), sizes)
+    often = times > 1  # the others are in no intersection
+    token, row = (np.cumsum(often) - 1)[token][often[token]], row[often[token]]
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2^24
+    for lo in range(0, int(often.sum()), _COLUMNS):
+        a, b = np.searchsorted(token, (lo, lo + _COLUMNS))
+        held = np.zeros((len(words), _COLUMNS), np.float32)
+        held[row[a:b], token[a:b] - lo] = 1
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each is linked with by the pairs (a, b), over any number of links."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def tile_links(words: list[np.ndarray], left: np.ndarray, right: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same sets as all pairs of ``left`` and ``right`` that are similar enough, one a set at most."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    both = _intersections(words, left, right)
+    i, j = np.nonzero(both >= jaccard * (sizes[left][:, None] + sizes[right] - both))
+    low = _forest(len(words), left[i], right[j])
+    at = np.flatnonzero(low < np.arange(len(words)))
+    return at, low[at]
+
+
+def _cell_links(grouped: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch, jaccard: float) -> DataFrame:
+    """(a, b): links that join what all similar pairs inside a cell do; cells of one group have them already. grouped: (c, group, node, h)."""
+    mixed = grouped.groupBy("c").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("c")
+    wanted = scratch.keep(grouped.select("node", "h", "c").join(mixed, "c"), "inside")
+    sets = scratch.keep(texts(wanted.select("node", "h")).join(wanted, ["node", "h"]), "cells")
+    size = sets.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.size("words").cast("long")).alias("m"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / SPREAD))).cast("int")
+    dealt = sets.join(size.select("c", blocks.alias("blocks")), "c").withColumn("own", F.pmod(F.hash("node", "h"), F.col("blocks")))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("c", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "words")
+
+    def run(t: pa.Table) -> pa.Table:
+        own, node = t.column("own").to_numpy(), t.column("node").to_numpy()
+        words = [w.values.to_numpy() for w in t.column("words")]
+        a, b = tile_links(words, np.flatnonzero(own == t.column("one")[0].as_py()), np.flatnonzero(own == t.column("two")[0].as_py()), jaccard)
+        out = pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+        tidy()
+        return out
+
+    return scratch.keep(tiles.groupBy("c", "one", "two").applyInArrow(run, "a long, b long"), "inside-links")
+
+
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, jaccard: float = JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     plan = Plan(docs.count(), jaccard)
@@ -339,13 +426,19 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, jacca
     low = _expanded(nodes, plan).groupBy("k").agg(F.min(F.struct("cls", "sk")).alias("low"), F.count("*").alias("n")).where("n > 1").select("k", "low")
     low = scratch.keep(low, "low")
     held = EntryFilter.of(low.select("k"))
-    first = _verified(_within(_stars(_shared(nodes, plan, held, low), plan), nodes, plan), texts, scratch, jaccard)
-    known = connected_components(first, scratch)
-    grouped = scratch.keep(nodes.join(known, "node", "left").select("cls", F.coalesce("component", "node").alias("c"), "node", "h", "fp"), "grouped")
-    probes = _probed(grouped, plan, grouped.count(), scratch)
+    probes = _probed(nodes, plan, nodes.count(), scratch)
+    stars = _stars(_shared(nodes, plan, held, low), plan).union(_leads(probes, plan, low))
+    close = scratch.keep(_within(stars, nodes, plan.reach), "close")
+    first = _verified(close.where(F.col("far") <= plan.radius).select(*PAIR), texts, scratch, jaccard)
+    known = connected_components(first, scratch).withColumnRenamed("component", "group")
+    cells = connected_components(close.select("a", "b"), scratch).withColumnRenamed("component", "cell")
+    grouped = nodes.join(known, "node", "left").join(cells, "node", "left")
+    grouped = scratch.keep(grouped.select("cls", F.coalesce("cell", "node").alias("c"), F.coalesce("group", "node").alias("group"), "node", "h", "fp"), "grouped")
+    inside = _cell_links(grouped, texts, scratch, jaccard)
+    probes = probes.drop("c").join(grouped.select("cls", "c"), "cls").select("k", "cls", "c", "sk")
     shared = scratch.keep(_shared(grouped, plan, held, low).select("k", "cls", "c", "sk"), "shared")
-    more = _verified(_within(_met(grouped, shared, probes, plan), grouped, plan), texts, scratch, jaccard)
-    groups = connected_components(first.union(more), scratch)
+    more = _verified(_within(_met(grouped, shared, probes, plan), grouped, plan.radius).select(*PAIR), texts, scratch, jaccard)
+    groups = connected_components(first.union(inside).union(more), scratch)
     label = scratch.keep(classes.join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "labels")
     out = rows.select("doc_id", "set_id").join(label, "set_id", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
