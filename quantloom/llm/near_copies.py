@@ -295,10 +295,29 @@ def _stars(shared: DataFrame, plan: Plan) -> DataFrame:
     return shared.where(F.col("cls") != F.col("low.cls")).where(F.bit_count(F.col("sk").bitwiseXOR(F.col("low.sk"))) <= plan.sketch).select(F.col("low.cls").alias("x"), F.col("cls").alias("y"))
 
 
-def _leads(probes: DataFrame, plan: Plan, low: DataFrame) -> DataFrame:
-    """(x, y): of the first classes of all entries that a class y probes, the smallest and the one with the nearest sketch."""
+def _leads(probes: DataFrame, plan: Plan, held: EntryFilter, low: DataFrame) -> DataFrame:
+    """(x, y): of the first classes of entries that a class y probes, one entry a table, the smallest and the one with the nearest sketch.
+
+    The entry of a table is that with the smallest hash, so that classes which probe the
+    same ones take the same. Pairs that this leaves out are met later.
+    """
+    bc = probes.sparkSession.sparkContext.broadcast(held)  # 16 MB, whatever the table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            mixed = _mixed(k)
+            at = bc.value.passing(mixed)
+            at = at[np.lexsort((mixed[at], k[at] >> WIDEST, cls[at]))]
+            own, tab = cls[at], k[at] >> WIDEST
+            first = np.ones(len(at), bool)
+            first[1:] = (own[1:] != own[:-1]) | (tab[1:] != tab[:-1])
+            yield b.take(pa.array(at[first]))
+        tidy()
+
+    few = probes.select("k", "cls", "sk").mapInArrow(run, "k long, cls long, sk long")
     far = F.bit_count(F.col("sk").bitwiseXOR(F.col("low.sk")))
-    met = probes.join(low.hint("merge"), "k").where(F.col("cls") != F.col("low.cls")).where(far <= plan.sketch)
+    met = few.join(low.hint("merge"), "k").where(F.col("cls") != F.col("low.cls")).where(far <= plan.sketch)
     lead = met.groupBy("cls").agg(F.min("low.cls").alias("least"), F.min(F.struct(far.alias("far"), "low.cls")).alias("nearest"))
     return lead.select(F.explode(F.array("least", "nearest.cls")).alias("x"), F.col("cls").alias("y"))
 
@@ -427,7 +446,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, jacca
     low = scratch.keep(low, "low")
     held = EntryFilter.of(low.select("k"))
     probes = _probed(nodes, plan, nodes.count(), scratch)
-    stars = _stars(_shared(nodes, plan, held, low), plan).union(_leads(probes, plan, low))
+    stars = _stars(_shared(nodes, plan, held, low), plan).union(_leads(probes, plan, held, low))
     close = scratch.keep(_within(stars, nodes, plan.reach), "close")
     first = _verified(close.where(F.col("far") <= plan.radius).select(*PAIR), texts, scratch, jaccard)
     known = connected_components(first, scratch).withColumnRenamed("component", "group")
