@@ -33,7 +33,7 @@ from .fm_index import FmIndex
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _WORD_BYTES = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte outside words into a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))

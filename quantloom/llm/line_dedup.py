@@ -262,9 +262,12 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     held = _ids(cuts)
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
     hit = _passing(docs, id_col, held, True).join(cuts.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    other = _passing(docs, id_col, held, False).withColumn("__cut", F.lit(None).cast("array<struct<no:int,h:bigint>>"))
-    at = docs.columns.index(text_col)
-    return _cut_rows(hit, at, schema, runs).union(_cut_rows(other, at, schema, runs))
+    # texts that lose nothing are not sent to Python a second time
+    text, none = F.col(text_col), F.lit(0).cast("long")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    whole = F.struct(text.alias("text"), n_lines.alias("n_lines"), none.alias("n_chunks_removed"), none.alias("n_lines_removed"))
+    other = _passing(docs, id_col, held, False).withColumn("lines", whole)
+    return _cut_rows(hit, docs.columns.index(text_col), schema, runs).union(other)
 
 
 def line_digest(docs: DataFrame, scratch: Scratch, runs: bool = False) -> DataFrame:

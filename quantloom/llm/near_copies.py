@@ -202,12 +202,18 @@ class EntryFilter:
 
     @classmethod
     def of(cls, keys: DataFrame) -> EntryFilter:
-        """The filter of a table's only column, keys; each slice is made by one group of hashes."""
+        """The filter of a table's only column, keys."""
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(_mixed(b.column(0).to_numpy()).view(np.int64))], ["e"])
 
+        return cls.of_hashes(keys.mapInArrow(hashed, "e long"))
+
+    @classmethod
+    def of_hashes(cls, hashes: DataFrame) -> EntryFilter:
+        """The filter of a column ``e``, mixed keys; each slice is made by one group of hashes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
             for b in batches:
@@ -221,16 +227,17 @@ class EntryFilter:
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["k", "bits"])
             tidy()
 
-        sliced = keys.mapInArrow(hashed, "e long").repartition(F.shiftrightunsigned(F.col("e"), 56)).mapInArrow(run, "k int, bits binary")
+        sliced = hashes.repartition(F.shiftrightunsigned(F.col("e"), 56)).mapInArrow(run, "k int, bits binary")
         return cls({r["k"]: r["bits"] for r in sliced.collect()})  # 16 MB in all, whatever the table
 
 
 ENTRY_SCHEMA = "k long, cls long, c long, sk long"
 
 
-def _expanded(nodes: DataFrame, plan: Plan, seen: EntryFilter | None = None, part: tuple[int, int, int, int] | None = None, ball: bool = False) -> DataFrame:
+def _expanded(nodes: DataFrame, plan: Plan, seen: EntryFilter | None = None, part: tuple[int, int, int, int] | None = None, ball: bool = False, hashes: bool = False) -> DataFrame:
     """(k, cls, c, sk) of every class's own segments, or with ``ball`` of its probes; with a filter, of what may be held.
 
+    With ``hashes`` only (e) of them, mixed keys for a filter, so that no second Python stage has to mix them.
     ``part`` is a round of the plan: only its tables, and its part of their keys.
     """
     bc = None if seen is None else nodes.sparkSession.sparkContext.broadcast(seen)  # 16 MB, whatever the table
@@ -255,12 +262,15 @@ def _expanded(nodes: DataFrame, plan: Plan, seen: EntryFilter | None = None, par
                 if bc is not None:
                     at = bc.value.passing(_mixed(key))
                     row, key = row[at], key[at]
+                if hashes:
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(key).view(np.int64))], ["e"])
+                    continue
                 sketch = np.ascontiguousarray(fp[:, -8:]).view(np.int64).ravel()
                 taken = [b.column(i).take(pa.array(row)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *taken, pa.array(sketch[row])], ["k", "cls", "c", "sk"])
         tidy()
 
-    return nodes.select("cls", "c", "fp").mapInArrow(run, ENTRY_SCHEMA)
+    return nodes.select("cls", "c", "fp").mapInArrow(run, "e long" if hashes else ENTRY_SCHEMA)
 
 
 def _within(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
@@ -326,7 +336,7 @@ def _probed(nodes: DataFrame, plan: Plan, n: int, scratch: Scratch) -> DataFrame
     """(k, cls, c, sk): probes of entries that may exist, each round written out."""
     out = []
     for part in plan.rounds(n):
-        seen = EntryFilter.of(_expanded(nodes, plan, part=part).select("k"))
+        seen = EntryFilter.of_hashes(_expanded(nodes, plan, part=part, hashes=True))
         out.append(scratch.keep(_expanded(nodes, plan, seen, part, ball=True), "probes"))
     return reduce(DataFrame.union, out)
 

@@ -8,7 +8,9 @@ covers falls back to the byte pieces of its UTF-8 form at a penalty of 10 below
 lowest score. No piece holds a marker after another character, so the best path of a
 text is that of its words (a run of markers and what follows up to the next one); words
 are segmented once and remembered, a block of new ones at a time with numpy: one step
-moves every word along the trie by a byte.
+moves every word along the trie by a byte. Remembered words are two generations of a
+bounded number, since a worker process keeps them for as long as it lives: a full one
+takes the place of the one before, whose words stay if they occur again meanwhile.
 
 Decoding joins the pieces, turns markers into spaces and drops the first one.
 ``decode(encode(t)) == t`` for every text without U+2581, which decodes to a space.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ MARK = "▁"
 PENALTY = 10.0
 #: Longer words take the path that goes along one word.
 LONG = 96
+#: Bytes of texts that are encoded at a time, and words in a block of new ones.
+SLICE_BYTES = 256 << 10
+BLOCK_WORDS = 4096
 _UNIT = re.compile(r" *[^ ]+| +$")
 
 
@@ -92,7 +98,7 @@ class DoubleArray:
 class Unigram:
     """Scored pieces with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 150_000):
+    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int], max_words: int = 40_000):
         self.ids = np.array([i for i, _, _ in pieces], np.int64)
         self.scores = np.array([s for _, _, s in pieces])
         self.byte_ids, self.unknown, self.max_words = byte_ids, float(self.scores.min()) - PENALTY, max_words
@@ -100,7 +106,10 @@ class Unigram:
         if any(MARK in p.lstrip(MARK) for _, p, _ in pieces):
             raise ValueError("a piece holds a marker after another character; words cannot be cut at markers")
         self.text_of = {i: p.replace(MARK, " ").encode() for i, p, _ in pieces} | {b: bytes([k]) for k, b in enumerate(byte_ids)}
+        self.packed = [int(i).to_bytes(4, "little") for i in self.ids]
+        self.fallback = [int(i).to_bytes(4, "little") for i in byte_ids]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
@@ -188,8 +197,7 @@ class Unigram:
         out: list[list[bytes]] = [[] for _ in words]
         at, rows = size.copy(), np.arange(n)
         rows = rows[at > 0]
-        packed = [int(i).to_bytes(4, "little") for i in self.ids]
-        fallback = [int(i).to_bytes(4, "little") for i in self.byte_ids]
+        packed, fallback = self.packed, self.fallback
         while len(rows):
             here = at[rows]
             k, i = piece[here, rows], start[here, rows]
@@ -204,13 +212,16 @@ class Unigram:
         return text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [u[1:] for u in _UNIT.findall(" " + text)]
 
     def learn(self, units: set[str]) -> None:
+        """Puts all units into ``known``; before them it has at most ``max_words``, and as many are in ``before``."""
         if len(self.known) > self.max_words:
-            self.known.clear()
+            self.before, self.known = dict(islice(self.known.items(), self.max_words)), {}
+        again = {u: self.before[u] for u in units if u in self.before and u not in self.known}
+        self.known |= again
         new = [u for u in units if u not in self.known]
         coded = [(MARK + u.replace(" ", MARK)).encode() for u in new]
         order = sorted((k for k in range(len(new)) if len(coded[k]) <= LONG), key=lambda k: len(coded[k]))
-        for lo in range(0, len(order), 20_000):
-            block = order[lo : lo + 20_000]
+        for lo in range(0, len(order), BLOCK_WORDS):
+            block = order[lo : lo + BLOCK_WORDS]
             for k, ids in zip(block, self.many([coded[k] for k in block]), strict=True):
                 self.known[new[k]] = ids
         for u, c in zip(new, coded, strict=True):
@@ -254,16 +265,19 @@ def encode_column(docs: DataFrame, model_path: str, text_col: str = "text", ids_
     if decoded_col:
         fields.append(T.StructField(decoded_col, T.StringType()))
 
+    def encoded(m: Unigram, b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(where).to_pylist()
+        null = [t is None for t in texts]
+        ids = m.encode_all([t or "" for t in texts])
+        cols = [*b.columns, _id_lists(ids, null)]
+        if decoded_col:
+            cols.append(pa.array([None if n else m.decode(np.frombuffer(i, "<u4").tolist()) for i, n in zip(ids, null, strict=True)], pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for b in rows_within(batches, 2 << 20, where):
-            texts = b.column(where).to_pylist()
-            null = [t is None for t in texts]
-            ids = m.encode_all([t or "" for t in texts])
-            cols = [*b.columns, _id_lists(ids, null)]
-            if decoded_col:
-                cols.append(pa.array([None if n else m.decode(np.frombuffer(i, "<u4").tolist()) for i, n in zip(ids, null, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        for b in rows_within(batches, SLICE_BYTES, where):
+            yield encoded(m, b)
 
     return docs.mapInArrow(run, T.StructType(fields))
 

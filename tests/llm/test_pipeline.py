@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql.classic.dataframe import DataFrame
 from quantloom.llm.queries import QUERIES
 
 
@@ -37,3 +38,31 @@ def test_stages_on_odd_rows(spark, sf, odd_docs):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def _workers_at_once(plan):
+    """Most Python nodes that one task runs, from the text of a plan."""
+    most, above = 0, []  # (column of the node, Python nodes from it up to the exchange over it)
+    for line in plan.split("\n"):
+        at = re.search(r"[A-Za-z]", line)
+        if at is None:
+            continue
+        above = [x for x in above if x[0] < at.start()]
+        n = above[-1][1] if above else 0
+        name = re.sub(r"^\*?\(\d+\) ", "", line[at.start() :])
+        n = 0 if "Exchange" in name.split(" ")[0] else n + name.startswith(("MapInArrow", "PythonMapInArrow", "FlatMapGroups"))
+        above.append((at.start(), n))
+        most = max(most, n)
+    return most
+
+
+def test_a_task_has_one_python_worker_at_a_time(spark, sf, monkeypatch):
+    """Every further one costs an executor a process for each of its cores."""
+    seen = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, f=DataFrame.mapInArrow, **b: seen.append(out := f(self, *a, **b)) or out)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        seen.append(stage(spark, docs, sf))
+    assert len(seen) > 12
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+    assert max(map(_workers_at_once, plans)) == 1

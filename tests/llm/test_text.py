@@ -236,6 +236,17 @@ def test_pieces_odd_rows(odd_docs, no_docs):
     assert [r.decoded for r in both.collect()] == [r.decoded for r in got]
 
 
+def test_remembered_words_are_bounded_and_stay_if_they_occur_again():
+    own = sentencepiece.Unigram([(300, "▁", -1.0), (301, "a", -2.0), (302, "7", -2.5)], list(range(256)), max_words=20)
+    plain = sentencepiece.Unigram([(300, "▁", -1.0), (301, "a", -2.0), (302, "7", -2.5)], list(range(256)))
+    own.many, segmented = (lambda words, many=own.many: segmented.extend(words) or many(words)), []
+    for k in range(200):
+        text = f"often {k} a{k} {k}a"
+        assert own.encode(text) == plain.encode(text)
+        assert len(own.known) <= 20 + 4 and len(own.before) <= 20
+    assert segmented.count("▁often".encode()) == 1 and len(segmented) == 601
+
+
 def test_suffix_array_against_a_plain_sort():
     rng = np.random.default_rng(3)
     for _ in range(60):
